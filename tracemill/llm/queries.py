@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.llm import chat, licenses, mixing, substring_dedup
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracemill.llm.substring_dedup import substring_dedup
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), length=35, texts=False)
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(_table(spark, sf_dir, "documents"))
+
 
-    return substring_dedup(_table(spark, sf_dir, "documents"), length=35, texts=False)
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_license_scan, op5_mix_sources, op6_chat_format)}
+ORACLE: dict[str, str] = {
+    "op3_license_scan": licenses.oracle_sql(),
+    "op5_mix_sources": mixing.ORACLE_SQL,
+    "op6_chat_format": chat.ORACLE_SQL,
+}
