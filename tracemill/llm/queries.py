@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import chat, licenses, mixing, substring_dedup
+from tracemill.llm import chat, licenses, mixing, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.tokenize_and_read(_table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_license_scan, op5_mix_sources, op6_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_license_scan, op4_token_orc, op5_mix_sources, op6_chat_format)}
 ORACLE: dict[str, str] = {
     "op3_license_scan": licenses.oracle_sql(),
     "op5_mix_sources": mixing.ORACLE_SQL,
