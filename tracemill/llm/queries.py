@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import chat, licenses, mixing, quality, substring_dedup, token_files
+from tracemill.llm import chat, decontaminate, licenses, mixing, quality, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), length=35, texts=False)
 
@@ -36,7 +40,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_license_scan, op4_token_orc, op5_mix_sources, op6_chat_format, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_license_scan, op4_token_orc, op5_mix_sources, op6_chat_format, op9_quality_rules)}
 ORACLE: dict[str, str] = {
     "op3_license_scan": licenses.oracle_sql(),
     "op5_mix_sources": mixing.ORACLE_SQL,
