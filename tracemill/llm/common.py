@@ -8,6 +8,7 @@ word, and one pass over the words gives the hash of every window of any length.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,12 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now: it does so once the driver's JVM has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__k1, __k2, __id, __text): rows with equal id and text share a key and, having equal results, may."""
     return docs.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import chat, decontaminate, licenses, mixing, quality, substring_dedup, token_files
+from tracemill.llm import chat, decontaminate, licenses, mixing, ngram_join, quality, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_license_scan, op4_token_orc, op5_mix_sources, op6_chat_format, op9_quality_rules)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_license_scan, op4_token_orc, op5_mix_sources, op6_chat_format, op9_quality_rules, op10_ngram_join)}
 ORACLE: dict[str, str] = {
     "op3_license_scan": licenses.oracle_sql(),
     "op5_mix_sources": mixing.ORACLE_SQL,
