@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import chat, decontaminate, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_files
+from tracemill.llm import chat, decontaminate, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_license_scan, op4_token_orc, op5_mix_sources, op6_chat_format, op8_personal_data, op9_quality_rules, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_license_scan, op4_token_orc, op5_mix_sources, op6_chat_format, op7_toxicity, op8_personal_data, op9_quality_rules, op10_ngram_join)}
 ORACLE: dict[str, str] = {
     "op3_license_scan": licenses.oracle_sql(),
     "op5_mix_sources": mixing.ORACLE_SQL,
