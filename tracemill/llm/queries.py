@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tracemill.llm import chat, decontaminate, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_files, toxicity
 
 
@@ -54,6 +55,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_license_scan, op4_token_orc, op5_mix_sources, op6_chat_format, op7_toxicity, op8_personal_data, op9_quality_rules, op10_ngram_join)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {
     "op3_license_scan": licenses.oracle_sql(),
     "op5_mix_sources": mixing.ORACLE_SQL,
