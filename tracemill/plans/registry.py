@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from tracemill.plans import analytics, retrieval, store, texts
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+for module in (store, analytics, texts, retrieval):
+    QUERIES |= module.QUERIES
+    ORACLE |= module.ORACLE
+FLAGSHIP = "q65_rrf_fusion"
