@@ -8,7 +8,7 @@ their statistics and Bloom filters. Each row has its place in its file (`pos`) a
 it in its file (`before`), so a document's start among all ids needs one sum a file, read from two
 narrow columns.
 
-White space ends every pre-token of the tokenizers used here, so a text's ids are those of its
+White space ends every pre-token of the default tokenizer, so a text's ids are those of its
 words in a row, and each distinct word is encoded once in a task while a bounded table has it.
 Texts go through it whole, with none cut.
 
@@ -18,7 +18,9 @@ together in any order; an empty table gives empty files and results; further col
 
 from __future__ import annotations
 
+import functools
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import scratch_dir, slices
+from tracemill.llm.common import scratch_dir, slices, small_batches
 
 MOST_WORDS = 400_000
 MOST_FILES = 500_000
@@ -42,14 +44,32 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in shown} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+_ALPHABET = _byte_alphabet()
+
+
+def _plain(word: str) -> bool:
+    """Whether normalising and pre-tokenizing leave a word as it is: lower-case letters only."""
+    return word.isalpha() and word.islower() if word.isascii() else word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
 class Encoder:
-    """Ids of whole texts; keeps the ids of at most MOST_WORDS distinct words."""
+    """Ids of whole texts; keeps the ids of at most MOST_WORDS distinct words.
+
+    Words of letters only, perhaps with a final comma or full stop, go to the tokenizer's merge model directly.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
         self.clear()
 
     def clear(self) -> None:
@@ -57,7 +77,19 @@ class Encoder:
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        found: list[list[int]] = [[]] * len(words)
+        rest, model = [], self.tokenizer.model
+        for n, word in enumerate(words):
+            text = word.decode()
+            tail = text[-1] if text[-1] in ",." else ""
+            core = text[:-1] if tail else text
+            if _plain(core):
+                ids = [t.id for t in model.tokenize(core if core.isascii() else word[: len(word) - len(tail)].decode("latin-1").translate(_ALPHABET))]
+                found[n] = ids + self.marks[tail] if tail else ids
+            else:
+                rest.append(n)
+        for n, x in zip(rest, self.tokenizer.encode_batch_fast([words[n].decode() for n in rest], add_special_tokens=False), strict=True):
+            found[n] = x.ids
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         starts = len(self.flat) + np.cumsum(lengths) - lengths
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))])
@@ -85,9 +117,15 @@ class Encoder:
         return ids, np.diff(edges)
 
 
+@functools.lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One encoder for the tasks that a Python worker runs in turn."""
+    return Encoder(path)
+
+
 def _encode(name: str, end_id: int, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path or tokenizer_path(name))
+        encoder = _encoder(path or tokenizer_path(name))
         pos, before = 0, 0
         for batch in batches:
             column = batch.column("__text").cast(pa.string()).fill_null("")
@@ -110,6 +148,7 @@ def _encode(name: str, end_id: int, path: str | None):
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, tokenizer_file: str | None = None, end_id: int = 1, stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
     """Write (doc_id, pos, before, n_tokens, ids) under path, in ascending id order over files and rows."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = dict(rows.dtypes)["__id"]
     (
