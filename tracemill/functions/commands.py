@@ -1,0 +1,71 @@
+"""Shell commands as Column expressions: their segments, program, whether they check, and whether they hide a check's status."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Programs that check a project, and words that do so as the target of a task runner.
+CHECKERS = ("pytest", "tox", "nox", "jest", "vitest", "mocha", "rspec", "phpunit", "ctest", "ruff", "mypy", "pyright", "eslint", "tsc", "flake8", "pylint", "clippy", "golangci-lint", "shellcheck")
+RUNNERS = ("npm", "pnpm", "yarn", "bun", "make", "just", "cargo", "go", "gradle", "mvn", "dotnet", "mix", "bundle", "rake")
+CHECK_WORDS = ("test", "tests", "check", "lint", "typecheck", "verify", "vet", "clippy", "build", "spec")
+WRAPPERS = r"(?:sudo|env|time|timeout\s+\S+|nice|npx|pnpx|bunx|uv\s+run|poetry\s+run|pipenv\s+run|bundle\s+exec|python[0-9.]*\s+-m)"
+
+
+def bare(command: Column) -> Column:
+    """The command without quoted text and heredoc bodies, so that operators within them don't count."""
+    out = F.regexp_replace(command, r"(?s)<<-?\s*['\"]?(\w+)['\"]?.*?\n\1\b", " ")
+    return F.regexp_replace(out, r"'[^']*'|\"(?:\\.|[^\"\\])*\"", "_")
+
+
+def segments(command: Column) -> Column:
+    """Simple commands in order; leading directory changes, assignments and wrappers are left off."""
+    parts = F.split(bare(command), r"\s*(?:&&|\|\||;|\||&(?![&>])|\n)\s*")
+    plain = F.transform(parts, lambda x: F.regexp_replace(F.trim(x), rf"^(?:(?:[A-Za-z_]\w*=\S*|{WRAPPERS})\s+)+", ""))
+    return F.filter(plain, lambda x: (x != "") & ~x.rlike(r"^cd\b"))
+
+
+def program(segment: Column) -> Column:
+    """Base name of a segment's first word."""
+    return F.regexp_extract(segment, r"^(?:\S*/)?(\S+)", 1)
+
+
+def checks(segment: Column) -> Column:
+    """Whether a segment runs a check; asking for help or a list is none."""
+    words = F.split(segment, r"\s+")
+    target = F.exists(F.slice(words, 2, 3), lambda w: F.regexp_extract(w, r"^([a-z]+)", 1).isin(*CHECK_WORDS))
+    runs = program(segment).isin(*CHECKERS) | (program(segment).isin(*RUNNERS) & target)
+    return runs & ~segment.rlike(r"\s(?:--help|-h|--version|--list|--collect-only)\b")
+
+
+def is_check(command: Column) -> Column:
+    return F.coalesce(F.exists(segments(command), checks), F.lit(False))
+
+
+def check_program(command: Column) -> Column:
+    """The program of the first check in a command, or null."""
+    return F.try_element_at(F.transform(F.filter(segments(command), checks), program), F.lit(1))
+
+
+def hides_status(command: Column) -> Column:
+    """Whether something other than && follows a check, so that the exit status may not be the check's."""
+    tail = F.regexp_replace(bare(command), r"(?:\d?>&\d|&>\s*\S+|\d?>>?\s*\S+)", " ")
+    loose = F.split(tail, r"\s*&&\s*")
+    inside = F.exists(loose, lambda x: F.exists(F.slice(F.split(x, r"\s*(?:\|\||;|\||&|\n)\s*"), 1, 1), lambda s: checks(F.regexp_replace(F.trim(s), rf"^(?:(?:[A-Za-z_]\w*=\S*|{WRAPPERS})\s+)+", ""))) & x.rlike(r"(?:\|\||;|\||&|\n)\s*\S"))
+    return F.coalesce(inside, F.lit(False))
+
+
+def cleaned(command: Column) -> Column:
+    """A check without trailing filters and redirections: what is worth repeating."""
+    out = F.trim(command)
+    for _ in range(3):
+        out = F.regexp_replace(out, r"\s*(?:\|\s*(?:tail|head|grep|tee|cat|less|sort)\b[^|;&]*|\d?>>?\s*(?:/dev/null|\S+)|\d>&\d)\s*$", "")
+    return F.rtrim(out)
+
+
+def action(command: Column) -> Column:
+    """read, search or run, by the first program."""
+    first = program(F.try_element_at(segments(command), F.lit(1)))
+    reads = first.isin("cat", "head", "tail", "less", "more", "bat", "nl", "stat", "file", "wc")
+    looks = first.isin("grep", "rg", "ag", "ack", "find", "fd", "ls", "tree", "which", "locate")
+    return F.when(reads, "read").when(looks, "search").otherwise("run")
