@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -45,6 +45,12 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, for tables of long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > most:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now: it does so once the driver's JVM has collected their plans."""
     gc.collect()
@@ -53,6 +59,7 @@ def release(spark: SparkSession) -> None:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__k1, __k2, __id, __text): rows with equal id and text share a key and, having equal results, may."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.xxhash64(F.col(id_col), F.lit("|"), F.col(text_col)).alias("__k1"),
         F.hash(F.col(text_col), F.lit("|"), F.col(id_col)).alias("__k2"),
@@ -107,6 +114,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         end = min(len(column), max(end, start + 1))
         yield start, end
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

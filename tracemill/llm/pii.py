@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import small_batches
 from tracemill.llm.crf import ChainField
 
 KINDS = ("email", "ip", "card", "phone")
@@ -217,6 +218,7 @@ def _scan(batches: Iterator[pa.RecordBatch], field: ChainField) -> Iterator[pa.R
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans (base and added). No shuffle."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind, field = dict(rows.dtypes)["__id"], trained()
     field.memo.clear()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Words, labelled_sample, slices
+from tracemill.llm.common import Words, labelled_sample, slices, small_batches
 from tracemill.llm.trees import Trees, fit
 
 SYMBOLS = np.zeros(256, bool)
@@ -120,6 +120,7 @@ def _judge(model: Trees, cut: float):
 
 def judge(docs: DataFrame, model: Trees, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, the counts, base_failed, score (of good quality), kept."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = dict(rows.dtypes)["__id"]
     out = rows.mapInArrow(_judge(model, cut), f"__id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean")
@@ -142,4 +143,5 @@ def _keep(model: Trees, cut: float, column: str):
 
 def keep_good(docs: DataFrame, model: Trees, cut: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with all their columns; no shuffle."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_keep(model, cut, text_col), docs.schema)

@@ -8,9 +8,9 @@ At the lower levels not every window is compared but those that are the smallest
 all that lie within some candidate of the full length. Equal candidates have equal smallest
 windows, so none is lost, and a level moves about 2 / (length - level + 2) rows a word.
 
-A level moves (hash, row key, position) rows only. Counts are combined within each batch and
-each task before the shuffle; rows find their counts by a semi-join, which Spark splits where one
-passage is very common. The texts are shuffled once, by row key, which spreads them evenly.
+Texts are dealt by hash to blocks of some megabytes. A level moves a row for each distinct window
+hash of a block, so that a passage that most documents share is one row a block, and gives each
+block the hashes that occur twice; the block's texts then find the places themselves.
 
 Cases: a null or empty text has no words and keeps none; texts shorter than `length` lose
 nothing; repeated rows, alike in id and text, repeat each other's windows; further columns are ignored; an
@@ -24,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Words, durable, keyed, slices, sliding
+from tracemill.llm.common import Words, durable, release, slices, sliding, small_batches
 
 TOP = np.uint64(2**64 - 1)
-OUT = "__k1 long, __k2 int, __h long, __c int, __p int"
+BLOCK_BYTES = 16 << 20
 
 
 def levels(length: int) -> list[int]:
@@ -41,32 +41,30 @@ def levels(length: int) -> list[int]:
     return out
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    text = batch.column("__text").cast(pa.string())
-    for a, b in slices(text):
-        yield batch.slice(a, b - a), Words(text.slice(a, b - a))
+def _names(w: Words, level: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each window; below the last level that alone chooses candidates, there 16 bits more decide."""
+    h, _ = w.windows(level)
+    c = (w.windows(level, "check")[0] >> np.uint64(48)).astype(np.int32) if level == length else np.zeros(len(h), np.int32)
+    return h, c
 
 
-def _positions(part: pa.RecordBatch, w: Words) -> np.ndarray:
-    """Flags of the words that the joined position lists name."""
-    flag = np.zeros(len(w.starts), bool)
-    if "__at" in part.schema.names:
-        lists = part.column("__at")
-        counts = np.diff(np.asarray(lists.offsets)) if len(lists) else np.zeros(0, int)
-        flat = np.asarray(lists.flatten()).astype(np.int64)
-        flag[flat + np.repeat(w.first[:-1], counts)] = True
-    return flag
+def _within(h: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Which names are among the sorted ones of the block; among so few, 64 bits are enough."""
+    if not len(alive):
+        return np.zeros(len(h), bool)
+    return alive[np.minimum(np.searchsorted(alive, h), len(alive) - 1)] == h
 
 
-def _candidates(w: Words, length: int, level: int | None, flag: np.ndarray | None) -> np.ndarray:
-    """Starts of full windows whose smallest window of length `level` is flagged; all at first."""
+def _candidates(w: Words, length: int, level: int | None, alive: np.ndarray) -> np.ndarray:
+    """Starts of full windows whose smallest window of length `level` is alive; all at first."""
     n = max(len(w.starts) - length + 1, 0)
     fits = w.doc[:n] == w.doc[length - 1 : length - 1 + n]
     if level is None or not n:
         return fits
     h, _ = w.windows(level)
-    width = length - level + 1
-    return fits & (sliding(h, width)[:n] == sliding(np.where(flag[: len(h)], h, TOP), width)[:n])
+    low = sliding(h, length - level + 1)[:n]
+    seen, back = np.unique(low, return_inverse=True)
+    return fits & _within(seen, alive)[back]
 
 
 def _emit(w: Words, length: int, level: int, starts: np.ndarray) -> np.ndarray:
@@ -81,78 +79,110 @@ def _emit(w: Words, length: int, level: int, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero((near == h) & (near > 0))
 
 
-def _level(length: int, level: int, before: int | None, counts: bool):
-    """Rows of one level: each place, or each distinct hash of a slice with its count up to 2."""
+def _slices(part: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    text = part.column("__text").cast(pa.string())
+    for a, b in slices(text):
+        yield part.slice(a, b - a), Words(text.slice(a, b - a))
+
+
+def _whole(table: pa.Table) -> pa.RecordBatch:
+    return table.combine_chunks().to_batches()[0] if len(table) else pa.RecordBatch.from_pylist([], table.schema)
+
+
+def _alive(names: pa.Table) -> np.ndarray:
+    return np.unique(np.asarray(_whole(names).column("__h")).view(np.uint64))
+
+
+NAMES = "__h long, __c int, __block int, __n int"
+
 
+def _seen(part: pa.RecordBatch, w: Words, length: int, level: int, before: int | None, alive: np.ndarray) -> pa.RecordBatch:
+    """Rows (h, c, block, n): each distinct name of a slice and block, n is 2 where it is there more than once."""
+    at = _emit(w, length, level, _candidates(w, length, before, alive))
+    h, c = _names(w, level, length)
+    h, c, block = h[at], c[at], np.asarray(part.column("__block"))[w.doc[at]]
+    order = np.lexsort((h, block))
+    h, c, block = h[order], c[order], block[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (block[1:] != block[:-1])
+    n = np.diff(np.append(np.flatnonzero(new), len(h)))
+    out = {"__h": h[new].view(np.int64), "__c": c[new], "__block": block[new].astype(np.int32), "__n": np.minimum(n, 2).astype(np.int32)}
+    return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
+
+
+def _first_level(length: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
         for batch in batches:
-            for part, w in _words(batch):
-                starts = _candidates(w, length, before, _positions(part, w))
-                at = _emit(w, length, level, starts)
-                h, _ = w.windows(level)
-                c, _ = w.windows(level, "check")
-                h, c = h[at].view(np.int64), (c[at] >> np.uint64(33)).astype(np.int32)
-                if counts:
-                    h, first, n = np.unique(h, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c[first]), pa.array(np.minimum(n, 2).astype(np.int32))], ["__h", "__c", "__n"])
-                else:
-                    doc = w.doc[at]
-                    k1, k2 = (np.asarray(part.column(k))[doc] for k in ("__k1", "__k2"))
-                    p = (at - w.first[doc]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, h, c, p)], ["__k1", "__k2", "__h", "__c", "__p"])
+            for part, w in _slices(batch):
+                yield _seen(part, w, length, level, None, none)
 
     return run
 
 
-def _digest(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, w in _words(batch):
-                hit = np.zeros(len(w.starts) + 1, np.int32)
-                at = np.flatnonzero(_positions(part, w))
-                np.add.at(hit, at, 1)
-                np.add.at(hit, at + length, -1)
-                gone = np.cumsum(hit[:-1]) > 0
-                removed = np.bincount(w.doc[gone], minlength=len(part)).astype(np.int64)
-                data, kept = w.data.tobytes(), []
-                for i in range(len(part)):
-                    a, b = w.first[i], w.first[i + 1]
-                    words = data[w.offsets[i] : w.offsets[i + 1]].split()
-                    if removed[i]:
-                        words = [x for x, y in zip(words, gone[a:b].tolist(), strict=True) if not y]
-                    kept.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("__id"), pa.array(w.count.astype(np.int64)), pa.array(removed), pa.array(kept), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept])],
-                    ["__id", "n_words", "n_removed", "kept_text", "kept_sha256"],
-                )
+def _next_level(length: int, level: int, before: int):
+    def run(texts: pa.Table, names: pa.Table) -> pa.Table:
+        alive, out = _alive(names), []
+        if len(alive) and len(texts):
+            out = [_seen(part, w, length, level, before, alive) for part, w in _slices(_whole(texts))]
+        kinds = pa.schema([("__h", pa.int64()), ("__c", pa.int32()), ("__block", pa.int32()), ("__n", pa.int32())])
+        return pa.Table.from_batches(out, kinds)
+
+    return run
+
+
+def _digest(length: int, with_text: bool):
+    def one(part: pa.RecordBatch, w: Words, alive: np.ndarray) -> pa.RecordBatch:
+        h, _ = w.windows(length)
+        at = np.flatnonzero(_within(h, alive) & _candidates(w, length, None, alive))
+        edge = np.zeros(len(w.starts) + 1, np.int32)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        removed = np.bincount(w.doc[gone], minlength=len(part)).astype(np.int64)
+        data, kept, sums = w.data.tobytes(), [], []
+        for i in range(len(part)):
+            words = data[w.offsets[i] : w.offsets[i + 1]].split()
+            if removed[i]:
+                words = [x for x, y in zip(words, gone[w.first[i] : w.first[i + 1]].tolist(), strict=True) if not y]
+            text = b" ".join(words)
+            sums.append(hashlib.sha256(text).hexdigest())
+            kept.append(text if with_text else b"")
+        columns = [part.column("__id"), pa.array(w.count.astype(np.int64)), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sums)]
+        return pa.RecordBatch.from_arrays(columns, ["__id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+
+    def run(texts: pa.Table, names: pa.Table) -> pa.Table:
+        alive, kinds = _alive(names), [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())]
+        out = [one(part, w, alive) for part, w in _slices(_whole(texts))] if len(texts) else []
+        return pa.Table.from_batches(out, pa.schema([texts.schema.field("__id"), *kinds]))
 
     return run
 
 
-def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_words, n_removed, kept_text (if texts), kept_sha256: texts without repeated windows of `length` words."""
-    rows = keyed(docs, id_col, text_col)
-    by_key = rows.repartition("__k1", "__k2")
-    found, before = None, None
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
+    small_batches(docs.sparkSession)
+    rows = docs.select(
+        F.pmod(F.xxhash64(F.col(id_col), F.lit("|"), F.col(text_col)), F.lit(blocks)).cast("int").alias("__block"),
+        F.col(id_col).alias("__id"),
+        F.col(text_col).alias("__text"),
+    )
+    by_block, alive, before = rows.groupBy("__block"), None, None
     for level in levels(length):
-        source = rows if found is None else by_key.join(found, ["__k1", "__k2"])
-        places = source.mapInArrow(_level(length, level, before, False), OUT)
-        twice = (
-            source.mapInArrow(_level(length, level, before, True), "__h long, __c int, __n int")
-            .groupBy("__h", "__c")
-            .agg(F.sum("__n").alias("__n"))
-            .where("__n > 1")
-            .select("__h", "__c")
-        )
-        found = durable(
-            places.join(twice, ["__h", "__c"], "left_semi").groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("__p")).alias("__at")),
-            f"windows{level}",
-        )
+        if alive is None:
+            seen = rows.mapInArrow(_first_level(length, level), NAMES)
+        else:
+            alive = durable(alive, f"windows{before}")
+            release(spark)
+            seen = by_block.cogroup(alive.groupBy("__block")).applyInArrow(_next_level(length, level, before), NAMES)
+        # a name has a row a block and slice at most, so the window over one is small and no join is needed
+        total = F.sum("__n").over(Window.partitionBy("__h", "__c"))
+        alive = seen.withColumn("__total", total).where("__total > 1").select("__block", "__h")
         before = level
+    # the last level and the digest are one job, in which the texts are dealt to blocks once
     kind = dict(rows.dtypes)["__id"]
-    out = (
-        by_key.join(found, ["__k1", "__k2"], "left")
-        .withColumn("__at", F.coalesce("__at", F.array().cast("array<int>")))
-        .mapInArrow(_digest(length), f"__id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    )
+    out = by_block.cogroup(alive.groupBy("__block")).applyInArrow(_digest(length, texts), f"__id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return out.select(F.col("__id").alias(id_col), "n_words", "n_removed", *(["kept_text"] if texts else []), "kept_sha256")
