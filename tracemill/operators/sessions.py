@@ -10,7 +10,7 @@ from tracemill.functions import fixed, text
 
 def numbered(events: DataFrame, session: str, *order: str) -> DataFrame:
     """Adds seq, the place of an event in its session."""
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy(session).orderBy(*order)))
+    return events.withColumn("seq", F.row_number().over(Window.partitionBy(session).orderBy(*order)).cast("bigint"))
 
 
 def split_tasks(prompts: DataFrame, session: str, seq: str, prompt: str) -> DataFrame:
