@@ -65,7 +65,7 @@ def near_copies(count, length, edits, seed=0):
 @pytest.mark.parametrize("least", [16, 2])
 def test_hot_group_of_near_copies(spark, monkeypatch, least):
     monkeypatch.setattr(nj, "LEAST_FREQUENT", least)
-    monkeypatch.setattr(nj.frequent_shingles, "__defaults__", (nj.MOST_FREQUENT, least))
+
     texts = near_copies(90, 120, 5) + near_copies(25, 40, 3, seed=4)
     passage = " ".join(f"p{i}" for i in range(60))
     texts += [f"{passage} " + " ".join(f"u{n}_{i}" for i in range(50 + n % 3)) for n in range(60)]
@@ -107,5 +107,5 @@ def test_signatures_meet():
         share = rng.random()
         level = lambda h: np.where((h % np.uint64(1000)).astype(float) / 1000 < share, (h % np.uint64(3)).astype(int) + 4, 0).astype(np.int8)
         same = len(np.intersect1d(x, y))
-        if 100 * same >= 75 * (len(x) + len(y) - same):
-            assert np.intersect1d(nj.signatures(x, level(x)), nj.signatures(y, level(y))).size, (trial, n)
+        if 100 * same >= 75 * (len(x) + len(y) - same) and same < max(len(x), len(y)):  # equal sets are one node
+            assert np.intersect1d(*(np.concatenate(nj.signatures(z, level(z))) for z in (x, y))).size, (trial, n)

@@ -6,16 +6,15 @@ Is that one rare, they meet under it alone. Is it frequent, they share frequent
 with the prefix m longer, m + 1 of them are in both prefixes, and with frequent shingles dealt by hash
 to m classes, two are in one class: they meet under a pair. Frequent shingles alone index nothing.
 
-How often a shingle occurs is counted over all documents. The table of frequent ones that tasks get
+How often a shingle occurs is counted over all documents, for the two fifths of shingles with the smallest hashes; the others
+are ordered last and count as frequent. A prefix reaches them only where most of a document is frequent. The table of frequent ones that tasks get
 is bounded: the least count that makes a shingle frequent is doubled until MOST_FREQUENT suffice. What
 counts as frequent changes the work, never the result.
 
-Documents with equal sets are one class from the start, and copies are never expanded. Under a
-signature that up to SMALL classes share, all pairs are candidates. Signatures with more are worked off in rounds:
-some members (pivots) are compared with the others, verified links are merged to components, and only members of
-different components still need comparing; the rest is compared in pairs once that is little work. Every
-candidate is verified on the whole texts, and a pair is left out only where its two documents
-are connected by verified links already. So components are exact.
+Documents with equal sets are one node from the start, and copies are never expanded. Under a
+signature that up to SMALL nodes share, all pairs are candidates and are verified on the whole texts. Nodes that
+signatures with more connect are compared in blocks of bounded size, where links found so far spare the pairs
+they connect. A pair is left out only where verified links connect its two documents. So components are exact.
 
 Cases: a null or empty text has an empty set and is linked with nothing; under five words the whole sequence is the
 only shingle; repeated rows are one class; a null id takes part, and the component's id is the
@@ -30,16 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Words, durable, mixed, release, slices
+from tracemill.llm.common import Words, durable, keyed, mixed, release, slices
 from tracemill.llm.components import components
 
 MOST_FREQUENT = 2_000_000
 LEAST_FREQUENT = 16
+COUNTED = np.uint64(int(0.4 * 2**64))
 SMALL = 16
 MOST_BROADCAST_NODES = 500_000
+BLOCK_BYTES = 1 << 20
+SALTS = 97
 
 
 def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +53,11 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         whole = np.array([mixed(np.bitwise_xor.reduce(mixed(w.hash[w.first[i] : w.first[i + 1]] + np.arange(1, w.count[i] + 1, dtype=np.uint64))) + np.uint64(w.count[i])) for i in short], np.uint64).reshape(-1)
         doc, h = np.concatenate([doc, short]), np.concatenate([h, whole])
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
+        order = np.argsort(doc, kind="stable")
+        doc, h = doc[order], h[order]
+    bounds = np.searchsorted(doc, np.arange(len(w.count) + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        h[a:b].sort()
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
     doc, h = doc[new], h[new]
@@ -65,35 +70,43 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, np.ndar
         yield a, b, *shingles(Words(text.slice(a, b - a), lower=True))
 
 
+def _names(h: np.ndarray, edges: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits that name each text's set."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(salt)), dtype=np.uint64)])
+    return mixed(total[edges[1:]] - total[edges[:-1]]).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds n_shingles and a 128-bit name of the set to (__id, __text)."""
+    """n_shingles and the set's name in place of __text."""
     for batch in batches:
         for a, b, h, edges in _texts(batch, "__text"):
-            sums = []
-            for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ salt), dtype=np.uint64)])
-                sums.append(mixed(total[edges[1:]] - total[edges[:-1]]).view(np.int64))
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__text"), pa.array(np.diff(edges).astype(np.int64)), *map(pa.array, sums)], ["__id", "__text", "n_shingles", "__s1", "__s2"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("__k1", "__k2", "__id")), pa.array(np.diff(edges).astype(np.int64)), pa.array(_names(h, edges, 0))], ["__k1", "__k2", "__id", "n_shingles", "__node"])
 
 
 def _counted(shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, h, _ in _texts(batch, "__text"):
-                key, n = np.unique(h >> np.uint64(shift), return_counts=True)
+            for _, _, h, edges in _texts(batch, "__text"):
+                # copies within the slice count once
+                _, once = np.unique(_names(h, edges, 0), return_index=True)
+                alone = np.zeros(len(edges) - 1, bool)
+                alone[once] = True
+                counted = h[np.repeat(alone, np.diff(edges)) & (h < COUNTED)]
+                key, n = np.unique(counted >> np.uint64(shift), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["__key", "__n"])
 
     return run
 
 
-def frequent_shingles(classes: DataFrame, total: int, most: int = MOST_FREQUENT, least: int = LEAST_FREQUENT) -> tuple[int, np.ndarray, np.ndarray]:
+def frequent_shingles(rows: DataFrame, total: int, most: int = MOST_FREQUENT, least: int = LEAST_FREQUENT) -> tuple[int, np.ndarray, np.ndarray]:
     """(shift, keys, levels): the keys (hashes without their low bits) counted `least` times or more, at most `most` of them.
 
-    Keys have six bits more than it takes to number all shingles, so few share one.
+    Keys have six bits more than it takes to number all shingles, so few share one. Most shingles are rare, so rows
+    are dealt by key before they are added up: slices have done what can be done earlier.
     """
     shift = 64 - min(64, max(1, total).bit_length() + 6)
-    counts = classes.mapInArrow(_counted(shift), "__key long, __n long").groupBy("__key").agg(F.sum("__n").alias("__n")).where(F.col("__n") >= least)
+    counts = rows.mapInArrow(_counted(shift), "__key long, __n long").repartition("__key").groupBy("__key").agg(F.sum("__n").alias("__n")).where(F.col("__n") >= least)
     found = durable(counts.select("__key", F.floor(F.log2("__n")).cast("int").alias("__level")), "frequent")
     sizes = {r[0]: r[1] for r in found.groupBy("__level").count().collect()}
     level = min(sizes, default=0)
@@ -104,14 +117,16 @@ def frequent_shingles(classes: DataFrame, total: int, most: int = MOST_FREQUENT,
     return shift, rows["__key"].to_numpy(np.int64).view(np.uint64), rows["__level"].to_numpy(np.int8)
 
 
-def signatures(h: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The signatures of one set; h ascending, level 0 for rare shingles."""
+def signatures(h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set, of single rare shingles and of pairs; h ascending, level 0 for rare shingles."""
     n = len(h)
+    if not n:
+        return h, h
     spare = n - (3 * n + 3) // 4
     order = np.lexsort((h, level))
     h, level = h[order], level[order]
     rare = int(np.count_nonzero(level == 0))
-    out = [mixed(h[: min(rare, spare + 1)])]
+    single, out = mixed(h[: min(rare, spare + 1)]), [h[:0]]
     if rare <= spare:
         for size in {n.bit_length(), (4 * n // 3).bit_length()}:
             m = max(1, (1 << (size - 1)) // 8)
@@ -123,7 +138,7 @@ def signatures(h: np.ndarray, level: np.ndarray) -> np.ndarray:
                 i, j = np.triu_indices(len(group), 1)
                 low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
                 out.append(mixed(mixed(low) * np.uint64(3) + mixed(high) + np.uint64(size)))
-    return np.concatenate(out)
+    return single, np.concatenate(out)
 
 
 def _signed(shared, shift: int):
@@ -131,17 +146,18 @@ def _signed(shared, shift: int):
         keys, levels = shared.value
         for batch in batches:
             for a, b, h, edges in _texts(batch, "__text"):
-                level = np.zeros(len(h), np.int8)
+                level = np.where(h < COUNTED, 0, 127).astype(np.int8)
                 if len(keys):
                     key = h >> np.uint64(shift)
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    level = np.where(keys[at] == key, levels[at], 0)
+                    level = np.where(keys[at] == key, np.maximum(levels[at], level), level)
                 found = [signatures(h[x:y], level[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-                of = np.repeat(np.arange(b - a), [len(x) for x in found])
-                node = np.asarray(batch.column("__node"))[a:b][of]
-                size = np.diff(edges)[of].astype(np.int32)
-                sig = (np.concatenate(found) if found else np.zeros(0, np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(size)], ["__sig", "__node", "__size"])
+                names, sizes = _names(h, edges, 0), np.diff(edges).astype(np.int32)
+                for pair in (0, 1):
+                    of = np.repeat(np.arange(b - a), [len(x[pair]) for x in found])
+                    sig = np.concatenate([x[pair] for x in found]).view(np.int64) if found else np.zeros(0, np.int64)
+                    salt = np.where(pair, 1 + (names[of].view(np.uint64) % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(salt), pa.array(names[of]), pa.array(sizes[of])], ["__sig", "__salt", "__node", "__size"])
 
     return run
 
@@ -160,16 +176,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
 
 
-def verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _texts_of(nodes: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(__node, __text), a table: for each of some nodes the text of one row that has its set."""
+    places = durable(sets.join(nodes, "__node", "left_semi").groupBy("__node").agg(F.min(F.struct("__k1", "__k2")).alias("k")).select("__node", "k.*"), "places")
+    few = F.broadcast(places) if places.count() <= MOST_BROADCAST_NODES else places  # 20 bytes a node
+    return durable(rows.select("__k1", "__k2", "__text").join(few, ["__k1", "__k2"]).select("__node", "__text").dropDuplicates(["__node"]), "texts")
+
+
+def verify(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of distinct candidate pairs (a, b) of nodes, as a table."""
     pairs = durable(pairs, "pairs")
-    nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct(), "nodes")
-    few = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST_NODES else nodes  # 8 bytes a node
-    texts = classes.select("__node", "__text").join(few, "__node", "left_semi")
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct(), rows, sets)
     left = texts.select(F.col("__node").alias("a"), F.col("__text").alias("__ta"))
     right = texts.select(F.col("__node").alias("b"), F.col("__text").alias("__tb"))
     out = durable(pairs.join(left, "a").join(right, "b").select("a", "b", "__ta", "__tb").mapInArrow(_verified, "a long, b long"), "links")
-    release(classes.sparkSession)
+    release(rows.sparkSession)
     return out
 
 
@@ -177,75 +198,174 @@ def _alike(a: str, b: str):
     return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
 
 
-def links(classes: DataFrame, total: int) -> DataFrame:
+def links(rows: DataFrame, sets: DataFrame, total: int) -> DataFrame:
     """Verified links (a, b) between nodes that connect all similar ones."""
-    spark = classes.sparkSession
-    shift, keys, levels = frequent_shingles(classes, total)
+    spark = rows.sparkSession
+    shift, keys, levels = frequent_shingles(rows, total, MOST_FREQUENT, LEAST_FREQUENT)
     release(spark)
     shared = spark.sparkContext.broadcast((keys, levels))
-    posts = classes.mapInArrow(_signed(shared, shift), "__sig long, __node long, __size int").repartition("__sig")
-    groups = posts.groupBy("__sig").agg(F.count("*").alias("__c"), F.min("__node").alias("a"), F.max("__node").alias("b"), F.min("__size").alias("__low"), F.max("__size").alias("__high")).where("__c > 1")
-    groups = durable(groups, "groups")
-    twos = groups.where((F.col("__c") == 2) & _alike("__low", "__high")).select("a", "b")
-    more = durable(posts.join(groups.where("__c > 2").select("__sig", "__c"), "__sig"), "posts")
+    posts = rows.mapInArrow(_signed(shared, shift), "__sig long, __salt int, __node long, __size int")
+    # single rare shingles are few by their count, so a window over one is small; pairs are dealt by node and kept
+    own = Window.partitionBy("__sig", "__salt")
+    met = posts.withColumn("__low", F.min("__node").over(own)).withColumn("__high", F.max("__node").over(own)).where("__salt > 0 OR __low <> __high")
+    met = durable(met.select("__sig", "__node", "__size"), "posts").distinct()
     release(spark)
-    lists = more.where(F.col("__c") <= SMALL).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__size")).alias("__l"))
+    counted = durable(met.join(met.groupBy("__sig").agg(F.count("*").alias("__c")).where("__c > 1"), "__sig"), "met")
+    lists = counted.where(F.col("__c") <= SMALL).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__size")).alias("__l"))
     few = lists.select(F.explode("__l").alias("x"), "__l").select("x", F.explode("__l").alias("y")).where((F.col("x.__node") < F.col("y.__node")) & _alike("x.__size", "y.__size"))
-    linked = verify(twos.union(few.select("x.__node", "y.__node")).distinct(), classes)
-    return _hot(more.where(F.col("__c") > SMALL).select("__sig", "__node", "__size"), linked, classes)
-
-
-def _hot(posts: DataFrame, linked: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds the links under signatures that many nodes share, in rounds."""
-    size, turn = posts.count(), 0
-    while size:
-        root = components(linked)
-        own = posts.join(root.select(F.col("a").alias("__node"), F.col("b").alias("__root")), "__node", "left")
-        own = own.withColumn("__root", F.coalesce("__root", "__node"))
-        parts = own.groupBy("__sig", "__root").count()
-        state = parts.groupBy("__sig").agg(F.sum("count").alias("__all"), F.sum(F.col("count") * F.col("count")).alias("__same"), F.max_by("__root", "count").alias("__main"))
-        state = durable(state.where(F.col("__all") * F.col("__all") > F.col("__same")), "state")
-        work = state.agg(F.sum((F.col("__all") * F.col("__all") - F.col("__same")) / 2)).first()[0] or 0
-        if not work:
-            break
-        own = durable(own.join(state.select("__sig", "__main"), "__sig"), "open")
-        last = work <= max(2 * size, 200_000)
-        if last:
-            pivots = own.where("__root <> __main")
-        else:
-            order = F.struct(F.col("__root") == F.col("__main"), F.xxhash64("__node", F.lit(turn)))
-            pivots = own.groupBy("__sig", F.pmod(F.xxhash64("__node"), F.lit(1 << turn)).alias("__p")).agg(F.min_by(F.struct("__node", "__size", "__root"), order).alias("p")).select("__sig", "p.*")
-            pivots = durable(pivots, "pivots")
-        p = pivots.select("__sig", F.col("__node").alias("a"), F.col("__size").alias("__sa"), F.col("__root").alias("__ra"))
-        pairs = own.join(p, "__sig").where((F.col("__root") != F.col("__ra")) & _alike("__size", "__sa"))
-        pairs = pairs.select(F.least("a", "__node").alias("a"), F.greatest("a", "__node").alias("b")).distinct()
-        linked = durable(linked.union(verify(pairs, classes)), "links")
-        if last:
-            break
-        posts = durable(own.select("__sig", "__node", "__size").join(pivots.select("__sig", "__node"), ["__sig", "__node"], "left_anti"), "posts")
-        size, turn = posts.count(), turn + 1
-    return linked
+    linked = verify(few.select(F.col("x.__node").alias("a"), F.col("y.__node").alias("b")).distinct(), rows, sets)
+    hot = durable(counted.where(F.col("__c") > SMALL).select("__sig", "__node", "__size"), "hot")
+    return _hot(hot, linked, rows, sets)
+
+
+class Groups:
+    """Union-find over small integers."""
+
+    def __init__(self, names: np.ndarray):
+        _, first, self.up = np.unique(names, return_index=True, return_inverse=True)
+        self.up = first[self.up].tolist()
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.up[self.find(i)] = self.find(j)
+
+
+def _bitmaps(sets: list[np.ndarray], words: int = 32) -> np.ndarray:
+    out = np.zeros((len(sets), words), np.uint64)
+    for i, s in enumerate(sets):
+        bit = s % np.uint64(64 * words)
+        np.bitwise_or.at(out[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def spanning_links(left: tuple, right: tuple, same: bool) -> tuple[list[int], list[int]]:
+    """Links between two blocks (nodes, roots, sets) that connect all similar members of different roots.
+
+    Bitmaps bound the difference of two sets from below, so pairs they rule out are not similar; the others are
+    intersected, unless links found so far connect them.
+    """
+    nodes = np.concatenate([left[0], right[0]])
+    groups = Groups(np.concatenate([left[1], right[1]]))
+    known: dict[int, int] = {}
+    for i, n in enumerate(nodes.tolist()):  # a node in both blocks is one
+        if n in known:
+            groups.join(i, known[n])
+        known.setdefault(n, i)
+    a, b = _bitmaps(left[2]), _bitmaps(right[2])
+    size_a, size_b = (np.array([len(s) for s in side[2]]) for side in (left, right))
+    out: tuple[list[int], list[int]] = ([], [])
+    for i in range(len(a)):
+        differ = np.bitwise_count(a[i] ^ b).sum(1, dtype=np.int64)
+        total = size_a[i] + size_b
+        may = 100 * (total - differ) >= 75 * (total + differ)
+        if same:
+            may[: i + 1] = False
+        for j in np.flatnonzero(may).tolist():
+            if groups.find(i) == groups.find(len(a) + j):
+                continue
+            shared = len(np.intersect1d(left[2][i], right[2][j], assume_unique=True))
+            if 100 * shared >= 75 * (total[j] - shared):
+                groups.join(i, len(a) + j)
+                out[0].append(int(left[0][i]))
+                out[1].append(int(right[0][j]))
+    return out
+
+
+def _members(column: pa.Array, row: int) -> tuple:
+    items = column[row].values
+    nodes, roots = (np.asarray(items.field(n)) for n in ("__node", "__root"))
+    return nodes, roots, [np.frombuffer(x.as_py(), np.uint64) for x in items.field("__set")]
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(len(batch)):
+            same = batch.column("__same")[row].as_py()
+            a, b = spanning_links(_members(batch.column("__left"), row), _members(batch.column("__right"), row), same)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], ["a", "b"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, h, edges in _texts(batch, "__text"):
+            sets = [h[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("__node").slice(a, b - a), pa.array(sets, pa.binary())], ["__node", "__set"])
+
+
+def _hot(posts: DataFrame, linked: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds the links under signatures that many nodes share.
+
+    Nodes that such signatures connect are a family. A family's members are dealt to blocks of bounded size, and tasks compare
+    block with block on the sets themselves, giving only the links that connect. First each block is compared with itself and
+    with the family's first; then most of a family of near copies is one component, and what is outside the
+    largest is compared with all blocks. So all pairs of different components are compared, in few rows.
+    """
+    spark = rows.sparkSession
+    if not posts.head(1):
+        return linked
+    least = posts.groupBy("__sig").agg(F.min("__node").alias("b"))
+    family = components(posts.join(least, "__sig").select(F.col("__node").alias("a"), "b").distinct())
+    nodes = posts.select("__node").distinct().join(family.select(F.col("a").alias("__node"), F.col("b").alias("__family")), "__node", "left")
+    nodes = nodes.withColumn("__family", F.coalesce("__family", "__node"))
+    texts = _texts_of(nodes.select("__node"), rows, sets)
+    packed = texts.mapInArrow(_packed, "__node long, __set binary").join(nodes, "__node")
+    sizes = packed.groupBy("__family").agg(F.sum(F.length("__set")).alias("__bytes"))
+    blocks = F.ceil(F.col("__bytes") / BLOCK_BYTES)
+    packed = durable(packed.join(sizes, "__family").withColumn("__block", F.pmod(F.xxhash64("__node"), blocks)).drop("__bytes"), "packed")
+    release(spark)
+
+    def blocked(df: DataFrame, name: str) -> DataFrame:
+        """Members with their present roots, a row a block."""
+        root = components(linked).select(F.col("a").alias("__node"), F.col("b").alias("__root"))
+        own = df.join(root, "__node", "left").withColumn("__root", F.coalesce("__root", "__node"))
+        return durable(own.groupBy("__family", "__block").agg(F.collect_list(F.struct("__node", "__root", "__set")).alias(name)), "blocks")
+
+    every = blocked(packed, "__left")
+    first = every.groupBy("__family").agg(F.min_by("__left", "__block").alias("__right"), F.min("__block").alias("__first"))
+    own = every.select("__left", F.col("__left").alias("__right"), F.lit(True).alias("__same"))
+    start = every.join(first, "__family").where("__block <> __first").select("__left", "__right", F.lit(False).alias("__same"))
+    linked = durable(linked.unionByName(own.unionByName(start).repartition(F.xxhash64("__left"), F.xxhash64("__right")).mapInArrow(_across, "a long, b long")), "links")
+    release(spark)
+
+    root = components(linked).select(F.col("a").alias("__node"), F.col("b").alias("__root"))
+    placed = nodes.join(root, "__node", "left").withColumn("__root", F.coalesce("__root", "__node"))
+    parts = placed.groupBy("__family", "__root").agg(F.count("*").alias("__n"))
+    main = parts.groupBy("__family").agg(F.max_by("__root", F.struct("__n", "__root")).alias("__main"), F.count("*").alias("__parts")).where("__parts > 1")
+    outside = durable(placed.join(main, "__family").where("__root <> __main").select("__node"), "outside")
+    if not outside.head(1):
+        return linked
+    some = packed.join(outside, "__node", "left_semi").drop("__block")
+    weigh = some.groupBy("__family").agg(F.ceil(F.sum(F.length("__set")) / BLOCK_BYTES).alias("__blocks"))
+    some = some.join(weigh, "__family").withColumn("__block", F.pmod(F.xxhash64("__node", F.lit(1)), F.col("__blocks"))).drop("__blocks")
+    pairs = blocked(some, "__left").drop("__block").join(blocked(packed.join(main.select("__family"), "__family", "left_semi"), "__right").drop("__block"), "__family")
+    more = pairs.select("__left", "__right", F.lit(False).alias("__same")).repartition(F.xxhash64("__left"), F.xxhash64("__right")).mapInArrow(_across, "a long, b long")
+    out = durable(linked.unionByName(more.where("a <> b")), "links")
+    release(spark)
+    return out
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id (smallest id reachable by links), class_links (links verified for its class)."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    """Per row of docs: id, n_shingles, component_id (smallest id reachable by links), class_links (links verified for its set).
+
+    Sets are named by 64 bits; texts are read for each pass, shuffled only where they are candidates.
+    """
+    rows = keyed(docs, id_col, text_col)
     kind = dict(rows.dtypes)["__id"]
-    sets = rows.mapInArrow(_sets, f"__id {kind}, __text string, n_shingles long, __s1 long, __s2 long")
+    sets = durable(rows.mapInArrow(_sets, f"__k1 long, __k2 int, __id {kind}, n_shingles long, __node long"), "sets")
     full = sets.where("n_shingles > 0")
-    name = ["__s1", "__s2"]
-    classes = full.groupBy(*name).agg(F.min("__id").alias("__least"), F.first("__text").alias("__text"), F.first("n_shingles").alias("n_shingles"))
-    classes = durable(classes.withColumn("__node", F.monotonically_increasing_id()), "classes")
-    release(docs.sparkSession)
-    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    found = links(classes, total)
-    root = components(found)
+    total = full.agg(F.sum("n_shingles")).first()[0] or 0
+    found = links(rows, full, total)
+    root = components(found).select(F.col("a").alias("__node"), F.col("b").alias("__root"))
     degree = found.select(F.explode(F.array("a", "b")).alias("__node")).groupBy("__node").agg(F.count("*").alias("__links"))
-    nodes = classes.select(*name, "__node", "__least").join(root.select(F.col("a").alias("__node"), F.col("b").alias("__root")), "__node", "left")
-    nodes = durable(nodes.join(degree, "__node", "left").withColumn("__root", F.coalesce("__root", "__node")), "components")
+    nodes = full.groupBy("__node").agg(F.min("__id").alias("__least")).join(root, "__node", "left").join(degree, "__node", "left")
+    nodes = durable(nodes.withColumn("__root", F.coalesce("__root", "__node")), "components")
     least = nodes.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    named = nodes.join(least, "__root").select(*name, "component_id", F.coalesce("__links", F.lit(0)).alias("class_links"))
-    out = sets.select("__id", "n_shingles", *name).join(named, name, "left")
+    named = nodes.join(least, "__root").select("__node", "component_id", F.coalesce("__links", F.lit(0)).alias("class_links"))
+    out = sets.join(named, "__node", "left")
     alone = F.col("n_shingles") == 0
     return out.select(F.col("__id").alias(id_col), "n_shingles", F.when(alone, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("class_links")).alias("class_links"))
 
