@@ -187,6 +187,7 @@ def verify(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of distinct candidate pairs (a, b) of nodes, as a table."""
     pairs = durable(pairs, "pairs")
     texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct(), rows, sets)
+    release(rows.sparkSession)
     left = texts.select(F.col("__node").alias("a"), F.col("__text").alias("__ta"))
     right = texts.select(F.col("__node").alias("b"), F.col("__text").alias("__tb"))
     out = durable(pairs.join(left, "a").join(right, "b").select("a", "b", "__ta", "__tb").mapInArrow(_verified, "a long, b long"), "links")
@@ -211,6 +212,7 @@ def links(rows: DataFrame, sets: DataFrame, total: int) -> DataFrame:
     met = durable(met.select("__sig", "__node", "__size"), "posts").distinct()
     release(spark)
     counted = durable(met.join(met.groupBy("__sig").agg(F.count("*").alias("__c")).where("__c > 1"), "__sig"), "met")
+    release(spark)
     lists = counted.where(F.col("__c") <= SMALL).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__size")).alias("__l"))
     few = lists.select(F.explode("__l").alias("x"), "__l").select("x", F.explode("__l").alias("y")).where((F.col("x.__node") < F.col("y.__node")) & _alike("x.__size", "y.__size"))
     linked = verify(few.select(F.col("x.__node").alias("a"), F.col("y.__node").alias("b")).distinct(), rows, sets)
