@@ -53,6 +53,7 @@ def _planned(docs: DataFrame, id_col, text_col, source_col, weights, budget, max
         docs.withColumn("__size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
         .withColumn("__s", F.coalesce(F.concat(F.lit("a"), F.col(source_col)), F.lit("b")))
         .withColumn("__order", order)
+        .withColumn("__tie", F.xxhash64(text_col))
         .withColumn("__bucket", F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") % buckets)
     )
     groups = rows.groupBy("__s", "__bucket").agg(F.sum("__size").alias("__size"))
@@ -65,7 +66,7 @@ def _planned(docs: DataFrame, id_col, text_col, source_col, weights, budget, max
         .withColumn("__whole", F.when(F.col("source_size") > 0, F.floor(F.try_divide(F.col("target"), F.col("source_size")))).otherwise(0))
         .withColumn("__quota", F.col("target") - F.col("__whole") * F.col("source_size"))
     )
-    inside = Window.partitionBy("__s", "__bucket").orderBy("__order", "__size", F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__s", "__bucket").orderBy("__order", "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("__base") + F.coalesce(F.sum("__size").over(inside), F.lit(0))
     more = (F.col("__whole") < max_epochs) & (start + F.col("__size") / 2 <= F.col("__quota"))
     return rows.join(quotas, ["__s", "__bucket"]).withColumn("__reps", F.col("__whole").cast("int") + F.when(more, 1).otherwise(0))
