@@ -25,9 +25,9 @@ class Network:
         for way in "fb":
             self.p |= {f"w{way}": draw(d, 3 * HIDDEN) * 2, f"u{way}": draw(HIDDEN, 3 * HIDDEN) * 2, f"g{way}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def inputs(self, word: np.ndarray, chars: np.ndarray, count: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """A row for each distinct word; chars are trigram numbers, padded with -1."""
-        mean = np.where((chars >= 0)[..., None], self.p["chars"][np.maximum(chars, 0)], 0).sum(1) / np.maximum(count, 1)[:, None]
+    def inputs(self, word: np.ndarray, codes: np.ndarray, count: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """A row for each distinct word; codes are all words' trigram numbers in a row, count of them each (one at least)."""
+        mean = np.add.reduceat(self.p["chars"][codes], np.cumsum(count) - count, axis=0) / count[:, None]
         return np.concatenate([self.p["words"][word], mean, 3 * number[:, None]], 1).astype(np.float32)
 
     def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:

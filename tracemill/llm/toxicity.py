@@ -5,8 +5,8 @@ more often toxic training documents hold the word than others (for a training do
 trained in numpy on the driver from at most `sample` labelled documents of each class (a documented bound), none of
 held-out fold 1. In each epoch a document teaches with the windows that the network itself finds most toxic, since those
 decide its score; a clean one with some others too. Every document is scored over all its windows of LENGTH words, one each STRIDE words,
-so that each word is read in two contexts; the largest score counts. Input projections are computed once for each
-distinct word of a slice, and windows go through in batches, so memory is bounded by the slice.
+so that windows overlap by a quarter; the largest score counts. Input projections are computed once for each
+distinct word, and windows go through in batches, so memory is bounded by the slice.
 
 Cases: null and empty texts score 0; without labelled rows of both classes every score is 0; repeated rows get
 equal scores; labels, languages, sources and ids are no inputs; an empty table gives an empty result; further columns are ignored.
@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import fold, labelled_sample, slices
-from tracemill.llm.gru import Adam, Network
+from tracemill.llm.common import fold, labelled_sample, slices, small_batches
+from tracemill.llm.gru import HIDDEN, Adam, Network
 
-LENGTH, STRIDE = 32, 16
+LENGTH, STRIDE = 32, 24
 STEPS = 200
-WORDS, TRIGRAMS, MOST_TRIGRAMS = 4096, 4096, 24
-BATCH = 4096
+WORDS, TRIGRAMS = 4096, 4096
+BATCH = 2048
+MOST_WORDS = 300_000
 
 
 def plain(word: bytes) -> str:
@@ -37,17 +38,25 @@ def plain(word: bytes) -> str:
 
 
 def _numbers(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word number, trigram numbers (an even choice of a long word's) and how many, for each word."""
-    ids = np.fromiter((zlib.crc32(w.encode()) % WORDS for w in words), np.int64, len(words))
-    chars = np.full((len(words), MOST_TRIGRAMS), -1, np.int32)
-    count = np.zeros(len(words), np.int32)
-    for i, w in enumerate(words):
-        raw = f"^{w}$".encode()
-        n = max(1, len(raw) - 2)
-        step = -(-n // MOST_TRIGRAMS)
-        found = [(raw[j] * 961 + raw[j + 1] * 31 + raw[j + 2]) % TRIGRAMS if j + 2 < len(raw) else 0 for j in range(0, n, step)]
-        chars[i, : len(found)], count[i] = found, len(found)
-    return ids, chars, count
+    """Word number of each word, trigram numbers of all in a row, and how many each has."""
+    raw = [f"^{w}$ ".encode() for w in words]  # the space keeps one trigram in the shortest
+    ids = np.fromiter((zlib.crc32(w) % WORDS for w in raw), np.int64, len(raw))
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+    codes = (data[:-2] * 961 + data[1:-1] * 31 + data[2:]) % TRIGRAMS if len(data) else data
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(codes), bool)
+    for back in (1, 2):  # trigrams that reach into the next word
+        cut = ends - back
+        inside[cut[cut < len(codes)]] = False
+    return ids, codes[inside], sizes - 2
+
+
+def _some(numbers: tuple, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of some of the words."""
+    ids, codes, count = numbers
+    starts, n = (np.cumsum(count) - count)[rows], count[rows]
+    return ids[rows], codes[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
 
 def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,14 +77,29 @@ def _windows(start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.nd
 
 
 class Scorer:
-    """A trained network with the word table behind its third input."""
+    """A trained network with the word table behind its third input; keeps the gates of at most MOST_WORDS words."""
 
     def __init__(self, network: Network | None, odds: dict[str, float]):
         self.network, self.odds = network, odds
+        self.clear()
 
-    def inputs(self, words: list[str]) -> np.ndarray:
-        odds = np.fromiter((self.odds.get(w, 0.0) for w in words), np.float32, len(words))
-        return self.network.inputs(*_numbers(words), odds)
+    def __getstate__(self):
+        return {"network": self.network, "odds": self.odds}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.forms: dict[str, int] = {}
+        self.gates = {way: np.zeros((0, 3 * HIDDEN), np.float32) for way in "fb"}
+
+    def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            odds = np.fromiter((self.odds.get(w, 0.0) for w in part), np.float32, len(part))
+            new = self.network.projected(self.network.inputs(*_numbers(part), odds))
+            self.gates = {way: np.concatenate([self.gates[way], new[way]]) for way in "fb"}
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The largest window score of each text."""
@@ -84,19 +108,25 @@ class Scorer:
         counts = np.array([len(s) for s in split], np.int64)
         if self.network is None or not counts.sum():
             return out
-        known: dict[bytes, int] = {}
-        at = np.fromiter((known.setdefault(w, len(known)) for s in split for w in s), np.int64, counts.sum())
+        if len(self.known) > MOST_WORDS:
+            self.clear()
         # words that differ in case and punctuation only are one word here
-        forms: dict[str, int] = {}
-        to = np.fromiter((forms.setdefault(plain(w), len(forms)) for w in known), np.int64, len(known))
-        words, gates = list(forms), {}
-        parts = [self.network.projected(self.inputs(words[i : i + 20_000])) for i in range(0, len(words), 20_000)]
-        gates = {way: np.concatenate([p[way] for p in parts]) for way in "fb"}
-        at = to[at]
+        known, forms, new = self.known, self.forms, []
+        for s in split:
+            for w in s:
+                if w not in known:
+                    form = plain(w)
+                    if form not in forms:
+                        forms[form] = len(forms)
+                        new.append(form)
+                    known[w] = forms[form]
+        if new:
+            self._learn(new)
+        at = np.fromiter((known[w] for s in split for w in s), np.int64, counts.sum())
         text, start, size = spread(counts)
         for i in range(0, len(text), BATCH):
             own = slice(i, i + BATCH)
-            logits = self.network.run(gates, *_windows(start[own], size[own], at))
+            logits = self.network.run(self.gates, *_windows(start[own], size[own], at))
             np.maximum.at(out, text[own], 1 / (1 + np.exp(-np.clip(logits, -30, 30))))
         return out
 
@@ -106,7 +136,7 @@ def _log_odds(t, n, toxic: int, clean: int):
     return np.tanh((np.log((t + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1))) / 3) * (t + n) / (t + n + 2 + 0.05 * toxic)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, epochs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1000, epochs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """A scorer from a bounded sample of labelled documents outside the held-out fold."""
     rows = labelled_sample(docs, labels, "toxic", sample, id_col, text_col)
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], int), epochs)
@@ -158,18 +188,18 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 10) -> Scorer:
         for i in range(0, len(use), 256):
             own = use[i : i + 256]
             rows, back = np.unique(at_all[own], return_inverse=True)
-            ids, chars, count = (x[rows] for x in numbers)
+            ids, codes, count = _some(numbers, rows)
             drop = rng.random(len(rows)) < 0.5
-            x = net.inputs(np.where(drop, 0, ids), chars, count, odds[rows])
+            x = net.inputs(np.where(drop, 0, ids), codes, count, odds[rows])
             slopes, dx = net.slopes(x, back.reshape(len(own), LENGTH), real_all[own], label[own], np.where(label[own] == 1, min(balance, 4.0), 1.0).astype(np.float32))
             dw, dc = np.zeros_like(net.p["words"]), np.zeros_like(net.p["chars"])
             wide = net.p["words"].shape[1]
             np.add.at(dw, np.where(drop, 0, ids), dx[:, :wide])
-            r, c = np.nonzero(chars >= 0)
-            np.add.at(dc, chars[r, c], dx[r, wide:-1] / np.maximum(count[r], 1)[:, None])
+            np.add.at(dc, codes, np.repeat(dx[:, wide:-1] / count[:, None], count, axis=0))
             done += 1
             adam.move(slopes | {"words": dw, "chars": dc}, 1e-4)
-        gates = net.projected(net.inputs(*numbers, odds))
+        parts = [net.projected(net.inputs(*_some(numbers, np.arange(i, min(i + 20_000, len(keys)))), odds[i : i + 20_000])) for i in range(0, len(keys), 20_000)]
+        gates = {way: np.concatenate([p[way] for p in parts]) for way in "fb"}
         top = np.concatenate([net.run(gates, at_all[i : i + BATCH], real_all[i : i + BATCH]) for i in range(0, len(at_all), BATCH)])
         top = 1 / (1 + np.exp(-np.clip(top, -30, 30)))
     return scorer
@@ -190,6 +220,7 @@ def _score(shared):
 def score(docs: DataFrame, scorer: Scorer, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, score, predicted. No shuffle; the network (under 2 MB) and its word table are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = dict(rows.dtypes)["__id"]
     out = rows.mapInArrow(_score(shared), f"__id {kind}, score double")
