@@ -64,3 +64,25 @@ def test_hard_rows(spark):
     assert not toxicity.score(docs.limit(0), scorer).collect()
     none = toxicity.train(docs, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
+
+
+def test_every_window_start_is_scored():
+    texts = [f"you are a {w} person and nobody likes it {i}" if i % 2 else f"it is a fine day and the sun is out {i}" for i in range(80) for w in ("zorg",)]
+    scorer = toxicity.fit(texts, np.array([i % 2 for i in range(80)]))
+    # a cluster of scattered words of 30 words' length, wherever it stands among plain ones, and texts at a window's length
+    rng = np.random.default_rng(1)
+    vocabulary = "it is a fine day and the sun is out you are zorg person nobody likes".split()
+    cluster = "zorg fine day and the sun nobody it is a likes fine day zorg and the sun is out it person is a fine zorg day and the nobody out".split()
+    rows = ["fine " * shift + " ".join(cluster) + " fine" * (100 - shift) for shift in range(32, 62)]
+    rows += [" ".join(rng.choice(vocabulary, n)) for n in (1, 2, 31, 32, 33, 34, 200)] + [""]
+    got = scorer.scores([r.encode() for r in rows])
+    want = []
+    for r in rows:
+        words = [toxicity.plain(w) for w in r.encode().split()]
+        odds = np.array([scorer.odds.get(w, 0.0) for w in words], np.float32)
+        starts = range(max(1, len(words) - toxicity.LENGTH + 1)) if words else ()
+        gates = scorer.network.projected(scorer.network.inputs(*toxicity._numbers(words), odds)) if words else None
+        logits = [scorer.network.run(gates, np.arange(s, min(s + toxicity.LENGTH, len(words)))[None], np.ones((1, min(toxicity.LENGTH, len(words))), bool))[0] for s in starts]
+        want.append(max((1 / (1 + np.exp(-z)) for z in logits), default=0.0))
+    assert np.allclose(got, want, atol=1e-5), np.abs(got - want).max()
+    assert np.ptp(got[:30]) < 1e-5

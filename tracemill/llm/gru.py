@@ -63,6 +63,47 @@ class Network:
         logits = pooled @ self.p["u"] + self.p["b"][0]
         return (logits, states, share, pooled, kept) if keep else logits
 
+    def every(self, gates: dict[str, np.ndarray], at: np.ndarray, length: int, most: int = 2048) -> np.ndarray:
+        """Logits of the full windows of so many words at each of the words whose rows of gates stand in `at`.
+
+        Neighbours share gates, so steps read slices, not rows; of a state only its two sums for the attention are kept.
+        """
+        n, k, p = max(0, len(at) - length + 1), HIDDEN, self.p
+        out = np.empty(n, np.float32)
+        # as exponents: sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 1 - 2 / (1 + exp(2 x))
+        scale = np.concatenate([np.full(2 * k, -1), np.full(k, 2)]).astype(np.float32)
+        sides = {"f": slice(0, k), "b": slice(k, 2 * k)}
+        u = {way: np.concatenate([(p[f"u{way}"] * scale).T, p["v"][None, side], p["u"][None, side]]) for way, side in sides.items()}
+        for i in range(0, n, most):
+            m = min(most, n - i)
+            e, value = np.zeros((length, m), np.float32), np.zeros((length, m), np.float32)
+            zr, c = np.empty((2 * k, m), np.float32), np.empty((k, m), np.float32)
+            z, r = zr[:k], zr[k:]
+            for way, order in (("f", range(length)), ("b", range(length - 1, -1, -1))):
+                g = np.ascontiguousarray((gates[way][at[i : i + m + length - 1]] * scale).T)
+                h, a = np.zeros((k, m), np.float32), np.zeros((3 * k + 2, m), np.float32)
+                for t in order:
+                    with np.errstate(over="ignore"):  # an infinite exponential gives the limit
+                        np.exp(np.add(g[: 2 * k, t : t + m], a[: 2 * k], out=zr), out=zr)
+                        zr += 1
+                        np.reciprocal(zr, out=zr)
+                        np.multiply(r, a[2 * k : 3 * k], out=c)
+                        c += g[2 * k :, t : t + m]
+                        np.exp(c, out=c)
+                    c += 1
+                    np.divide(-2, c, out=c)
+                    c += 1
+                    c -= h
+                    c *= z
+                    h += c
+                    np.matmul(u[way], h, out=a)
+                    e[t] += a[-2]
+                    value[t] += a[-1]
+            e -= e.max(0)
+            np.exp(e, out=e)
+            out[i : i + m] = (e * value).sum(0) / e.sum(0) + p["b"][0]
+        return out
+
     def slopes(self, x: np.ndarray, at: np.ndarray, real: np.ndarray, y: np.ndarray, weight: np.ndarray):
         """Gradients of the weighted logistic loss, and those of the rows of x."""
         logits, states, share, pooled, kept = self.run(self.projected(x), at, real, True)

@@ -4,9 +4,9 @@ The network reads words as an embedding, the mean of their character trigrams' e
 more often toxic training documents hold the word than others (for a training document: without itself). It is
 trained in numpy on the driver from at most `sample` labelled documents of each class (a documented bound), none of
 held-out fold 1. In each epoch a document teaches with the windows that the network itself finds most toxic, since those
-decide its score; a clean one with some others too. Every document is scored over all its windows of LENGTH words, one each STRIDE words,
-so that windows overlap by a quarter; the largest score counts. Input projections are computed once for each
-distinct word, and windows go through in batches, so memory is bounded by the slice.
+decide its score; a clean one with some others too. An epoch looks at one window each APART words, from another word on
+than the last epoch. Every document is scored over all its windows of LENGTH words, one from each word on; the largest score
+counts. Input projections are computed once for each distinct word, and windows go through in batches, so memory is bounded by the slice.
 
 Cases: null and empty texts score 0; without labelled rows of both classes every score is 0; repeated rows get
 equal scores; labels, languages, sources and ids are no inputs; an empty table gives an empty result; further columns are ignored.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import fold, labelled_sample, slices, small_batches
 from tracemill.llm.gru import HIDDEN, Adam, Network
 
-LENGTH, STRIDE = 32, 24
+LENGTH, STRIDE = 32, 1
+APART = 24
 STEPS = 200
 WORDS, TRIGRAMS = 4096, 4096
 BATCH = 2048
@@ -59,13 +60,17 @@ def _some(numbers: tuple, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return ids[rows], codes[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
 
-def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows over texts with so many words, which stand in a row: text, first word and length of each."""
-    more = np.where(counts > LENGTH, -(-(counts - LENGTH) // STRIDE), 0)
+def spread(counts: np.ndarray, stride: int | None = None, back: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows over texts with so many words, which stand in a row: text, first word and length of each.
+
+    One each `stride` words, all but a text's first and last moved back by `back`.
+    """
+    stride = stride or STRIDE
+    more = np.where(counts > LENGTH, -(-(counts - LENGTH + back) // stride), 0)
     each = np.where(counts > 0, 1 + more, 0)
     text = np.repeat(np.arange(len(counts)), each)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
-    start = np.minimum(nth * STRIDE, np.maximum(counts[text] - LENGTH, 0))
+    start = np.clip(nth * stride - back, 0, np.maximum(counts[text] - LENGTH, 0))
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
     return text, first[text] + start, np.minimum(counts[text], LENGTH)
 
@@ -123,12 +128,19 @@ class Scorer:
         if new:
             self._learn(new)
         at = np.fromiter((known[w] for s in split for w in s), np.int64, counts.sum())
-        text, start, size = spread(counts)
+        top = np.full(len(texts), -np.inf)
+        full = counts >= LENGTH
+        if full.any():
+            doc = np.repeat(np.flatnonzero(full), counts[full])
+            logits = self.network.every(self.gates, at[np.repeat(full, counts)], LENGTH)
+            inside = doc[: len(logits)] == doc[LENGTH - 1 :]
+            np.maximum.at(top, doc[: len(logits)][inside], logits[inside])
+        text = np.flatnonzero((counts > 0) & ~full)  # these have one window each
+        start, size = (np.cumsum(counts) - counts)[text], counts[text]
         for i in range(0, len(text), BATCH):
             own = slice(i, i + BATCH)
-            logits = self.network.run(self.gates, *_windows(start[own], size[own], at))
-            np.maximum.at(out, text[own], 1 / (1 + np.exp(-np.clip(logits, -30, 30))))
-        return out
+            top[text[own]] = self.network.run(self.gates, *_windows(start[own], size[own], at))
+        return np.where(counts > 0, 1 / (1 + np.exp(-np.clip(top, -30, 30))), 0)
 
 
 def _log_odds(t, n, toxic: int, clean: int):
@@ -166,11 +178,12 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 10) -> Scorer:
     n = np.array([seen[0][w] - (1 - label) for w, label in keys], float)
     odds = np.where(t + n >= 2, _log_odds(t, n, toxic, clean), 0).astype(np.float32)
     numbers = _numbers([w for w, _ in keys])
-    text, start, size = spread(counts)
     rng = np.random.default_rng(3)
-    at_all, real_all = _windows(start, size, at)
-    label, net = y[text].astype(np.float32), scorer.network
+    net = scorer.network
     adam = Adam(net.p, 0.01)
+    text, start, size = spread(counts, APART)
+    at_all, real_all = _windows(start, size, at)
+    label = y[text].astype(np.float32)
     top = np.where(real_all, odds[at_all], -1).max(1)
     done = 0
     for epoch in range(3 * epochs):
@@ -200,6 +213,9 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 10) -> Scorer:
             adam.move(slopes | {"words": dw, "chars": dc}, 1e-4)
         parts = [net.projected(net.inputs(*_some(numbers, np.arange(i, min(i + 20_000, len(keys)))), odds[i : i + 20_000])) for i in range(0, len(keys), 20_000)]
         gates = {way: np.concatenate([p[way] for p in parts]) for way in "fb"}
+        text, start, size = spread(counts, APART, int(rng.integers(APART)))
+        at_all, real_all = _windows(start, size, at)
+        label = y[text].astype(np.float32)
         top = np.concatenate([net.run(gates, at_all[i : i + BATCH], real_all[i : i + BATCH]) for i in range(0, len(at_all), BATCH)])
         top = 1 / (1 + np.exp(-np.clip(top, -30, 30)))
     return scorer
