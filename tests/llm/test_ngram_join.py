@@ -109,3 +109,14 @@ def test_signatures_meet():
         same = len(np.intersect1d(x, y))
         if 100 * same >= 75 * (len(x) + len(y) - same) and same < max(len(x), len(y)):  # equal sets are one node
             assert np.intersect1d(*(np.concatenate(nj.signatures(z, level(z))) for z in (x, y))).size, (trial, n)
+
+
+def test_links_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_BYTES", 16 << 10)  # several blocks a family
+    texts = near_copies(70, 120, 5) + near_copies(20, 40, 3, seed=4) + near_copies(6, 50, 2, seed=5) + ["one of its own kind", "", None]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [frozenset(sets_of(t)) for _, t in rows]
+    alike = lambda s, t: 100 * len(s & t) >= 75 * len(s | t)
+    want = {i: sum(t != s and alike(s, t) for t in set(sets) if t) if s else 0 for i, s in enumerate(sets)}
+    assert {r["doc_id"]: r["class_links"] for r in nj.ngram_join(docs).collect()} == want

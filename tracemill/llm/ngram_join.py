@@ -14,7 +14,8 @@ counts as frequent changes the work, never the result.
 Documents with equal sets are one node from the start, and copies are never expanded. Under a
 signature that up to SMALL nodes share, all pairs are candidates and are verified on the whole texts. Nodes that
 signatures with more connect are compared in blocks of bounded size, where links found so far spare the pairs
-they connect. A pair is left out only where verified links connect its two documents. So components are exact.
+they connect. A pair is left out only where verified links connect its two documents. So components are exact. The number
+of links of each node is counted apart, over all pairs of such blocks, and sent as sums by node, not as pairs.
 
 Cases: a null or empty text has an empty set and is linked with nothing; under five words the whole sequence is the
 only shingle; repeated rows are one class; a null id takes part, and the component's id is the
@@ -199,8 +200,8 @@ def _alike(a: str, b: str):
     return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
 
 
-def links(rows: DataFrame, sets: DataFrame, total: int) -> DataFrame:
-    """Verified links (a, b) between nodes that connect all similar ones."""
+def links(rows: DataFrame, sets: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between nodes that connect all similar ones, and (__node, __links): how many nodes are similar to each that has any."""
     spark = rows.sparkSession
     shift, keys, levels = frequent_shingles(rows, total, MOST_FREQUENT, LEAST_FREQUENT)
     release(spark)
@@ -220,6 +221,10 @@ def links(rows: DataFrame, sets: DataFrame, total: int) -> DataFrame:
     return _hot(hot, linked, rows, sets)
 
 
+def _degrees(linked: DataFrame) -> DataFrame:
+    return linked.select(F.explode(F.array("a", "b")).alias("__node")).groupBy("__node").agg(F.count("*").alias("__links"))
+
+
 class Groups:
     """Union-find over small integers."""
 
@@ -277,6 +282,51 @@ def spanning_links(left: tuple, right: tuple, same: bool) -> tuple[list[int], li
     return out
 
 
+def shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """How many members each two of the sets share."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if not len(both):
+        return out
+    places = []
+    for side in (left, right):
+        h, of = np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.minimum(np.searchsorted(both, h), len(both) - 1)
+        hit = both[at] == h
+        places.append((of[hit], at[hit]))
+    for c in range(0, len(both), width):
+        has = [np.zeros((n, min(width, len(both) - c)), np.float32) for n in out.shape]
+        for x, (of, at) in zip(has, places, strict=True):
+            own = (at >= c) & (at < c + width)
+            x[of[own], at[own] - c] = 1
+        out += (has[0] @ has[1].T).astype(np.int64)
+    return out
+
+
+def _tally(left: tuple, right: tuple, same: bool, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, links): for the members of two blocks, how many of the other block (of the same one: other members) are similar."""
+    own, other = np.zeros(len(left[0]), np.int64), np.zeros(len(right[0]), np.int64)
+    for i in range(0, len(own), most):
+        a = left[2][i : i + most]
+        for j in range(0, len(other), most):
+            b = right[2][j : j + most]
+            total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None]
+            n = shared(a, b)
+            alike = 100 * n >= 75 * (total - n)
+            own[i : i + most] += alike.sum(1)
+            other[j : j + most] += alike.sum(0)
+    if same:
+        return left[0], own - 1  # each is similar to itself
+    return np.concatenate([left[0], right[0]]), np.concatenate([own, other])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(len(batch)):
+            nodes, n = _tally(_members(batch.column("__left"), row), _members(batch.column("__right"), row), batch.column("__same")[row].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[n > 0]), pa.array(n[n > 0])], ["__node", "__links"])
+
+
 def _members(column: pa.Array, row: int) -> tuple:
     items = column[row].values
     nodes, roots = (np.asarray(items.field(n)) for n in ("__node", "__root"))
@@ -298,17 +348,19 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("__node").slice(a, b - a), pa.array(sets, pa.binary())], ["__node", "__set"])
 
 
-def _hot(posts: DataFrame, linked: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+def _hot(posts: DataFrame, linked: DataFrame, rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Adds the links under signatures that many nodes share.
 
     Nodes that such signatures connect are a family. A family's members are dealt to blocks of bounded size, and tasks compare
     block with block on the sets themselves, giving only the links that connect. First each block is compared with itself and
     with the family's first; then most of a family of near copies is one component, and what is outside the
-    largest is compared with all blocks. So all pairs of different components are compared, in few rows.
+    largest is compared with all blocks. So all pairs of different components are compared, in few rows. For the numbers of links,
+    all blocks of a family are compared with all; links from elsewhere count where they leave the family.
     """
     spark = rows.sparkSession
     if not posts.head(1):
-        return linked
+        return linked, _degrees(linked)
+    small = linked
     least = posts.groupBy("__sig").agg(F.min("__node").alias("b"))
     family = components(posts.join(least, "__sig").select(F.col("__node").alias("a"), "b").distinct())
     nodes = posts.select("__node").distinct().join(family.select(F.col("a").alias("__node"), F.col("b").alias("__family")), "__node", "left")
@@ -329,6 +381,14 @@ def _hot(posts: DataFrame, linked: DataFrame, rows: DataFrame, sets: DataFrame)
     every = blocked(packed, "__left")
     first = every.groupBy("__family").agg(F.min_by("__left", "__block").alias("__right"), F.min("__block").alias("__first"))
     own = every.select("__left", F.col("__left").alias("__right"), F.lit(True).alias("__same"))
+    last = every.groupBy("__family").agg(F.max("__block").alias("__last"))
+    low = every.join(last, "__family").select("__family", F.col("__block").alias("__low"), F.explode(F.sequence("__block", "__last")).alias("__high"), "__left")
+    high = every.select("__family", F.explode(F.sequence(F.lit(0).cast("bigint"), "__block")).alias("__low"), F.col("__block").alias("__high"), F.col("__left").alias("__right"))
+    paired = low.join(high.hint("shuffle_merge"), ["__family", "__low", "__high"]).select("__left", "__right", (F.col("__low") == F.col("__high")).alias("__same"))
+    inside = paired.mapInArrow(_counts, "__node long, __links long")
+    of = nodes.select(F.col("__node").alias("a"), F.col("__family").alias("__fa")), nodes.select(F.col("__node").alias("b"), F.col("__family").alias("__fb"))
+    leaving = small.distinct().join(of[0], "a", "left").join(of[1], "b", "left").where("__fa IS NULL OR __fb IS NULL OR __fa <> __fb")
+    degrees = inside.unionByName(_degrees(leaving)).groupBy("__node").agg(F.sum("__links").alias("__links"))
     start = every.join(first, "__family").where("__block <> __first").select("__left", "__right", F.lit(False).alias("__same"))
     linked = durable(linked.unionByName(own.unionByName(start).repartition(F.xxhash64("__left"), F.xxhash64("__right")).mapInArrow(_across, "a long, b long")), "links")
     release(spark)
@@ -339,7 +399,7 @@ def _hot(posts: DataFrame, linked: DataFrame, rows: DataFrame, sets: DataFrame)
     main = parts.groupBy("__family").agg(F.max_by("__root", F.struct("__n", "__root")).alias("__main"), F.count("*").alias("__parts")).where("__parts > 1")
     outside = durable(placed.join(main, "__family").where("__root <> __main").select("__node"), "outside")
     if not outside.head(1):
-        return linked
+        return linked, degrees
     some = packed.join(outside, "__node", "left_semi").drop("__block")
     weigh = some.groupBy("__family").agg(F.ceil(F.sum(F.length("__set")) / BLOCK_BYTES).alias("__blocks"))
     some = some.join(weigh, "__family").withColumn("__block", F.pmod(F.xxhash64("__node", F.lit(1)), F.col("__blocks"))).drop("__blocks")
@@ -347,11 +407,11 @@ def _hot(posts: DataFrame, linked: DataFrame, rows: DataFrame, sets: DataFrame)
     more = pairs.select("__left", "__right", F.lit(False).alias("__same")).repartition(F.xxhash64("__left"), F.xxhash64("__right")).mapInArrow(_across, "a long, b long")
     out = durable(linked.unionByName(more.where("a <> b")), "links")
     release(spark)
-    return out
+    return out, degrees
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id (smallest id reachable by links), class_links (links verified for its set).
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
+    """Per row of docs: id, n_shingles, component_id (smallest id reachable by links), class_links (how many other sets are similar to its set; only if counted).
 
     Sets are named by 64 bits; texts are read for each pass, shuffled only where they are candidates.
     """
@@ -360,16 +420,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = durable(rows.mapInArrow(_sets, f"__k1 long, __k2 int, __id {kind}, n_shingles long, __node long"), "sets")
     full = sets.where("n_shingles > 0")
     total = full.agg(F.sum("n_shingles")).first()[0] or 0
-    found = links(rows, full, total)
+    found, degree = links(rows, full, total)
     root = components(found).select(F.col("a").alias("__node"), F.col("b").alias("__root"))
-    degree = found.select(F.explode(F.array("a", "b")).alias("__node")).groupBy("__node").agg(F.count("*").alias("__links"))
+    if not counted:  # the plan that counts is never run
+        degree = full.sparkSession.createDataFrame([], "__node long, __links long")
     nodes = full.groupBy("__node").agg(F.min("__id").alias("__least")).join(root, "__node", "left").join(degree, "__node", "left")
     nodes = durable(nodes.withColumn("__root", F.coalesce("__root", "__node")), "components")
     least = nodes.groupBy("__root").agg(F.min("__least").alias("component_id"))
     named = nodes.join(least, "__root").select("__node", "component_id", F.coalesce("__links", F.lit(0)).alias("class_links"))
     out = sets.join(named, "__node", "left")
     alone = F.col("n_shingles") == 0
-    return out.select(F.col("__id").alias(id_col), "n_shingles", F.when(alone, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("class_links")).alias("class_links"))
+    out = out.select(F.col("__id").alias(id_col), "n_shingles", F.when(alone, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("class_links")).alias("class_links"))
+    return out if counted else out.drop("class_links")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,7 +440,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows alike in that id, one stays. Only ids are shuffled for the choice; texts move once, by row key.
     """
     key = F.xxhash64(F.col(id_col), F.lit("|"), F.col(text_col))
-    joined = durable(ngram_join(docs.withColumn("__key", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k"))), "__key", text_col), "near")
+    joined = durable(ngram_join(docs.withColumn("__key", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k"))), "__key", text_col, counted=False), "near")
     chosen = joined.where((F.col("n_shingles") == 0) | (F.col("__key") == F.col("component_id"))).select(F.col("__key.k").alias("__k")).distinct()
     columns = docs.columns
     kept = docs.withColumn("__k", key).join(chosen, "__k", "left_semi")
