@@ -34,11 +34,49 @@ def test_slopes_match_differences():
 
 def test_windows_cover_every_word():
     counts = np.array([0, 1, 32, 33, 200])
-    text, start, size = toxicity.spread(counts)
     first = np.concatenate([[0], np.cumsum(counts)])
-    for n, c in enumerate(counts):
-        seen = {w for t, s, z in zip(text, start, size, strict=True) if t == n for w in range(s, s + z)}
-        assert seen == set(range(first[n], first[n] + c))
+    for stride, back in ((1, 0), (24, 0), (24, 7)):
+        text, start = toxicity.spread(counts, stride, back)
+        for n, c in enumerate(counts):
+            seen = {w for t, s in zip(text, start, strict=True) if t == n for w in range(s, min(s + toxicity.LENGTH, first[n] + c))}
+            assert seen == set(range(first[n], first[n] + c))
+
+
+def one_by_one(net, gates, rows, width, part=1024, warm=64):
+    """Logits of the windows at each word of one text, a step at a time."""
+    n, k = len(rows), gru.HIDDEN
+    states = np.zeros((n, 2 * k))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for low in range(0, n, part):
+        high = min(low + part, n)
+        for way, side, steps in (("f", slice(0, k), range(max(0, low - warm), high)), ("b", slice(k, 2 * k), range(min(n, high + warm) - 1, low - 1, -1))):
+            h = np.zeros(k)
+            for t in steps:
+                g, a = gates[way][rows[t]], h @ net.p[f"u{way}"]
+                z, r = sigmoid(g[:k] + a[:k]), sigmoid(g[k : 2 * k] + a[k : 2 * k])
+                h = h + z * (np.tanh(g[2 * k :] + r * a[2 * k :]) - h)
+                if low <= t < high:
+                    states[t, side] = h
+    out = []
+    for s in range(n):
+        own = states[s : s + width]
+        share = np.exp(own @ net.p["v"])
+        out.append(share @ own @ net.p["u"] / share.sum() + net.p["b"][0])
+    return np.array(out)
+
+
+def test_all_windows_match_steps_one_by_one():
+    net, rng = gru.Network(20, 30), np.random.default_rng(4)
+    net.p["v"], net.p["u"] = net.p["v"] * 4, net.p["u"] * 4
+    gates = {way: rng.standard_normal((9, 3 * gru.HIDDEN)).astype(np.float32) for way in "fb"}
+    counts = np.array([0, 1, 3, 8, 0, 9, 31, 40, 41, 100, 0])
+    at = rng.integers(0, 9, counts.sum())
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    for width, part, warm in ((8, 1024, 64), (32, 20, 6), (1, 7, 0), (4, 5, 9)):
+        got = net.every(gates, at, counts, width, part, warm)
+        want = np.concatenate([one_by_one(net, gates, at[a:b], width, part, warm) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a])
+        assert np.allclose(got, want, atol=1e-4), np.abs(got - want).max()
+    assert not len(net.every(gates, at[:0], np.zeros(3, int), 8))
 
 
 def test_held_out_accuracy(spark):
@@ -49,7 +87,7 @@ def test_held_out_accuracy(spark):
     for key, r in got.items():
         assert r["held_out"] == (zlib.crc32(str(key).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
     held = [(got[r["doc_id"]]["score"], r["toxic"]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
-    high = np.mean([s >= 0.5 for s, t in held if t == 1])
+    high = np.mean([s >= 0.7 for s, t in held if t == 1])
     false = np.mean([s >= 0.7 for s, t in held if t == 0])
     assert high >= 0.65 and false <= 0.05, (high, false)
 
@@ -74,15 +112,15 @@ def test_every_window_start_is_scored():
     vocabulary = "it is a fine day and the sun is out you are zorg person nobody likes".split()
     cluster = "zorg fine day and the sun nobody it is a likes fine day zorg and the sun is out it person is a fine zorg day and the nobody out".split()
     rows = ["fine " * shift + " ".join(cluster) + " fine" * (100 - shift) for shift in range(32, 62)]
-    rows += [" ".join(rng.choice(vocabulary, n)) for n in (1, 2, 31, 32, 33, 34, 200)] + [""]
+    rows += [" ".join(rng.choice(vocabulary, n)) for n in (1, 2, 31, 32, 33, 34, 200, 2500)] + [""]
     got = scorer.scores([r.encode() for r in rows])
     want = []
     for r in rows:
         words = [toxicity.plain(w) for w in r.encode().split()]
-        odds = np.array([scorer.odds.get(w, 0.0) for w in words], np.float32)
-        starts = range(max(1, len(words) - toxicity.LENGTH + 1)) if words else ()
-        gates = scorer.network.projected(scorer.network.inputs(*toxicity._numbers(words), odds)) if words else None
-        logits = [scorer.network.run(gates, np.arange(s, min(s + toxicity.LENGTH, len(words)))[None], np.ones((1, min(toxicity.LENGTH, len(words))), bool))[0] for s in starts]
-        want.append(max((1 / (1 + np.exp(-z)) for z in logits), default=0.0))
-    assert np.allclose(got, want, atol=1e-5), np.abs(got - want).max()
-    assert np.ptp(got[:30]) < 1e-5
+        if words:
+            odds = np.array([scorer.odds.get(w, 0.0) for w in words], np.float32)
+            gates = scorer.network.projected(scorer.network.inputs(*toxicity._numbers(words), odds))
+            logits = one_by_one(scorer.network, gates, np.arange(len(words)), toxicity.LENGTH)[: max(1, len(words) - toxicity.LENGTH + 1)]
+        want.append(max((1 / (1 + np.exp(-z)) for z in logits), default=0.0) if words else 0.0)
+    assert np.allclose(got, want, atol=1e-4), np.abs(got - want).max()
+    assert np.ptp(got[:30]) < 1e-3

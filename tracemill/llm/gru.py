@@ -14,6 +14,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows: the sums of those rows that `at` sends there."""
+    return np.stack([np.bincount(at, x, n) for x in rows.T], 1).astype(np.float32)
+
+
 class Network:
     """Inputs are a word's embedding, the mean embedding of its character trigrams and one number about the word."""
 
@@ -34,8 +39,8 @@ class Network:
         """The input part of all gates, for each distinct word once."""
         return {way: x @ self.p[f"w{way}"] + self.p[f"g{way}"] for way in "fb"}
 
-    def run(self, gates: dict[str, np.ndarray], at: np.ndarray, real: np.ndarray, keep: bool = False):
-        """Logits of windows; at: rows of gates by (window, step), real: which steps hold a word."""
+    def run(self, gates: dict[str, np.ndarray], at: np.ndarray, real: np.ndarray, pool: np.ndarray | None = None, keep: bool = False):
+        """Logits of windows; at: rows of gates by (window, step), real: which steps hold a word, pool: which of them the attention sees (all)."""
         n, length = at.shape
         states = np.zeros((length, n, 2 * HIDDEN), np.float32)
         kept: dict = {"f": [], "b": []}
@@ -56,57 +61,85 @@ class Network:
                 if keep:
                     kept[way].append((t, h, z, r, c, a[:, 2 * k :]))
                 h = states[t, :, side] = new
-        e = np.where(real.T, states @ self.p["v"], -1e9)
+        e = np.where((real if pool is None else pool).T, states @ self.p["v"], -1e9)
         share = np.exp(e - e.max(0))
         share /= share.sum(0)
         pooled = np.einsum("tn,tnk->nk", share, states)
         logits = pooled @ self.p["u"] + self.p["b"][0]
         return (logits, states, share, pooled, kept) if keep else logits
 
-    def every(self, gates: dict[str, np.ndarray], at: np.ndarray, length: int, most: int = 2048) -> np.ndarray:
-        """Logits of the full windows of so many words at each of the words whose rows of gates stand in `at`.
+    def every(self, gates: dict[str, np.ndarray], at: np.ndarray, counts: np.ndarray, width: int, part: int = 1024, warm: int = 64) -> np.ndarray:
+        """Logits of the windows of `width` words (a power of two) at each word, over texts of so many words in a row.
 
-        Neighbours share gates, so steps read slices, not rows; of a state only its two sums for the attention are kept.
+        A window that would leave its text ends with it. `at` holds each word's row of gates. States run through the whole
+        text, once for all windows; after each `part` words they start anew, `warm` words ahead of (behind) the part. Parts
+        of all texts step side by side, the longest first. Of a state only its weight for the attention and its
+        share of the logit are kept; sums over windows by doubling then give all logits.
         """
-        n, k, p = max(0, len(at) - length + 1), HIDDEN, self.p
-        out = np.empty(n, np.float32)
+        k, p = HIDDEN, self.p
+        ends = np.cumsum(counts)
+        begins = ends - counts
+        each = -(-counts // part)
+        text = np.repeat(np.arange(len(counts)), each)
+        low = begins[text] + (np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)) * part
+        high = np.minimum(low + part, ends[text])
+        e, value = np.zeros(len(at), np.float32), np.zeros(len(at), np.float32)
         # as exponents: sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 1 - 2 / (1 + exp(2 x))
         scale = np.concatenate([np.full(2 * k, -1), np.full(k, 2)]).astype(np.float32)
-        sides = {"f": slice(0, k), "b": slice(k, 2 * k)}
-        u = {way: np.concatenate([(p[f"u{way}"] * scale).T, p["v"][None, side], p["u"][None, side]]) for way, side in sides.items()}
-        for i in range(0, n, most):
-            m = min(most, n - i)
-            e, value = np.zeros((length, m), np.float32), np.zeros((length, m), np.float32)
-            zr, c = np.empty((2 * k, m), np.float32), np.empty((k, m), np.float32)
-            z, r = zr[:k], zr[k:]
-            for way, order in (("f", range(length)), ("b", range(length - 1, -1, -1))):
-                g = np.ascontiguousarray((gates[way][at[i : i + m + length - 1]] * scale).T)
-                h, a = np.zeros((k, m), np.float32), np.zeros((3 * k + 2, m), np.float32)
-                for t in order:
-                    with np.errstate(over="ignore"):  # an infinite exponential gives the limit
-                        np.exp(np.add(g[: 2 * k, t : t + m], a[: 2 * k], out=zr), out=zr)
-                        zr += 1
-                        np.reciprocal(zr, out=zr)
-                        np.multiply(r, a[2 * k : 3 * k], out=c)
-                        c += g[2 * k :, t : t + m]
-                        np.exp(c, out=c)
-                    c += 1
-                    np.divide(-2, c, out=c)
-                    c += 1
-                    c -= h
-                    c *= z
-                    h += c
-                    np.matmul(u[way], h, out=a)
-                    e[t] += a[-2]
-                    value[t] += a[-1]
-            e -= e.max(0)
-            np.exp(e, out=e)
-            out[i : i + m] = (e * value).sum(0) / e.sum(0) + p["b"][0]
-        return out
-
-    def slopes(self, x: np.ndarray, at: np.ndarray, real: np.ndarray, y: np.ndarray, weight: np.ndarray):
+        for way, side in (("f", slice(0, k)), ("b", slice(k, 2 * k))):
+            if way == "f":
+                start = np.maximum(low - warm, begins[text])
+                skip, length, step = low - start, high - start, 1
+            else:
+                start = np.minimum(high + warm, ends[text]) - 1
+                skip, length, step = start + 1 - high, start + 1 - low, -1
+            order = np.argsort(-length, kind="stable")
+            start, skip, length = start[order], skip[order], length[order]
+            active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0)).tolist()
+            u = np.concatenate([(p[f"u{way}"] * scale).T, p["v"][None, side], p["u"][None, side]])
+            h, a = np.zeros((k, len(start)), np.float32), np.zeros((3 * k + 2, len(start)), np.float32)
+            for t, m in enumerate(active):
+                if m < h.shape[1]:
+                    h, a = np.ascontiguousarray(h[:, :m]), np.ascontiguousarray(a[:, :m])
+                    start, skip = start[:m], skip[:m]
+                where = start + step * t
+                g = np.multiply(gates[way][at[where]].T, scale[:, None], order="C")
+                with np.errstate(over="ignore"):  # an infinite exponential gives the limit
+                    zr = np.exp(np.add(g[: 2 * k], a[: 2 * k]))
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    c = zr[k:] * a[2 * k : 3 * k]
+                    c += g[2 * k :]
+                    np.exp(c, out=c)
+                c += 1
+                np.divide(-2, c, out=c)
+                c += 1
+                c -= h
+                c *= zr[:k]
+                h += c
+                np.matmul(u, h, out=a)
+                if t < warm:
+                    own = t >= skip
+                    where = where[own]
+                    e[where] += a[-2][own]
+                    value[where] += a[-1][own]
+                else:
+                    e[where] += a[-2]
+                    value[where] += a[-1]
+        weight = np.exp(e.astype(float) - e.max(initial=0.0))
+        sums = np.stack([weight * value, weight])
+        left = np.repeat(ends, counts) - np.arange(len(at))  # words from here to the text's end
+        have = 1
+        while have < width:  # a window of twice the length is this one and the next, if the text has it
+            more = np.zeros_like(sums)
+            more[:, :-have] = sums[:, have:]
+            sums += np.where(left > have, more, 0)
+            have *= 2
+        return sums[0] / sums[1] + p["b"][0]
+
+    def slopes(self, x: np.ndarray, at: np.ndarray, real: np.ndarray, y: np.ndarray, weight: np.ndarray, pool: np.ndarray | None = None):
         """Gradients of the weighted logistic loss, and those of the rows of x."""
-        logits, states, share, pooled, kept = self.run(self.projected(x), at, real, True)
+        logits, states, share, pooled, kept = self.run(self.projected(x), at, real, pool, True)
         out = {name: np.zeros_like(v) for name, v in self.p.items() if name not in ("words", "chars")}
         d = ((1 / (1 + np.exp(-np.clip(logits, -30, 30))) - y) * weight / weight.sum()).astype(np.float32)
         out["b"][0], out["u"] = d.sum(), pooled.T @ d
@@ -115,7 +148,7 @@ class Network:
         de = share * (da - (share * da).sum(0))
         out["v"] = np.einsum("tn,tnk->k", de, states)
         dstates = share[..., None] * dp + de[..., None] * self.p["v"]
-        dx, k = np.zeros_like(x), HIDDEN
+        dsteps, k = np.zeros((*at.T.shape, x.shape[1]), np.float32), HIDDEN
         for way in "fb":
             dh = np.zeros((len(at), k), np.float32)
             u, w = self.p[f"u{way}"], self.p[f"w{way}"]
@@ -128,9 +161,9 @@ class Network:
                 out[f"u{way}"] += h.T @ dn
                 out[f"w{way}"] += x[at[:, t]].T @ dg
                 out[f"g{way}"] += dg.sum(0)
-                np.add.at(dx, at[:, t], dg @ w.T)
+                dsteps[t] += dg @ w.T
                 dh = live * (1 - z) + dn @ u.T + np.where(real[:, t, None], 0, dh)
-        return out, dx
+        return out, summed(at.T.ravel(), dsteps.reshape(-1, x.shape[1]), len(x))
 
 
 class Adam:

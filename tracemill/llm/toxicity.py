@@ -1,12 +1,16 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling.
 
 The network reads words as an embedding, the mean of their character trigrams' embeddings, and how much
-more often toxic training documents hold the word than others (for a training document: without itself). It is
-trained in numpy on the driver from at most `sample` labelled documents of each class (a documented bound), none of
+more often toxic training documents hold the word than others (for a training document: without itself). It runs
+through a text in both directions; the attention pools the states of a window of LENGTH words. Every document is scored over
+all its windows, one from each word on; the largest score counts. The states are computed once and shared by all windows that
+hold the word, so a window knows the words around it, and all windows cost hardly more than one.
+
+It is trained in numpy on the driver from at most `sample` labelled documents of each class (a documented bound), none of
 held-out fold 1. In each epoch a document teaches with the windows that the network itself finds most toxic, since those
 decide its score; a clean one with some others too. An epoch looks at one window each APART words, from another word on
-than the last epoch. Every document is scored over all its windows of LENGTH words, one from each word on; the largest score
-counts. Input projections are computed once for each distinct word, and windows go through in batches, so memory is bounded by the slice.
+than the last epoch; the network sees CONTEXT words on either side of it. Input projections are computed once for each distinct
+word, and slices of texts go through one at a time, so memory is bounded by the slice.
 
 Cases: null and empty texts score 0; without labelled rows of both classes every score is 0; repeated rows get
 equal scores; labels, languages, sources and ids are no inputs; an empty table gives an empty result; further columns are ignored.
@@ -24,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import fold, labelled_sample, slices, small_batches
-from tracemill.llm.gru import HIDDEN, Adam, Network
+from tracemill.llm.gru import HIDDEN, Adam, Network, summed
 
-LENGTH, STRIDE = 32, 1
-APART = 24
+LENGTH = 32
+APART, CONTEXT = 24, 16
+DOUBT = 0.2
 STEPS = 200
 WORDS, TRIGRAMS = 4096, 4096
-BATCH = 2048
 MOST_WORDS = 300_000
 
 
@@ -60,25 +64,27 @@ def _some(numbers: tuple, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return ids[rows], codes[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
 
-def spread(counts: np.ndarray, stride: int | None = None, back: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows over texts with so many words, which stand in a row: text, first word and length of each.
+def spread(counts: np.ndarray, stride: int = 1, back: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Windows over texts with so many words, which stand in a row: text and first word of each.
 
     One each `stride` words, all but a text's first and last moved back by `back`.
     """
-    stride = stride or STRIDE
     more = np.where(counts > LENGTH, -(-(counts - LENGTH + back) // stride), 0)
     each = np.where(counts > 0, 1 + more, 0)
     text = np.repeat(np.arange(len(counts)), each)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
     start = np.clip(nth * stride - back, 0, np.maximum(counts[text] - LENGTH, 0))
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    return text, first[text] + start, np.minimum(counts[text], LENGTH)
+    return text, first[text] + start
 
 
-def _windows(start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    steps = np.arange(LENGTH)[None]
-    real = steps < size[:, None]
-    return at[np.minimum(start[:, None] + steps, len(at) - 1)], real
+def _windows(text: np.ndarray, start: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of gates of windows with the words around them, which steps hold a word, and which the window itself."""
+    ends = np.cumsum(counts)[text]
+    steps = start[:, None] + np.arange(-CONTEXT, LENGTH + CONTEXT)[None]
+    real = (steps >= (ends - counts[text])[:, None]) & (steps < ends[:, None])
+    pool = real & (steps >= start[:, None]) & (steps < start[:, None] + LENGTH)
+    return at[np.clip(steps, 0, len(at) - 1)], real, pool
 
 
 class Scorer:
@@ -99,12 +105,15 @@ class Scorer:
         self.forms: dict[str, int] = {}
         self.gates = {way: np.zeros((0, 3 * HIDDEN), np.float32) for way in "fb"}
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], have: int) -> None:
+        """Gates of words that are new; the table doubles when it is full."""
+        if have + len(words) > len(self.gates["f"]):
+            self.gates = {way: np.concatenate([x, np.zeros((max(len(words), len(x)), 3 * HIDDEN), np.float32)]) for way, x in self.gates.items()}
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             odds = np.fromiter((self.odds.get(w, 0.0) for w in part), np.float32, len(part))
-            new = self.network.projected(self.network.inputs(*_numbers(part), odds))
-            self.gates = {way: np.concatenate([self.gates[way], new[way]]) for way in "fb"}
+            for way, x in self.network.projected(self.network.inputs(*_numbers(part), odds)).items():
+                self.gates[way][have + i : have + i + len(part)] = x
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The largest window score of each text."""
@@ -126,23 +135,23 @@ class Scorer:
                         new.append(form)
                     known[w] = forms[form]
         if new:
-            self._learn(new)
+            self._learn(new, len(forms) - len(new))
         at = np.fromiter((known[w] for s in split for w in s), np.int64, counts.sum())
-        top = np.full(len(texts), -np.inf)
-        full = counts >= LENGTH
-        if full.any():
-            doc = np.repeat(np.flatnonzero(full), counts[full])
-            logits = self.network.every(self.gates, at[np.repeat(full, counts)], LENGTH)
-            inside = doc[: len(logits)] == doc[LENGTH - 1 :]
-            np.maximum.at(top, doc[: len(logits)][inside], logits[inside])
-        text = np.flatnonzero((counts > 0) & ~full)  # these have one window each
-        start, size = (np.cumsum(counts) - counts)[text], counts[text]
-        for i in range(0, len(text), BATCH):
-            own = slice(i, i + BATCH)
-            top[text[own]] = self.network.run(self.gates, *_windows(start[own], size[own], at))
+        top = tops(self.network.every(self.gates, at, counts, LENGTH), counts)
         return np.where(counts > 0, 1 / (1 + np.exp(-np.clip(top, -30, 30))), 0)
 
 
+def tops(logits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The largest of each text's windows: all that are whole, or, in a text too short for one, the text."""
+    out = np.full(len(counts), -np.inf)
+    some = np.flatnonzero(counts > 0)
+    nth = np.arange(len(logits)) - np.repeat(np.cumsum(counts) - counts, counts)
+    whole = nth <= np.repeat(np.maximum(counts - LENGTH, 0), counts)
+    if len(some):
+        out[some] = np.maximum.reduceat(np.where(whole, logits, -np.inf), (np.cumsum(counts) - counts)[some])
+    return out
+
+
 def _log_odds(t, n, toxic: int, clean: int):
     """How much more often toxic documents hold a word, in -1 to 1; words in few of the documents count little."""
     return np.tanh((np.log((t + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1))) / 3) * (t + n) / (t + n + 2 + 0.05 * toxic)
@@ -181,20 +190,23 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 10) -> Scorer:
     rng = np.random.default_rng(3)
     net = scorer.network
     adam = Adam(net.p, 0.01)
-    text, start, size = spread(counts, APART)
-    at_all, real_all = _windows(start, size, at)
+    text, start = spread(counts, APART)
+    at_all, real_all, pool_all = _windows(text, start, counts, at)
     label = y[text].astype(np.float32)
-    top = np.where(real_all, odds[at_all], -1).max(1)
+    top = np.where(pool_all, odds[at_all], -1).max(1)
     done = 0
     for epoch in range(3 * epochs):
         if epoch >= epochs and done >= STEPS:
             break
+        adam.rate = 0.01 / (1 + max(done / STEPS - 0.3, 0) * 8)  # smaller steps to the end
         order = np.lexsort((-top, text))
         rank = np.empty(len(text), int)
         rank[order] = np.arange(len(text)) - np.searchsorted(text[order], text[order])
         best = np.full(len(y), -np.inf)
         np.maximum.at(best, text, top)
-        teaches = np.where(label == 1, (rank == 0) | (top > 0.5) & (top >= best[text] - 0.3) & (rank < 3), (rank < 2) | (rng.random(len(text)) < 0.08))
+        # after the first third, a toxic label that no window of the text bears out teaches no more: some labels are wrong
+        believed = (done < STEPS / 3) | (best[text] > DOUBT)
+        teaches = np.where(label == 1, believed & ((rank == 0) | (top > 0.5) & (top >= best[text] - 0.3) & (rank < 3)), (rank < 2) | (rng.random(len(text)) < 0.08))
         use = np.flatnonzero(teaches)
         rng.shuffle(use)
         balance = (label[use] == 0).sum() / max(1, (label[use] == 1).sum())
@@ -204,20 +216,19 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 10) -> Scorer:
             ids, codes, count = _some(numbers, rows)
             drop = rng.random(len(rows)) < 0.5
             x = net.inputs(np.where(drop, 0, ids), codes, count, odds[rows])
-            slopes, dx = net.slopes(x, back.reshape(len(own), LENGTH), real_all[own], label[own], np.where(label[own] == 1, min(balance, 4.0), 1.0).astype(np.float32))
-            dw, dc = np.zeros_like(net.p["words"]), np.zeros_like(net.p["chars"])
+            weight = np.where(label[own] == 1, min(balance, 4.0), 1.0).astype(np.float32)
+            slopes, dx = net.slopes(x, back.reshape(at_all[own].shape), real_all[own], label[own], weight, pool_all[own])
             wide = net.p["words"].shape[1]
-            np.add.at(dw, np.where(drop, 0, ids), dx[:, :wide])
-            np.add.at(dc, codes, np.repeat(dx[:, wide:-1] / count[:, None], count, axis=0))
+            dw = summed(np.where(drop, 0, ids), dx[:, :wide], WORDS)
+            dc = summed(codes, np.repeat(dx[:, wide:-1] / count[:, None], count, axis=0), TRIGRAMS)
             done += 1
             adam.move(slopes | {"words": dw, "chars": dc}, 1e-4)
         parts = [net.projected(net.inputs(*_some(numbers, np.arange(i, min(i + 20_000, len(keys)))), odds[i : i + 20_000])) for i in range(0, len(keys), 20_000)]
         gates = {way: np.concatenate([p[way] for p in parts]) for way in "fb"}
-        text, start, size = spread(counts, APART, int(rng.integers(APART)))
-        at_all, real_all = _windows(start, size, at)
+        text, start = spread(counts, APART, int(rng.integers(APART)))
+        at_all, real_all, pool_all = _windows(text, start, counts, at)
         label = y[text].astype(np.float32)
-        top = np.concatenate([net.run(gates, at_all[i : i + BATCH], real_all[i : i + BATCH]) for i in range(0, len(at_all), BATCH)])
-        top = 1 / (1 + np.exp(-np.clip(top, -30, 30)))
+        top = 1 / (1 + np.exp(-np.clip(net.every(gates, at, counts, LENGTH)[start], -30, 30)))
     return scorer
 
 
