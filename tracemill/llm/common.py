@@ -8,7 +8,7 @@ word, and one pass over the words gives the hash of every window of any length.
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,19 +30,41 @@ _POWERS: dict[tuple[str, bool], np.ndarray] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a session on one machine may do without: it gets a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tracemill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back, so that a lost executor costs no earlier work."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write df to the shared folder and read it back, so that a lost executor costs no earlier work.
+
+    The shuffle files of the job go as soon as the table stands.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_batches(spark: SparkSession, most: int = 2000) -> None:
@@ -51,12 +73,6 @@ def small_batches(spark: SparkSession, most: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now: it does so once the driver's JVM has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__k1, __k2, __id, __text): rows with equal id and text share a key and, having equal results, may."""
     small_batches(docs.sparkSession)
@@ -78,10 +94,11 @@ def fold(id_col) -> object:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> list:
-    """At most `most` labelled rows of each class outside fold 1, picked by hash, as driver rows (id, label, text).
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__id, __text, __label) of at most `most` labelled documents of each class outside fold 1, picked by hash.
 
     The bound is a parameter; the ids are chosen before any text is read, so one small broadcast join fetches the texts.
+    Rows alike in id each count.
     """
     from pyspark.sql import Window
 
@@ -97,11 +114,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int,
         .select("__id", "__label")
     )
     ids = {r[0]: r[1] for r in chosen.collect()}  # at most 2 * most + 32 ids
-    if not ids:
-        return []
-    small = docs.sparkSession.createDataFrame(list(ids.items()), "__id long, __label int")
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(small), "__id")
-    return sorted({(r["__id"], r["__label"], r["__text"]) for r in rows.collect()})
+    kind = dict(chosen.dtypes)["__id"]
+    small = docs.sparkSession.createDataFrame(list(ids.items()), f"__id {kind}, __label int")
+    return docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(small), "__id")
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

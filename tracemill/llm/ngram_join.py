@@ -6,26 +6,25 @@ Is that one rare, they meet under it alone. Is it frequent, they share frequent
 with the prefix m longer, m + 1 of them are in both prefixes, and with frequent shingles dealt by hash
 to m classes, two are in one class: they meet under a pair. Frequent shingles alone index nothing.
 
-How often a shingle occurs is counted over all documents, for the two fifths of shingles with the smallest hashes; the others
-are ordered last and count as frequent. A prefix reaches them only where most of a document is frequent. The table of frequent ones that tasks get
+How often a shingle occurs is counted over all shingles of all documents (copies met by one task count once). Tasks add up
+what they hold, and counts travel as packed arrays by hash range. The table of frequent shingles that tasks get
 is bounded: the least count that makes a shingle frequent is doubled until MOST_FREQUENT suffice. What
 counts as frequent changes the work, never the result.
 
-Documents with equal sets are one node from the start, and copies are never expanded. Under a
-signature that up to SMALL nodes share, all pairs are candidates and are verified on the whole texts. Nodes that
-signatures with more connect are compared in blocks of bounded size, where links found so far spare the pairs
-they connect. A pair is left out only where verified links connect its two documents. So components are exact. The number
-of links of each node is counted apart, over all pairs of such blocks, and sent as sums by node, not as pairs.
+Documents with equal sets are one node from the start, and copies are never expanded: a task emits a node's signatures once
+for all its copies. Under a signature that up to SMALL nodes share, all pairs are candidates; bitmaps of their sets rule out
+most that are not similar, and the others are verified on the whole texts. Signatures that more nodes share connect these
+to families. A family's nodes are dealt to blocks of bounded size, and each two blocks are one task's work, in which
+all pairs are compared: it gives the number of links of each node and links that connect what is similar.
 
 Cases: a null or empty text has an empty set and is linked with nothing; under five words the whole sequence is the
 only shingle; repeated rows are one class; a null id takes part, and the component's id is the
 smallest that is not null; an empty table gives an empty result; further columns are ignored
-(`keep_first` keeps them).
+(`keep_first` keeps them, whatever their names).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Words, durable, keyed, mixed, release, slices
+from tracemill.llm.common import Words, durable, free_name, keyed, mixed, slices
 from tracemill.llm.components import components
 
 MOST_FREQUENT = 2_000_000
 LEAST_FREQUENT = 16
-COUNTED = np.uint64(int(0.4 * 2**64))
 SMALL = 16
-MOST_BROADCAST_NODES = 500_000
 BLOCK_BYTES = 1 << 20
-SALTS = 97
+SPLIT_LEVEL = 12  # pairs of shingles counted 2 ** 13 times or more are split
+BITS = 1024
+HELD = 2_000_000
 
 
 def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -77,88 +76,172 @@ def _names(h: np.ndarray, edges: np.ndarray, salt: int) -> np.ndarray:
     return mixed(total[edges[1:]] - total[edges[:-1]]).view(np.int64)
 
 
+class Seen:
+    """Names of sets that a task has met; it starts anew beyond `most`, which costs repeats only."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.names = most, set()
+
+    def new(self, names: np.ndarray) -> np.ndarray:
+        if len(self.names) > self.most:
+            self.names.clear()
+        out = np.zeros(len(names), bool)
+        for i, name in enumerate(names.tolist()):
+            if name not in self.names:
+                self.names.add(name)
+                out[i] = True
+        return out
+
+
+def bitmaps(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A row of BITS bits, as bytes, for each set: those its shingles fall on."""
+    out = np.zeros((len(edges) - 1, BITS), bool)
+    out[np.repeat(np.arange(len(edges) - 1), np.diff(edges)), (h % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(out, axis=1)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """False where the bitmaps show that two sets (of so many shingles together) are not similar: each differing bit is a shingle that one lacks."""
+    differ = np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+    return 100 * (sizes - differ) >= 75 * (sizes + differ)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n_shingles and the set's name in place of __text."""
+    """n_shingles, the set's name and its bitmap in place of __text."""
     for batch in batches:
         for a, b, h, edges in _texts(batch, "__text"):
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("__k1", "__k2", "__id")), pa.array(np.diff(edges).astype(np.int64)), pa.array(_names(h, edges, 0))], ["__k1", "__k2", "__id", "n_shingles", "__node"])
+            bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), b - a, [None, pa.py_buffer(bitmaps(h, edges).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("__k1", "__k2", "__id")), pa.array(np.diff(edges).astype(np.int64)), pa.array(_names(h, edges, 0)), bits], ["__k1", "__k2", "__id", "n_shingles", "__node", "__bits"])
+
 
+def _counted(shift: int, low: int, each: int = 1024):
+    """Counts of a task's shingles, by range of their hashes: rows (part, keys, counts) of packed 32-bit numbers."""
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        key, n = np.unique(np.concatenate(held) >> np.uint64(shift), return_counts=True)
+        part = (key >> np.uint64(low)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        edges = np.unique(np.concatenate([[0], cuts, [len(key)], *(np.arange(a, b, each) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True))])).astype(int)
+        rest, n = (key & np.uint64((1 << low) - 1)).astype("<u4"), n.astype("<u4")
+        rows = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array([rest[a:b].tobytes() for a, b in rows], pa.binary()), pa.array([n[a:b].tobytes() for a, b in rows], pa.binary())], ["__part", "__keys", "__counts"])
 
-def _counted(shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size = Seen(), [], 0
         for batch in batches:
             for _, _, h, edges in _texts(batch, "__text"):
-                # copies within the slice count once
-                _, once = np.unique(_names(h, edges, 0), return_index=True)
-                alone = np.zeros(len(edges) - 1, bool)
-                alone[once] = True
-                counted = h[np.repeat(alone, np.diff(edges)) & (h < COUNTED)]
-                key, n = np.unique(counted >> np.uint64(shift), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["__key", "__n"])
+                held.append(h[np.repeat(seen.new(_names(h, edges, 0)), np.diff(edges))])
+                size += len(held[-1])
+                if size > HELD:
+                    yield from flush(held)
+                    held, size = [], 0
+        if size:
+            yield from flush(held)
+
+    return run
+
+
+def _added(low: int, least: int):
+    """Adds up the rows of each part, which come one after another, and gives the keys counted often."""
+
+    def total(part: int, keys: list, counts: list) -> pa.RecordBatch:
+        key, n = np.frombuffer(b"".join(keys), "<u4"), np.frombuffer(b"".join(counts), "<u4")
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order].astype(np.int64)
+        first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        n = np.add.reduceat(n, first)
+        often = n >= least
+        found = (np.uint64(part) << np.uint64(low)) | key[first][often].astype(np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.log2(n[often]).astype(np.int32))], ["__key", "__level"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts = None, [], []
+        for batch in batches:
+            for part, k, n in zip(*(batch.column(c).to_pylist() for c in ("__part", "__keys", "__counts")), strict=True):
+                if part != now and keys:
+                    yield total(now, keys, counts)
+                    keys, counts = [], []
+                now = part
+                keys.append(k)
+                counts.append(n)
+        if keys:
+            yield total(now, keys, counts)
 
     return run
 
 
-def frequent_shingles(rows: DataFrame, total: int, most: int = MOST_FREQUENT, least: int = LEAST_FREQUENT) -> tuple[int, np.ndarray, np.ndarray]:
+def frequent_shingles(rows: DataFrame, shingles: int, most: int, least: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(shift, keys, levels): the keys (hashes without their low bits) counted `least` times or more, at most `most` of them.
 
-    Keys have six bits more than it takes to number all shingles, so few share one. Most shingles are rare, so rows
-    are dealt by key before they are added up: slices have done what can be done earlier.
+    Keys have six bits more than it takes to number all shingles, so few share one. A part holds four million of them or so,
+    and what a key adds to it is one number for each two million shingles of a task.
     """
-    shift = 64 - min(64, max(1, total).bit_length() + 6)
-    counts = rows.mapInArrow(_counted(shift), "__key long, __n long").repartition("__key").groupBy("__key").agg(F.sum("__n").alias("__n")).where(F.col("__n") >= least)
-    found = durable(counts.select("__key", F.floor(F.log2("__n")).cast("int").alias("__level")), "frequent")
+    bits = min(64, max(1, shingles).bit_length() + 6)
+    low = min(28, bits)
+    counts = rows.mapInArrow(_counted(64 - bits, low), "__part long, __keys binary, __counts binary")
+    dealt = counts.repartition("__part").sortWithinPartitions("__part")
+    found = durable(dealt.mapInArrow(_added(low, least), "__key long, __level int"), "frequent")
     sizes = {r[0]: r[1] for r in found.groupBy("__level").count().collect()}
     level = min(sizes, default=0)
     while sum(n for x, n in sizes.items() if x >= level) > most:
         level += 1
-    rows = found.where(F.col("__level") >= level).toPandas()  # at most `most` rows of 12 bytes
-    rows = rows.sort_values("__key", key=lambda x: x.to_numpy().view(np.uint64))
-    return shift, rows["__key"].to_numpy(np.int64).view(np.uint64), rows["__level"].to_numpy(np.int8)
+    table = found.where(F.col("__level") >= level).toArrow()  # at most `most` rows of 12 bytes
+    keys, levels = table["__key"].to_numpy().view(np.uint64), table["__level"].to_numpy()
+    order = np.argsort(keys)
+    return 64 - bits, keys[order], levels[order].astype(np.int8)
 
 
-def signatures(h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of one set, of single rare shingles and of pairs; h ascending, level 0 for rare shingles."""
-    n = len(h)
-    if not n:
-        return h, h
-    spare = n - (3 * n + 3) // 4
-    order = np.lexsort((h, level))
+def signatures(h: np.ndarray, edges: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, level) of all sets of a slice, for single rare shingles (level 0) and for pairs (that of the rarer).
+
+    h holds the sets' shingles between edges, level 0 marks rare ones.
+    """
+    n = np.diff(edges)
+    of = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, level, of))
     h, level = h[order], level[order]
-    rare = int(np.count_nonzero(level == 0))
-    single, out = mixed(h[: min(rare, spare + 1)]), [h[:0]]
-    if rare <= spare:
-        for size in {n.bit_length(), (4 * n // 3).bit_length()}:
-            m = max(1, (1 << (size - 1)) // 8)
-            tokens = h[rare : spare + 1 + m]
-            deal = (mixed(tokens ^ np.uint64(size)) % np.uint64(m)).astype(np.int64)
-            by = np.argsort(deal, kind="stable")
-            tokens, deal = tokens[by], deal[by]
-            for group in np.split(tokens, np.flatnonzero(np.diff(deal)) + 1):
-                i, j = np.triu_indices(len(group), 1)
-                low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
-                out.append(mixed(mixed(low) * np.uint64(3) + mixed(high) + np.uint64(size)))
-    return single, np.concatenate(out)
+    rank = np.arange(len(h)) - edges[:-1][of]
+    spare = n - (3 * n + 3) // 4
+    rare = np.bincount(of[level == 0], minlength=len(n))
+    single = rank < np.minimum(rare, spare + 1)[of]
+    out = [(of[single], mixed(h[single]), np.zeros(int(single.sum()), np.int8))]
+    size = np.frexp(n.astype(float))[1], np.frexp((4 * n // 3).astype(float))[1]  # bits of the number
+    for own, also in ((size[0], rare <= spare), (size[1], (rare <= spare) & (size[0] != size[1]))):
+        m = np.maximum(1, (1 << np.maximum(own - 1, 0)) // 8)
+        at = np.flatnonzero(also[of] & (rank >= rare[of]) & (rank < (spare + 1 + m)[of]))
+        word = own[of[at]].astype(np.uint64)
+        deal = mixed(h[at] ^ word) % m[of[at]].astype(np.uint64)
+        by = np.lexsort((deal, of[at]))
+        at, deal, word = at[by], deal[by], word[by]
+        for apart in range(1, len(at)):
+            i = np.flatnonzero((of[at[:-apart]] == of[at[apart:]]) & (deal[:-apart] == deal[apart:]))
+            if not len(i):
+                break
+            x, y = at[i], at[i + apart]
+            sig = mixed(mixed(np.minimum(h[x], h[y])) * np.uint64(3) + mixed(np.maximum(h[x], h[y])) + word[i])
+            out.append((of[x], sig, np.minimum(level[x], level[y])))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _signed(shared, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = shared.value
+        seen = Seen()
         for batch in batches:
-            for a, b, h, edges in _texts(batch, "__text"):
-                level = np.where(h < COUNTED, 0, 127).astype(np.int8)
-                if len(keys):
+            for _, _, h, edges in _texts(batch, "__text"):
+                names, sizes = _names(h, edges, 0), np.diff(edges)
+                new = seen.new(names) & (sizes > 0)
+                h, names, sizes = h[np.repeat(new, np.diff(edges))], names[new], sizes[new]
+                level = np.zeros(len(h), np.int8)
+                if len(keys) and len(h):
                     key = h >> np.uint64(shift)
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    level = np.where(keys[at] == key, np.maximum(levels[at], level), level)
-                found = [signatures(h[x:y], level[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-                names, sizes = _names(h, edges, 0), np.diff(edges).astype(np.int32)
-                for pair in (0, 1):
-                    of = np.repeat(np.arange(b - a), [len(x[pair]) for x in found])
-                    sig = np.concatenate([x[pair] for x in found]).view(np.int64) if found else np.zeros(0, np.int64)
-                    salt = np.where(pair, 1 + (names[of].view(np.uint64) % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(salt), pa.array(names[of]), pa.array(sizes[of])], ["__sig", "__salt", "__node", "__size"])
+                    level = np.where(keys[at] == key, levels[at], level)
+                of, sig, level = signatures(h, np.concatenate([[0], np.cumsum(sizes)]), level)
+                parts = np.uint64(1) << np.maximum(level.astype(int) - SPLIT_LEVEL, 0).astype(np.uint64)
+                salt = np.where(parts > 1, 1 + (mixed(names[of].view(np.uint64)) % parts).astype(np.int64), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(salt), pa.array(names[of]), pa.array(sizes[of].astype(np.int32))], ["__sig", "__salt", "__node", "__size"])
 
     return run
 
@@ -177,111 +260,55 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
 
 
-def _texts_of(nodes: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("__ba", "__bb"))
+        sizes = np.asarray(batch.column("__na")) + np.asarray(batch.column("__nb"))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(may_be_similar(a, b, sizes)))
+
+
+def _texts_of(some: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(__node, __text), a table: for each of some nodes the text of one row that has its set."""
-    places = durable(sets.join(nodes, "__node", "left_semi").groupBy("__node").agg(F.min(F.struct("__k1", "__k2")).alias("k")).select("__node", "k.*"), "places")
-    few = F.broadcast(places) if places.count() <= MOST_BROADCAST_NODES else places  # 20 bytes a node
-    return durable(rows.select("__k1", "__k2", "__text").join(few, ["__k1", "__k2"]).select("__node", "__text").dropDuplicates(["__node"]), "texts")
+    places = durable(nodes.join(some, "__node", "left_semi").select("__node", "__place.*"), "places")
+    return durable(rows.select("__k1", "__k2", "__text").join(places, ["__k1", "__k2"]).select("__node", "__text").dropDuplicates(["__node"]), "texts")
 
 
-def verify(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The linked ones of distinct candidate pairs (a, b) of nodes, as a table."""
-    pairs = durable(pairs, "pairs")
-    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct(), rows, sets)
-    release(rows.sparkSession)
+    bits = [nodes.select(F.col("__node").alias(x), F.col("__bits").alias(f"__b{x}"), F.col("n_shingles").alias(f"__n{x}")) for x in "ab"]
+    possible = durable(pairs.join(bits[0], "a").join(bits[1], "b").mapInArrow(_possible, "a long, b long"), "pairs")
+    texts = _texts_of(possible.select(F.explode(F.array("a", "b")).alias("__node")).distinct(), rows, nodes)
     left = texts.select(F.col("__node").alias("a"), F.col("__text").alias("__ta"))
     right = texts.select(F.col("__node").alias("b"), F.col("__text").alias("__tb"))
-    out = durable(pairs.join(left, "a").join(right, "b").select("a", "b", "__ta", "__tb").mapInArrow(_verified, "a long, b long"), "links")
-    release(rows.sparkSession)
-    return out
+    return durable(possible.join(left, "a").join(right, "b").select("a", "b", "__ta", "__tb").mapInArrow(_verified, "a long, b long"), "links")
 
 
 def _alike(a: str, b: str):
     return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
 
 
-def links(rows: DataFrame, sets: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+def links(rows: DataFrame, nodes: DataFrame, shingles: int) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between nodes that connect all similar ones, and (__node, __links): how many nodes are similar to each that has any."""
     spark = rows.sparkSession
-    shift, keys, levels = frequent_shingles(rows, total, MOST_FREQUENT, LEAST_FREQUENT)
-    release(spark)
+    shift, keys, levels = frequent_shingles(rows, shingles, MOST_FREQUENT, LEAST_FREQUENT)
     shared = spark.sparkContext.broadcast((keys, levels))
     posts = rows.mapInArrow(_signed(shared, shift), "__sig long, __salt int, __node long, __size int")
-    # single rare shingles are few by their count, so a window over one is small; pairs are dealt by node and kept
+    # a node comes once from each task that holds a copy of it; the first of these rows counts
     own = Window.partitionBy("__sig", "__salt")
-    met = posts.withColumn("__low", F.min("__node").over(own)).withColumn("__high", F.max("__node").over(own)).where("__salt > 0 OR __low <> __high")
-    met = durable(met.select("__sig", "__node", "__size"), "posts").distinct()
-    release(spark)
-    counted = durable(met.join(met.groupBy("__sig").agg(F.count("*").alias("__c")).where("__c > 1"), "__sig"), "met")
-    release(spark)
-    lists = counted.where(F.col("__c") <= SMALL).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__size")).alias("__l"))
+    new = (~F.lag("__node").over(own.orderBy("__node")).eqNullSafe(F.col("__node"))).cast("int")
+    met = posts.withColumn("__new", new).withColumn("__c", F.sum("__new").over(own)).where("__new = 1 AND (__c > 1 OR __salt > 0)")
+    met = durable(met.select("__sig", "__salt", "__node", "__size", "__c"), "met")
+    cold = (F.col("__c") <= SMALL) & (F.col("__salt") == 0)
+    lists = met.where(cold).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__size")).alias("__l"))
     few = lists.select(F.explode("__l").alias("x"), "__l").select("x", F.explode("__l").alias("y")).where((F.col("x.__node") < F.col("y.__node")) & _alike("x.__size", "y.__size"))
-    linked = verify(few.select(F.col("x.__node").alias("a"), F.col("y.__node").alias("b")).distinct(), rows, sets)
-    hot = durable(counted.where(F.col("__c") > SMALL).select("__sig", "__node", "__size"), "hot")
-    return _hot(hot, linked, rows, sets)
+    linked = verify(few.select(F.col("x.__node").alias("a"), F.col("y.__node").alias("b")).distinct(), rows, nodes)
+    return _hot(met.where(~cold).select("__sig", "__salt", "__node"), linked, rows, nodes)
 
 
 def _degrees(linked: DataFrame) -> DataFrame:
     return linked.select(F.explode(F.array("a", "b")).alias("__node")).groupBy("__node").agg(F.count("*").alias("__links"))
 
 
-class Groups:
-    """Union-find over small integers."""
-
-    def __init__(self, names: np.ndarray):
-        _, first, self.up = np.unique(names, return_index=True, return_inverse=True)
-        self.up = first[self.up].tolist()
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.up[self.find(i)] = self.find(j)
-
-
-def _bitmaps(sets: list[np.ndarray], words: int = 32) -> np.ndarray:
-    out = np.zeros((len(sets), words), np.uint64)
-    for i, s in enumerate(sets):
-        bit = s % np.uint64(64 * words)
-        np.bitwise_or.at(out[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out
-
-
-def spanning_links(left: tuple, right: tuple, same: bool) -> tuple[list[int], list[int]]:
-    """Links between two blocks (nodes, roots, sets) that connect all similar members of different roots.
-
-    Bitmaps bound the difference of two sets from below, so pairs they rule out are not similar; the others are
-    intersected, unless links found so far connect them.
-    """
-    nodes = np.concatenate([left[0], right[0]])
-    groups = Groups(np.concatenate([left[1], right[1]]))
-    known: dict[int, int] = {}
-    for i, n in enumerate(nodes.tolist()):  # a node in both blocks is one
-        if n in known:
-            groups.join(i, known[n])
-        known.setdefault(n, i)
-    a, b = _bitmaps(left[2]), _bitmaps(right[2])
-    size_a, size_b = (np.array([len(s) for s in side[2]]) for side in (left, right))
-    out: tuple[list[int], list[int]] = ([], [])
-    for i in range(len(a)):
-        differ = np.bitwise_count(a[i] ^ b).sum(1, dtype=np.int64)
-        total = size_a[i] + size_b
-        may = 100 * (total - differ) >= 75 * (total + differ)
-        if same:
-            may[: i + 1] = False
-        for j in np.flatnonzero(may).tolist():
-            if groups.find(i) == groups.find(len(a) + j):
-                continue
-            shared = len(np.intersect1d(left[2][i], right[2][j], assume_unique=True))
-            if 100 * shared >= 75 * (total[j] - shared):
-                groups.join(i, len(a) + j)
-                out[0].append(int(left[0][i]))
-                out[1].append(int(right[0][j]))
-    return out
-
-
 def shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
     """How many members each two of the sets share."""
     out = np.zeros((len(left), len(right)), np.int64)
@@ -303,42 +330,48 @@ def shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -
     return out
 
 
-def _tally(left: tuple, right: tuple, same: bool, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, links): for the members of two blocks, how many of the other block (of the same one: other members) are similar."""
-    own, other = np.zeros(len(left[0]), np.int64), np.zeros(len(right[0]), np.int64)
-    for i in range(0, len(own), most):
-        a = left[2][i : i + most]
-        for j in range(0, len(other), most):
-            b = right[2][j : j + most]
+def compare(left: tuple, right: tuple, same: bool, most: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, links, spans) of two blocks (nodes, sets), or of one with itself if they are the same.
+
+    links counts for each node the similar ones in the other block (the same one: itself not). spans are links, as rows of two
+    nodes, that connect all that similar pairs connect.
+    """
+    nodes = left[0] if same else np.concatenate([left[0], right[0]])
+    behind = 0 if same else len(left[0])
+    counts, label, spans = np.zeros(len(nodes), np.int64), np.arange(len(nodes)), []
+    for i in range(0, len(left[0]), most):
+        a = left[1][i : i + most]
+        for j in range(i if same else 0, len(right[0]), most):
+            b = right[1][j : j + most]
             total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None]
             n = shared(a, b)
             alike = 100 * n >= 75 * (total - n)
-            own[i : i + most] += alike.sum(1)
-            other[j : j + most] += alike.sum(0)
-    if same:
-        return left[0], own - 1  # each is similar to itself
-    return np.concatenate([left[0], right[0]]), np.concatenate([own, other])
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, y = np.arange(i, i + len(a)), np.arange(j, j + len(b)) + behind
+            counts[x] += alike.sum(1)
+            if not same or i != j:
+                counts[y] += alike.sum(0)
+            for r in np.flatnonzero((alike & (label[x][:, None] != label[y][None])).any(1)):
+                for c in np.flatnonzero(alike[r]):
+                    if label[y[c]] != label[x[r]]:
+                        spans.append((nodes[x[r]], nodes[y[c]]))
+                        label[label == label[y[c]]] = label[x[r]]
+    return nodes, counts - same, np.array(spans, np.int64).reshape(-1, 2)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, null) for links and (node, null, n) for numbers of links."""
     for batch in batches:
         for row in range(len(batch)):
-            nodes, n = _tally(_members(batch.column("__left"), row), _members(batch.column("__right"), row), batch.column("__same")[row].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[n > 0]), pa.array(n[n > 0])], ["__node", "__links"])
+            nodes, counts, spans = compare(_members(batch.column("__left"), row), _members(batch.column("__right"), row), batch.column("__same")[row].as_py())
+            nodes, counts = nodes[counts > 0], counts[counts > 0]
+            none = [None] * len(spans)
+            columns = np.concatenate([spans.min(1, initial=2**63 - 1), nodes]), [*spans.max(1, initial=-(2**63)).tolist(), *([None] * len(nodes))], [*none, *counts.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "n"])
 
 
 def _members(column: pa.Array, row: int) -> tuple:
     items = column[row].values
-    nodes, roots = (np.asarray(items.field(n)) for n in ("__node", "__root"))
-    return nodes, roots, [np.frombuffer(x.as_py(), np.uint64) for x in items.field("__set")]
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(len(batch)):
-            same = batch.column("__same")[row].as_py()
-            a, b = spanning_links(_members(batch.column("__left"), row), _members(batch.column("__right"), row), same)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], ["a", "b"])
+    return np.asarray(items.field("__node")), [np.frombuffer(x.as_py(), np.uint64) for x in items.field("__set")]
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,66 +381,34 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("__node").slice(a, b - a), pa.array(sets, pa.binary())], ["__node", "__set"])
 
 
-def _hot(posts: DataFrame, linked: DataFrame, rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _hot(posts: DataFrame, linked: DataFrame, rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Adds the links under signatures that many nodes share.
 
-    Nodes that such signatures connect are a family. A family's members are dealt to blocks of bounded size, and tasks compare
-    block with block on the sets themselves, giving only the links that connect. First each block is compared with itself and
-    with the family's first; then most of a family of near copies is one component, and what is outside the
-    largest is compared with all blocks. So all pairs of different components are compared, in few rows. For the numbers of links,
-    all blocks of a family are compared with all; links from elsewhere count where they leave the family.
+    Nodes that such signatures connect are a family. All pairs of blocks of a family are compared once; links found
+    elsewhere add to a node's number where they leave the family.
     """
-    spark = rows.sparkSession
     if not posts.head(1):
         return linked, _degrees(linked)
-    small = linked
-    least = posts.groupBy("__sig").agg(F.min("__node").alias("b"))
-    family = components(posts.join(least, "__sig").select(F.col("__node").alias("a"), "b").distinct())
-    nodes = posts.select("__node").distinct().join(family.select(F.col("a").alias("__node"), F.col("b").alias("__family")), "__node", "left")
-    nodes = nodes.withColumn("__family", F.coalesce("__family", "__node"))
-    texts = _texts_of(nodes.select("__node"), rows, sets)
-    packed = texts.mapInArrow(_packed, "__node long, __set binary").join(nodes, "__node")
-    sizes = packed.groupBy("__family").agg(F.sum(F.length("__set")).alias("__bytes"))
-    blocks = F.ceil(F.col("__bytes") / BLOCK_BYTES)
-    packed = durable(packed.join(sizes, "__family").withColumn("__block", F.pmod(F.xxhash64("__node"), blocks)).drop("__bytes"), "packed")
-    release(spark)
-
-    def blocked(df: DataFrame, name: str) -> DataFrame:
-        """Members with their present roots, a row a block."""
-        root = components(linked).select(F.col("a").alias("__node"), F.col("b").alias("__root"))
-        own = df.join(root, "__node", "left").withColumn("__root", F.coalesce("__root", "__node"))
-        return durable(own.groupBy("__family", "__block").agg(F.collect_list(F.struct("__node", "__root", "__set")).alias(name)), "blocks")
-
-    every = blocked(packed, "__left")
-    first = every.groupBy("__family").agg(F.min_by("__left", "__block").alias("__right"), F.min("__block").alias("__first"))
-    own = every.select("__left", F.col("__left").alias("__right"), F.lit(True).alias("__same"))
-    last = every.groupBy("__family").agg(F.max("__block").alias("__last"))
-    low = every.join(last, "__family").select("__family", F.col("__block").alias("__low"), F.explode(F.sequence("__block", "__last")).alias("__high"), "__left")
+    # parts of a split signature meet in their smallest nodes, of which there are as many as parts
+    least = posts.groupBy("__sig", "__salt").agg(F.min("__node").alias("__least"))
+    first = least.groupBy("__sig").agg(F.min("__least").alias("b"))
+    edges = posts.join(least, ["__sig", "__salt"]).select(F.col("__node").alias("a"), F.col("__least").alias("b"))
+    family = components(edges.unionByName(least.join(first, "__sig").select(F.col("__least").alias("a"), "b")))
+    own = posts.select("__node").distinct().join(family.select(F.col("a").alias("__node"), F.col("b").alias("__family")), "__node", "left")
+    own = durable(own.withColumn("__family", F.coalesce("__family", "__node")), "families")
+    sizes = own.join(nodes.select("__node", "n_shingles"), "__node").groupBy("__family").agg(F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES).alias("__blocks"))
+    packed = _texts_of(own.select("__node"), rows, nodes).mapInArrow(_packed, "__node long, __set binary").join(own, "__node").join(sizes, "__family")
+    block = F.pmod(F.xxhash64("__node"), F.col("__blocks"))
+    every = durable(packed.groupBy("__family", "__blocks", block.alias("__block")).agg(F.collect_list(F.struct("__node", "__set")).alias("__left")), "blocks")
+    low = every.select("__family", F.col("__block").alias("__low"), F.explode(F.sequence("__block", F.col("__blocks") - 1)).alias("__high"), "__left")
     high = every.select("__family", F.explode(F.sequence(F.lit(0).cast("bigint"), "__block")).alias("__low"), F.col("__block").alias("__high"), F.col("__left").alias("__right"))
     paired = low.join(high.hint("shuffle_merge"), ["__family", "__low", "__high"]).select("__left", "__right", (F.col("__low") == F.col("__high")).alias("__same"))
-    inside = paired.mapInArrow(_counts, "__node long, __links long")
-    of = nodes.select(F.col("__node").alias("a"), F.col("__family").alias("__fa")), nodes.select(F.col("__node").alias("b"), F.col("__family").alias("__fb"))
-    leaving = small.distinct().join(of[0], "a", "left").join(of[1], "b", "left").where("__fa IS NULL OR __fb IS NULL OR __fa <> __fb")
+    found = durable(paired.mapInArrow(_compared, "a long, b long, n long"), "compared")
+    of = own.select(F.col("__node").alias("a"), F.col("__family").alias("__fa")), own.select(F.col("__node").alias("b"), F.col("__family").alias("__fb"))
+    leaving = linked.join(of[0], "a", "left").join(of[1], "b", "left").where("__fa IS NULL OR __fb IS NULL OR __fa <> __fb")
+    inside = found.where("n IS NOT NULL").select(F.col("a").alias("__node"), F.col("n").alias("__links"))
     degrees = inside.unionByName(_degrees(leaving)).groupBy("__node").agg(F.sum("__links").alias("__links"))
-    start = every.join(first, "__family").where("__block <> __first").select("__left", "__right", F.lit(False).alias("__same"))
-    linked = durable(linked.unionByName(own.unionByName(start).repartition(F.xxhash64("__left"), F.xxhash64("__right")).mapInArrow(_across, "a long, b long")), "links")
-    release(spark)
-
-    root = components(linked).select(F.col("a").alias("__node"), F.col("b").alias("__root"))
-    placed = nodes.join(root, "__node", "left").withColumn("__root", F.coalesce("__root", "__node"))
-    parts = placed.groupBy("__family", "__root").agg(F.count("*").alias("__n"))
-    main = parts.groupBy("__family").agg(F.max_by("__root", F.struct("__n", "__root")).alias("__main"), F.count("*").alias("__parts")).where("__parts > 1")
-    outside = durable(placed.join(main, "__family").where("__root <> __main").select("__node"), "outside")
-    if not outside.head(1):
-        return linked, degrees
-    some = packed.join(outside, "__node", "left_semi").drop("__block")
-    weigh = some.groupBy("__family").agg(F.ceil(F.sum(F.length("__set")) / BLOCK_BYTES).alias("__blocks"))
-    some = some.join(weigh, "__family").withColumn("__block", F.pmod(F.xxhash64("__node", F.lit(1)), F.col("__blocks"))).drop("__blocks")
-    pairs = blocked(some, "__left").drop("__block").join(blocked(packed.join(main.select("__family"), "__family", "left_semi"), "__right").drop("__block"), "__family")
-    more = pairs.select("__left", "__right", F.lit(False).alias("__same")).repartition(F.xxhash64("__left"), F.xxhash64("__right")).mapInArrow(_across, "a long, b long")
-    out = durable(linked.unionByName(more.where("a <> b")), "links")
-    release(spark)
-    return out, degrees
+    return linked.unionByName(found.where("b IS NOT NULL").select("a", "b")), degrees
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
@@ -417,21 +418,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = keyed(docs, id_col, text_col)
     kind = dict(rows.dtypes)["__id"]
-    sets = durable(rows.mapInArrow(_sets, f"__k1 long, __k2 int, __id {kind}, n_shingles long, __node long"), "sets")
-    full = sets.where("n_shingles > 0")
-    total = full.agg(F.sum("n_shingles")).first()[0] or 0
-    found, degree = links(rows, full, total)
-    root = components(found).select(F.col("a").alias("__node"), F.col("b").alias("__root"))
-    if not counted:  # the plan that counts is never run
-        degree = full.sparkSession.createDataFrame([], "__node long, __links long")
-    nodes = full.groupBy("__node").agg(F.min("__id").alias("__least")).join(root, "__node", "left").join(degree, "__node", "left")
-    nodes = durable(nodes.withColumn("__root", F.coalesce("__root", "__node")), "components")
-    least = nodes.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    named = nodes.join(least, "__root").select("__node", "component_id", F.coalesce("__links", F.lit(0)).alias("class_links"))
-    out = sets.join(named, "__node", "left")
+    sets = durable(rows.mapInArrow(_sets, f"__k1 long, __k2 int, __id {kind}, n_shingles long, __node long, __bits binary"), "sets")
     alone = F.col("n_shingles") == 0
-    out = out.select(F.col("__id").alias(id_col), "n_shingles", F.when(alone, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("class_links")).alias("class_links"))
-    return out if counted else out.drop("class_links")
+    each = F.min("__id").alias("__least"), F.min(F.struct("__k1", "__k2")).alias("__place"), F.min("n_shingles").alias("n_shingles"), F.min("__bits").alias("__bits")
+    nodes = durable(sets.where(~alone).groupBy("__node").agg(*each), "nodes")
+    total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
+    found, degree = links(rows, nodes, total)
+    root = components(found).select(F.col("a").alias("__node"), F.col("b").alias("__root"))
+    known = nodes.select("__node", "__least").join(root, "__node", "left").withColumn("__root", F.coalesce("__root", "__node"))
+    if counted:
+        known = known.join(degree, "__node", "left").withColumn("class_links", F.coalesce("__links", F.lit(0)))
+    known = durable(known, "components")
+    least = known.groupBy("__root").agg(F.min("__least").alias("component_id"))
+    more = ["class_links"] if counted else []
+    out = sets.join(known.join(least, "__root").select("__node", "component_id", *more), "__node", "left")
+    component = F.when(alone, F.col("__id")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select(F.col("__id").alias(id_col), "n_shingles", component, *(F.when(alone, 0).otherwise(F.col(c)).alias(c) for c in more))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -440,10 +442,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows alike in that id, one stays. Only ids are shuffled for the choice; texts move once, by row key.
     """
     key = F.xxhash64(F.col(id_col), F.lit("|"), F.col(text_col))
-    joined = durable(ngram_join(docs.withColumn("__key", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k"))), "__key", text_col, counted=False), "near")
-    chosen = joined.where((F.col("n_shingles") == 0) | (F.col("__key") == F.col("component_id"))).select(F.col("__key.k").alias("__k")).distinct()
+    named = docs.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("__key"), F.col(text_col).alias("__body"))
+    joined = durable(ngram_join(named, "__key", "__body", counted=False), "near")
+    own = free_name(docs, "__key")
+    chosen = joined.where((F.col("n_shingles") == 0) | (F.col("__key") == F.col("component_id"))).select(F.col("__key.k").alias(own)).distinct()
     columns = docs.columns
-    kept = docs.withColumn("__k", key).join(chosen, "__k", "left_semi")
+    kept = docs.withColumn(own, key).join(chosen, own, "left_semi")
     empty = F.coalesce(F.length(F.regexp_replace(F.col(text_col), r"[\x20\x09-\x0D]", "")), F.lit(0)) == 0
-    first = kept.where(~empty).groupBy("__k").agg(*(F.first(c).alias(c) for c in columns)).select(*columns)
+    first = kept.where(~empty).groupBy(own).agg(*(F.first(c).alias(c) for c in columns)).select(*columns)
     return first.unionByName(kept.where(empty).select(*columns))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Words, durable, release, slices, sliding, small_batches
+from tracemill.llm.common import Words, durable, slices, sliding, small_batches
 
 TOP = np.uint64(2**64 - 1)
 BLOCK_BYTES = 16 << 20
@@ -176,7 +176,6 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
             seen = rows.mapInArrow(_first_level(length, level), NAMES)
         else:
             alive = durable(alive, f"windows{before}")
-            release(spark)
             seen = by_block.cogroup(alive.groupBy("__block")).applyInArrow(_next_level(length, level, before), NAMES)
         # a name has a row a block and slice at most, so the window over one is small and no join is needed
         total = F.sum("__n").over(Window.partitionBy("__h", "__c"))
