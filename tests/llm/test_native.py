@@ -92,3 +92,14 @@ def test_targets_stop_at_caps(spark):
     got = {r["__s"]: r["target"] for r in mixing.source_targets(sizes).collect()}
     assert got["aa"] == 20 and got["ac"] == 100 and got["ad"] == 0
     assert abs(sum(got.values()) - 1.5 * 1060) < 1e-6 and got["ab"] <= 2000
+
+
+def test_mix_with_clashing_columns(spark):
+    names = ["doc_id", "target", "__size", "source_size", "__s", "text", "__reps", "source", "c0", "Target_"]
+    rows = [(i, i * 10, f"s{i}", i * 2, None, "word " * (1 + i % 7), i, f"src{i % 3}", "x", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, names[0] + " long, target int, __size string, source_size int, __s string, text string, __reps int, source string, c0 string, Target_ int")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == names and mixed.dtypes == docs.dtypes
+    times = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix_plan(docs).collect()}
+    got = sorted(tuple(r) for r in mixed.collect())
+    assert got == sorted(r for r in rows for _ in range(times[r[0]]))

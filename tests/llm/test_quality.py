@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from tracemill.llm import quality, trees
+from tracemill.llm import quality, toxicity, trees
 
 SF = "/root/testdata/sf0.01"
 
@@ -59,3 +59,13 @@ def test_constraints_hold():
     assert (np.diff(model.score(line).reshape(50, 20), axis=1) <= 1e-12).all()
     free = trees.fit(x, y, (1, 0, 0))
     assert ((free.score(x) > 0.5) == (y > 0.5)).mean() > 0.8
+
+
+def test_text_ids(spark):
+    rows = [(f"id{i}", ("good words of a text that goes on and on for a while " if i % 2 else "# # $ $ | | ! ! a b c ") * 3 + str(i), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(k, y, y) for k, _, y in rows], "doc_id string, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in quality.judge(docs, quality.train(docs, labels)).collect()}
+    assert min(got[k] for k, _, y in rows if y) > 0.5 > max(got[k] for k, _, y in rows if not y)
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert {r["doc_id"] for r in scored} == {r[0] for r in rows}

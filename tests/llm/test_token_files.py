@@ -44,3 +44,31 @@ def test_files_are_ordered_and_skippable(spark, tmp_path):
     found = tf.lookup(spark, path, [3, 77])
     assert sorted(r["doc_id"] for r in found.collect()) == [3, 77]
     assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString()
+
+
+def test_starts_over_many_files(spark, tmp_path):
+    rows = [(i, f"text number {i} of these " * (i % 5)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {k: v[0] for k, v in brute(rows).items()}
+    got = lambda path: {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tf.token_digest(spark, path).collect()}
+
+    # part numbers beyond five digits
+    path = tmp_path / "t"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tf.write_tokens(docs, str(path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got(str(path)) == want
+    parts = sorted(path.glob("part-*.orc"))
+    for n, p in enumerate(parts):
+        p.rename(path / p.name.replace(p.name[:10], f"part-{99999 + n:05}", 1))
+    assert len(parts) > 1 and got(str(path)) == want
+
+    # parts cut into several files
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        tf.write_tokens(docs, str(tmp_path / "u"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(list((tmp_path / "u").glob("part-*.orc"))) > 10 and got(str(tmp_path / "u")) == want

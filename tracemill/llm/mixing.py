@@ -12,8 +12,8 @@ third of all rows is spread over `buckets` groups.
 
 Cases: a null or empty text has size 0 and takes none; a null source is a source of its own,
 last in order; repeated rows count as often as they occur, and which of several rows alike in id
-and size is taken depends on their texts; an empty table gives an empty result. Internal names
-start with two underscores, further columns pass through `mix` and are ignored by `mix_plan`.
+and size is taken depends on their texts; an empty table gives an empty result. Further columns, whatever
+their names, pass through `mix` and are ignored by `mix_plan`.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = 1
 
 
 def _planned(docs: DataFrame, id_col, text_col, source_col, weights, budget, max_epochs, seed, buckets) -> DataFrame:
-    """docs with __size, source_size, target and __reps."""
+    """Internal columns __s, __bucket, __size, __source_size, __target and __reps beside docs', whose names they must not have."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = (
         docs.withColumn("__size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
@@ -57,14 +57,14 @@ def _planned(docs: DataFrame, id_col, text_col, source_col, weights, budget, max
         .withColumn("__bucket", F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") % buckets)
     )
     groups = rows.groupBy("__s", "__bucket").agg(F.sum("__size").alias("__size"))
-    targets = source_targets(groups, weights, budget, max_epochs)
+    targets = source_targets(groups, weights, budget, max_epochs).withColumnsRenamed({"source_size": "__source_size", "target": "__target"})
     earlier = Window.partitionBy("__s").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     quotas = (
         groups.withColumn("__base", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
         .drop("__size")
         .join(targets, "__s")
-        .withColumn("__whole", F.when(F.col("source_size") > 0, F.floor(F.try_divide(F.col("target"), F.col("source_size")))).otherwise(0))
-        .withColumn("__quota", F.col("target") - F.col("__whole") * F.col("source_size"))
+        .withColumn("__whole", F.when(F.col("__source_size") > 0, F.floor(F.try_divide(F.col("__target"), F.col("__source_size")))).otherwise(0))
+        .withColumn("__quota", F.col("__target") - F.col("__whole") * F.col("__source_size"))
     )
     inside = Window.partitionBy("__s", "__bucket").orderBy("__order", "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("__base") + F.coalesce(F.sum("__size").over(inside), F.lit(0))
@@ -75,15 +75,18 @@ def _planned(docs: DataFrame, id_col, text_col, source_col, weights, budget, max
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, budget: float = 1.5, max_epochs: int = 2, seed: int = 7, buckets: int = 4096) -> DataFrame:
     """Per row: id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
     planned = _planned(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, weights, budget, max_epochs, seed, buckets)
-    return planned.select(id_col, F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__reps")).alias("taken"))
+    return planned.select(id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__reps")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, budget: float = 1.5, max_epochs: int = 2, seed: int = 7, buckets: int = 4096) -> DataFrame:
     """The mix itself: each row of docs as often as the plan takes it."""
-    kept = [c for c in docs.columns]
-    planned = _planned(docs, id_col, text_col, source_col, weights, budget, max_epochs, seed, buckets)
-    repeated = planned.where("__reps > 0").select(*kept, F.explode(F.array_repeat(F.lit(1), F.col("__reps"))).alias("__one"))
-    return repeated.drop("__one")
+    # docs' columns travel under numbers, so none of their names can clash
+    columns = docs.columns
+    numbered = docs.toDF(*(f"c{n}" for n in range(len(columns))))
+    at = {c: f"c{n}" for n, c in enumerate(columns)}
+    planned = _planned(numbered, at[id_col], at[text_col], at[source_col], weights, budget, max_epochs, seed, buckets)
+    repeated = planned.where("__reps > 0").select(*numbered.columns, F.explode(F.array_repeat(F.lit(1), F.col("__reps"))).alias("__one"))
+    return repeated.drop("__one").toDF(*columns)
 
 
 ORACLE_SQL = r"""

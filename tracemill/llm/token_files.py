@@ -168,9 +168,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids, file, pos): what write_tokens wrote, with each document's start among all ids."""
     stored = spark.read.orc(path)
     rows = stored.withColumn("file", F.col("_metadata.file_name"))
-    files = rows.groupBy("file").agg(F.max(F.col("before") + F.col("n_tokens")).alias("__sum"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("file", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    # `before` runs on where Spark cuts a part into several files, so a file holds what is behind its first row
+    files = rows.groupBy("file").agg((F.max(F.col("before") + F.col("n_tokens")) - F.min("before")).alias("__sum"), F.min("before").alias("__from"))
+    # part-00010-...c003: parts by number (more than five digits sort wrongly as text), then the files of one part
+    part, piece = (F.coalesce(F.nullif(F.regexp_extract("file", p, 1), F.lit("")).cast("long"), F.lit(0)) for p in (r"^part-(\d+)", r"c(\d+)\."))
+    earlier = Window.orderBy(part, piece, "file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.select("file", (F.coalesce(F.sum("__sum").over(earlier), F.lit(0)) - F.col("__from")).alias("__base"))
     if len(stored.inputFiles()) <= MOST_FILES:  # a row a file: some 50 MB at most
         bases = F.broadcast(bases)
     return rows.join(bases, "file").select("doc_id", (F.col("__base") + F.col("before")).alias("start"), "n_tokens", "ids", "file", "pos")

@@ -159,7 +159,8 @@ def _log_odds(t, n, toxic: int, clean: int):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 1000, epochs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """A scorer from a bounded sample of labelled documents outside the held-out fold."""
-    rows = labelled_sample(docs, labels, "toxic", sample, id_col, text_col)
+    rows = labelled_sample(docs, labels, "toxic", sample, id_col, text_col).collect()
+    rows = sorted({(str(r["__id"]), r["__label"], r["__text"]) for r in rows})
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], int), epochs)
 
 
