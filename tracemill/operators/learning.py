@@ -53,7 +53,7 @@ def beats(s: Column, f: Column, s2: Column, f2: Column) -> Column:
 
 def established(s: Column, f: Column, hs: Column, hf: Column) -> Column:
     p = prob_better(s, f, hs, hf)
-    return (hs + hf >= 50) | ((s + f >= 10) & (hs + hf >= 10) & ((p < 0.05) | (p > 0.95)))
+    return (hs + hf >= 50) | ((s + f >= 10) & (hs + hf >= 10) & ((p <= 0.05) | (p >= 0.95)))
 
 
 def holdout_rate(configured: Column, is_established: Column) -> Column:
@@ -62,5 +62,6 @@ def holdout_rate(configured: Column, is_established: Column) -> Column:
 
 
 def aged(state: Column, idle_days: Column) -> Column:
-    """Active to stale after 30 days, to archived after 90; a stale one in use revives. Other states stay."""
-    return F.when(state.isin("active", "stale"), F.when(idle_days >= 90, "archived").when(idle_days >= 30, "stale").otherwise("active")).otherwise(state)
+    """Serving states to archived after 90 idle days; active to stale after 30, and stale back to active before. Other states stay."""
+    serving = state.isin("active", "stale", "candidate")
+    return F.when(serving & (idle_days >= 90), "archived").when((state == "active") & (idle_days >= 30), "stale").when((state == "stale") & (idle_days < 30), "active").otherwise(state)

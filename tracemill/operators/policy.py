@@ -35,16 +35,17 @@ def held_out(rows: DataFrame, rate: str, *keys: str) -> DataFrame:
 def settled(revisions: DataFrame, key: str) -> DataFrame:
     """Adds next_state. revisions: key, revision, state, s, f, hs, hf (holdout of the procedure).
 
-    Harmful serving revisions are quarantined; without an incumbent the first candidate is promoted; a candidate
-    that beats the incumbent takes its place.
+    Harmful serving revisions are quarantined. Of the candidates left, the one with the best mean (of equal ones the latest)
+    becomes active where there is no incumbent, or changes places with an incumbent that it beats.
     """
     harm = F.col("state").isin("active", "stale", "candidate") & learning.harmful(*map(F.col, ("s", "f", "hs", "hf")))
     rows = revisions.withColumn("__state", F.when(harm, "quarantined").otherwise(F.col("state")))
     own = Window.partitionBy(key)
-    serving = F.col("__state").isin("active", "stale")
-    rows = rows.withColumn("__inc", F.max(F.when(serving, F.struct("revision", "s", "f"))).over(own)).withColumn("__first", F.min(F.when(F.col("__state") == "candidate", F.col("revision"))).over(own))
-    better = (F.col("__state") == "candidate") & F.col("__inc").isNotNull() & learning.beats(F.col("s"), F.col("f"), F.coalesce(F.col("__inc.s"), F.lit(0)), F.coalesce(F.col("__inc.f"), F.lit(0)))
-    rows = rows.withColumn("__best", F.min(F.when(better, F.col("revision"))).over(own))
-    up = (F.col("__inc").isNull() & (F.col("revision") == F.col("__first"))) | (F.col("revision") == F.col("__best"))
-    down = F.col("__best").isNotNull() & serving & (F.col("revision") == F.col("__inc.revision"))
-    return rows.withColumn("next_state", F.when(F.coalesce(up, F.lit(False)), "active").when(F.coalesce(down, F.lit(False)), "retired").otherwise(F.col("__state"))).drop("__state", "__inc", "__first", "__best")
+    serving, waiting = F.col("__state").isin("active", "stale"), F.col("__state") == "candidate"
+    rows = rows.withColumn("__inc", F.min(F.when(serving, F.struct("revision", "s", "f"))).over(own))
+    rows = rows.withColumn("__best", F.max(F.when(waiting, F.struct(learning.mean(F.col("s"), F.col("f")).alias("mean"), "revision", "s", "f"))).over(own))
+    none = F.col("__inc").isNull()
+    better = F.coalesce(learning.beats(*(F.coalesce(F.col(c), F.lit(0)) for c in ("__best.s", "__best.f", "__inc.s", "__inc.f"))), F.lit(False)) & F.col("__best").isNotNull()
+    up = waiting & (F.col("revision") == F.col("__best.revision")) & (none | better)
+    down = serving & (F.col("revision") == F.col("__inc.revision")) & better
+    return rows.withColumn("next_state", F.when(F.coalesce(up, F.lit(False)), "active").when(F.coalesce(down, F.lit(False)), "candidate").otherwise(F.col("__state"))).drop("__state", "__inc", "__best")

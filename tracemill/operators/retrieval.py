@@ -8,12 +8,27 @@ from pyspark.sql import functions as F
 from tracemill.functions import fixed, text
 
 
-def postings(docs: DataFrame, doc_id: str, title: Column, body: Column) -> DataFrame:
-    """(term, doc_id, f, dl): title terms weigh two, body terms one; dl counts the terms of both."""
+def term_lists(docs: DataFrame, doc_id: str, title: Column, body: Column) -> DataFrame:
+    """(doc_id, t, b, dl): the terms of title and body, and how many both have. Worth writing down: all stages read them."""
     both = docs.select(F.col(doc_id).alias("doc_id"), text.terms(title).alias("t"), text.terms(body).alias("b"))
-    both = both.withColumn("dl", F.size("t") + F.size("b"))
+    return both.withColumn("dl", F.size("t") + F.size("b"))
+
+
+def postings(lists: DataFrame) -> DataFrame:
+    """(term, doc_id, f, dl) of term_lists: title terms weigh two, body terms one."""
     weighed = F.concat(F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(2).alias("w"))), F.transform("b", lambda w: F.struct(w.alias("term"), F.lit(1).alias("w"))))
-    return both.select("doc_id", "dl", F.explode(weighed).alias("x")).groupBy("doc_id", "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").cast("double").alias("f"))
+    return lists.select("doc_id", "dl", F.explode(weighed).alias("x")).groupBy("doc_id", "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").cast("double").alias("f"))
+
+
+def key_weight(key: Column) -> Column:
+    """What a shared key is worth: a path most, a symbol more than a word."""
+    return F.when(F.contains(key, F.lit("/")), 2.0).when(key.rlike("[_.]"), 1.5).otherwise(1.0)
+
+
+def exact_hits(keys: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, item, hits, weight, rank) from distinct (item, key) and (query_id, key): the heaviest first, all of them."""
+    found = keys.join(asked, "key").groupBy("query_id", "item").agg(F.count("*").alias("hits"), F.sum(key_weight(F.col("key"))).alias("weight"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "item")))
 
 
 def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, query_id: str, prompt: Column, top: int = fixed.TOP_STAGE, budget: int = fixed.POSTINGS_BUDGET) -> DataFrame:
@@ -47,22 +62,36 @@ def quantized(vector: Column) -> Column:
     return F.struct(scale.alias("scale"), F.transform(vector, lambda x: F.round(x.cast("double") / scale).cast("int")).alias("q"))
 
 
-def vector_search(index: DataFrame, queries: DataFrame, dims: int, rescore: int = fixed.RESCORE, top: int = fixed.TOP_STAGE) -> DataFrame:
+def cosine(quantized: Column, vector: Column) -> Column:
+    """The cosine of a quantized unit vector and a plain one."""
+    return F.round(F.aggregate(F.zip_with(quantized["q"], vector, lambda a, b: a * b.cast("double")), F.lit(0.0), lambda a, b: a + b) * quantized["scale"], 6)
+
+
+def vector_search(index: DataFrame, queries: DataFrame, dims: int, rescore: int = fixed.RESCORE, top: int = fixed.TOP_STAGE, parts: int = 32) -> DataFrame:
     """(query_id, vec_id, cosine, rank): sign codes choose `rescore` vectors of the query's group, quantized cosines rank them.
 
-    index: vec_id, group, embedding; queries: query_id, group, embedding. Groups are compared within themselves.
+    index: vec_id, group, embedding; queries: query_id, group, embedding. Groups are compared within themselves. A group's
+    vectors are dealt to `parts` parts, which choose on their own before the choices meet, so a large group is no single task.
     """
     codes = lambda df, name: df.withColumn(name, F.array(*sign_code(F.col("embedding"), dims)))
-    i = codes(index, "code").withColumn("z", quantized(F.col("embedding"))).drop("embedding")
-    q = codes(queries, "qcode").withColumnRenamed("embedding", "x")
+    i = codes(index, "code").withColumn("z", quantized(F.col("embedding"))).drop("embedding").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    q = codes(queries, "qcode").withColumnRenamed("embedding", "x").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     distance = F.aggregate(F.zip_with("code", "qcode", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    near = i.join(q, "group").withColumn("distance", distance)
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("n") <= rescore)
-    cosine = F.aggregate(F.zip_with("z.q", "x", lambda a, b: a * b.cast("double")), F.lit(0.0), lambda a, b: a + b) * F.col("z.scale")
-    out = near.select("query_id", "vec_id", "distance", F.round(cosine, 6).alias("cosine"))
+    near = i.join(q, ["group", "part"]).withColumn("distance", distance)
+    for own in (["query_id", "part"], ["query_id"]):
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy(*own).orderBy("distance", "vec_id"))).where(F.col("n") <= rescore)
+    out = near.select("query_id", "vec_id", "distance", cosine(F.col("z"), F.col("x")).alias("cosine"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= top)
 
 
+def looked_up(pairs: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:
+    """pairs (query_id, item) with looked_up: the cosine of those whose vectors are in one group, null for others."""
+    z = index.select(F.col("vec_id").alias("item"), F.col("group").alias("__g"), quantized(F.col("embedding")).alias("__z"))
+    x = queries.select("query_id", F.col("group").alias("__h"), F.col("embedding").alias("__x"))
+    found = pairs.join(z, "item", "left").join(x, "query_id", "left")
+    return found.withColumn("looked_up", F.when(F.col("__g") == F.col("__h"), cosine(F.col("__z"), F.col("__x")))).drop("__g", "__h", "__z", "__x")
+
+
 def fused(stages: list[DataFrame]) -> DataFrame:
     """(query_id, item, fused, order) of stages (query_id, item, rank): reciprocal ranks added up."""
     every = stages[0].select("query_id", "item", "rank")
@@ -79,8 +108,32 @@ def confident(state: Column, weight: Column, lexical_first: Column, ranked: Colu
     return F.when(state == "stale", (weight >= 2) & lexical_first & (ranked >= fixed.STALE)).when(~F.coalesce(kind, F.lit(True)) | ~F.coalesce(thing, F.lit(True)), ranked >= fixed.SURE).otherwise(usual)
 
 
-def ambiguous(candidates: DataFrame) -> DataFrame:
-    """The first candidate of each query, and whether one of another family comes within 95 % of it with as much weight."""
-    first = candidates.where("order = 1").select("query_id", F.col("fused").alias("top"), F.col("family").alias("own"), F.col("weight").alias("w"), F.col("item").alias("chosen"))
-    rival = (F.col("family") != F.col("own")) & (F.col("fused") >= 0.95 * F.col("top")) & (F.col("weight") >= F.col("w"))
-    return candidates.join(first, "query_id").groupBy("query_id", "chosen").agg(F.max(rival).alias("ambiguous"))
+def decided(candidates: DataFrame) -> DataFrame:
+    """(query_id, chosen, decision) from candidates (query_id, item, fused, order, weight, family, kind, sure).
+
+    Of those within 95 % of the first, the first of the same kind is chosen, else the first. It is shown if it is sure and no
+    candidate of another family comes within 95 % of it with as much weight, but for those of another kind where the chosen's is the same.
+    """
+    own = Window.partitionBy("query_id")
+    close = F.col("fused") >= 0.95 * F.max("fused").over(own)
+    rows = candidates.withColumn("__pick", F.when(close & F.coalesce(F.col("kind"), F.lit(False)), F.col("order")))
+    rows = rows.withColumn("__at", F.coalesce(F.min("__pick").over(own), F.lit(1)))
+    rows = rows.withColumn("__best", F.max(F.when(F.col("order") == F.col("__at"), F.struct("item", "fused", "weight", "family", "kind", "sure"))).over(own))
+    other_kind = F.coalesce(F.col("__best.kind") & ~F.col("kind"), F.lit(False))
+    rival = (F.col("family") != F.col("__best.family")) & ~other_kind & (F.col("fused") >= 0.95 * F.col("__best.fused")) & (F.col("weight") >= F.col("__best.weight"))
+    out = rows.groupBy("query_id").agg(F.first("__best.item").alias("chosen"), F.first("__best.sure").alias("__sure"), F.max(rival).alias("__rival"))
+    return out.select("query_id", "chosen", F.when(~F.col("__sure"), "not confident").when(F.col("__rival"), "ambiguous").otherwise("serve").alias("decision"))
+
+
+def first_unmet(conditions: DataFrame, files: DataFrame, programs: DataFrame, variables: DataFrame) -> DataFrame:
+    """(procedure, unmet): the first condition, by pos, that a workspace doesn't meet.
+
+    conditions: procedure, pos, kind (file, symbol, program, variable), name, within (a symbol's file). files: path, text; programs and
+    variables: name. Conditions of all kinds meet what there is by equi-joins.
+    """
+    have = files.select(F.lit("file").alias("kind"), F.col("path").alias("name")).unionByName(programs.select(F.lit("program").alias("kind"), "name")).unionByName(variables.select(F.lit("variable").alias("kind"), "name")).distinct()
+    open_ = conditions.join(have.withColumn("__met", F.lit(True)), ["kind", "name"], "left")
+    text_of = files.select(F.col("path").alias("within"), F.col("text").alias("__text"))
+    symbols = open_.where("kind = 'symbol'").join(text_of, "within", "left").withColumn("__met", F.contains("__text", "name")).drop("__text")
+    every = open_.where("kind <> 'symbol'").unionByName(symbols.select(*open_.columns)).where(~F.coalesce("__met", F.lit(False)))
+    return every.groupBy("procedure").agg(F.min_by(F.concat_ws(" ", "kind", "name"), F.struct("pos", "name")).alias("unmet"))

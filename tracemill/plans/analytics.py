@@ -146,15 +146,16 @@ def q83_policy(spark, d):
     return _evidence(spark, d).select("procedure", learning.harmful(*c).alias("harmful"), learning.beats(*c).alias("beats"))
 
 
-@query(_EVIDENCE + f" SELECT procedure, CASE WHEN hs + hf >= 50 OR (s + f >= 10 AND hs + hf >= 10 AND (({_P}) < 0.05 OR ({_P}) > 0.95)) THEN 0.02 ELSE 0.1 END::DOUBLE AS rate FROM e")
+@query(_EVIDENCE + f" SELECT procedure, CASE WHEN hs + hf >= 50 OR (s + f >= 10 AND hs + hf >= 10 AND (({_P}) <= 0.05 OR ({_P}) >= 0.95)) THEN 0.02 ELSE 0.1 END::DOUBLE AS rate FROM e")
 def q84_holdout_rate(spark, d):
     return _evidence(spark, d).select("procedure", learning.holdout_rate(F.lit(None).cast("double"), learning.established(*_columns())).alias("rate"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN CASE WHEN datediff('day', o_orderdate, TIMESTAMP '1998-12-01') >= 90 THEN 'archived'
-  WHEN datediff('day', o_orderdate, TIMESTAMP '1998-12-01') >= 30 THEN 'stale' ELSE 'active' END ELSE 'retired' END AS state FROM orders""")
+  WHEN datediff('day', o_orderdate, TIMESTAMP '1998-12-01') >= 30 THEN 'stale' ELSE 'active' END
+  WHEN o_orderkey % 2 = 0 THEN CASE WHEN datediff('day', o_orderdate, TIMESTAMP '1998-12-01') >= 90 THEN 'archived' ELSE 'candidate' END ELSE 'retired' END AS state FROM orders""")
 def q85_aging(spark, d):
-    state = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "P", "stale").otherwise("retired")
+    state = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "P", "stale").when(F.col("o_orderkey") % 2 == 0, "candidate").otherwise("retired")
     return table(spark, d, "orders").select("o_orderkey", learning.aged(state, F.datediff(F.lit("1998-12-01"), F.col("o_orderdate"))).alias("state"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.patches import heredoc_patch
+from tracemill.operators.sessions import live_chain
 from tracemill.sources.transcripts import _string, assemble, mended, named
 
 # What the tools of each dialect do.
@@ -37,7 +38,9 @@ def _arguments(j: Column) -> list[Column]:
     listed = F.try_variant_get(j, "$.command", "array<string>")
     script = F.when(F.size(listed) == 3, F.when(F.get(listed, F.lit(1)).isin("-lc", "-c"), F.get(listed, F.lit(2))))
     command = F.coalesce(at("command", "cmd", "script"), script, F.array_join(listed, " "))
-    return [command.alias("command"), at("file_path", "path", "absolute_path", "notebook_path", "filePath", "dir_path").alias("path"), at("pattern").alias("pattern"), at("url").alias("url"), at("query").alias("query")]
+    patch = F.coalesce(at("patch", "input"), F.when(command.rlike("apply_?patch"), heredoc_patch(command)))
+    edit = [at("old_string", "old_str", "oldText").alias("old"), at("new_string", "new_str", "newText").alias("new"), at("content", "file_text").alias("content"), patch.alias("patch")]
+    return [*edit, command.alias("command"), at("file_path", "path", "absolute_path", "notebook_path", "filePath", "dir_path").alias("path"), at("pattern").alias("pattern"), at("url").alias("url"), at("query").alias("query")]
 
 
 def _exit(output: Column) -> Column:
@@ -77,8 +80,10 @@ def replay(lines: DataFrame) -> DataFrame:
     records = j.where(s("id").isNotNull()).groupBy("file", s("id").alias("mid")).agg(F.min("line").alias("line"), F.max("line").alias("last"), F.max_by(F.struct("j", "session", "cwd"), "line").alias("r")).select("file", "mid", "line", "last", "r.*")
     rewinds = j.where(s("`$rewindTo`").isNotNull() | F.try_variant_get("j", "$['$rewindTo']", "string").isNotNull()).select("file", F.col("line").alias("rline"), F.try_variant_get("j", "$['$rewindTo']", "string").alias("target"))
     spans = rewinds.join(records.select("file", F.col("mid").alias("target"), F.col("line").alias("tline")), ["file", "target"], "left").select("file", "rline", F.coalesce("tline", F.lit(0)).alias("tline"))
-    gone = records.join(spans, "file").where("line >= tline AND line < rline AND last < rline").select("file", "mid").distinct()
-    live = records.join(gone, ["file", "mid"], "left_anti").withColumn("at", F.try_to_timestamp(s("timestamp")))
+    # records and rewinds in one order: a record goes if a later rewind, behind its last write too, reaches back to its first
+    later = Window.partitionBy("file").orderBy(F.desc("last"), F.desc("rline")).rowsBetween(Window.unboundedPreceding, 0)
+    marks = records.withColumn("rline", F.lit(None).cast("int")).withColumn("tline", F.lit(None).cast("int")).unionByName(spans.withColumn("last", F.col("rline")), allowMissingColumns=True)
+    live = marks.withColumn("back", F.min("tline").over(later)).where("mid IS NOT NULL AND (back IS NULL OR line < back)").drop("rline", "tline", "back").withColumn("at", F.try_to_timestamp(s("timestamp")))
     prompts = live.where(s("type") == "user").withColumn("text", F.coalesce(s("displayContent"), s("content"), s("content[0].text"))).where("trim(text) <> ''").withColumn("block", F.lit(0))
     t = lambda path: _string(F.col("t"), f"$.{path}")
     tools = live.select("session", "line", "at", "cwd", F.posexplode(F.try_variant_get("j", "$.toolCalls", "array<variant>")).alias("block", "t"))
@@ -89,22 +94,11 @@ def replay(lines: DataFrame) -> DataFrame:
     return assemble(prompts, calls.withColumn("action", named(REPLAY, F.col("tool"))), results)
 
 
-def _live(frame: pd.DataFrame) -> pd.DataFrame:
-    """The records on the parent chain of a file's last record; ids only."""
-    parent = dict(zip(frame["uuid"], frame["parent"], strict=True))
-    at, seen = frame.sort_values("line")["uuid"].iloc[-1], set()
-    while isinstance(at, str) and at in parent and at not in seen:
-        seen.add(at)
-        at = parent[at]
-    return frame[frame["uuid"].isin(seen)][["file", "uuid"]].drop_duplicates()
-
-
 def chain(lines: DataFrame) -> DataFrame:
     """Records with a parent each; only the branch that ends in the last record counts. Fragments of one record are read in a row."""
     s = lambda path: _string(F.col("j"), f"$.{path}")
     j = _carried(_parsed(lines), session=s("sessionId"), cwd=s("cwd"), at=F.try_to_timestamp(s("timestamp"))).withColumn("uuid", s("uuid")).where("uuid IS NOT NULL")
-    ids = j.groupBy("file", "uuid").agg(F.first(s("parentUuid"), True).alias("parent"), F.min("line").alias("line"))
-    live = ids.groupBy("file").applyInPandas(_live, "file string, uuid string")
+    live = live_chain(j.select("file", "uuid", s("parentUuid").alias("parent"), "line"), "file", "uuid", "parent", "line")
     kept = j.join(live, ["file", "uuid"], "left_semi")
     parts = kept.select("session", "line", "at", "cwd", s("type").alias("role"), F.posexplode(F.try_variant_get("j", "$.message.parts", "array<variant>")).alias("block", "b"))
     b = lambda path: _string(F.col("b"), f"$.{path}")
