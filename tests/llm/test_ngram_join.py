@@ -166,9 +166,11 @@ def test_bitmaps_rule_out_no_similar_pair():
             base = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
             x, y = (np.sort(rng.permutation(base)[: max(1, len(base) - rng.integers(0, len(base) // 6 + 1))]) for _ in range(2))
             same = len(np.intersect1d(x, y))
-            bits = nj.bitmaps(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).view(np.uint64)
-            may = nj.may_be_similar(bits[:1], bits[1:], np.array([len(x) + len(y)]))[0]
+            bits = nj.bitmaps(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).to_pylist()
+            may = nj.may_be_similar(*bits, len(x) + len(y))
             assert may or 100 * same < 75 * (len(x) + len(y) - same)
+            other = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+            assert n < 5 or not nj.may_be_similar(bits[0], nj.bitmaps(other, np.array([0, len(other)])).to_pylist()[0], len(x) + len(other))
 
 
 def test_keep_first_with_clashing_columns(spark):

@@ -39,8 +39,8 @@ MOST_FREQUENT = 2_000_000
 LEAST_FREQUENT = 16
 SMALL = 16
 BLOCK_BYTES = 1 << 20
-SPLIT_LEVEL = 12  # pairs of shingles counted 2 ** 13 times or more are split
-BITS = 1024
+SPLIT_LEVEL = 8  # pairs of shingles counted 2 ** 9 times or more are split
+LEAST_BITS, BITS_EACH = 1024, 4
 HELD = 2_000_000
 
 
@@ -93,17 +93,24 @@ class Seen:
         return out
 
 
-def bitmaps(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """A row of BITS bits, as bytes, for each set: those its shingles fall on."""
-    out = np.zeros((len(edges) - 1, BITS), bool)
-    out[np.repeat(np.arange(len(edges) - 1), np.diff(edges)), (h % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(out, axis=1)
+def bitmaps(h: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bits that each set's shingles fall on: four or more a shingle, their number a power of two, LEAST_BITS at least."""
+    n = np.diff(edges)
+    size = LEAST_BITS << np.maximum(0, np.frexp(np.maximum(n, 1) * BITS_EACH / LEAST_BITS - 1e-9)[1])
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    out[np.repeat(ends - size, n) + (h % np.repeat(size, n).astype(np.uint64)).astype(np.int64)] = True
+    offsets = np.concatenate([[0], ends // 8]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(out, bitorder="little"))])
 
 
-def may_be_similar(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def may_be_similar(a: bytes, b: bytes, size: int) -> bool:
     """False where the bitmaps show that two sets (of so many shingles together) are not similar: each differing bit is a shingle that one lacks."""
-    differ = np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
-    return 100 * (sizes - differ) >= 75 * (sizes + differ)
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    differ = int(np.bitwise_count(x ^ y).sum())
+    return 100 * (size - differ) >= 75 * (size + differ)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +118,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, h, edges in _texts(batch, "__text"):
             part = batch.slice(a, b - a)
-            bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), b - a, [None, pa.py_buffer(bitmaps(h, edges).tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("__k1", "__k2", "__id")), pa.array(np.diff(edges).astype(np.int64)), pa.array(_names(h, edges, 0)), bits], ["__k1", "__k2", "__id", "n_shingles", "__node", "__bits"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("__k1", "__k2", "__id")), pa.array(np.diff(edges).astype(np.int64)), pa.array(_names(h, edges, 0)), bitmaps(h, edges)], ["__k1", "__k2", "__id", "n_shingles", "__node", "__bits"])
 
 
 def _counted(shift: int, low: int, each: int = 1024):
@@ -262,9 +268,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("__ba", "__bb"))
-        sizes = np.asarray(batch.column("__na")) + np.asarray(batch.column("__nb"))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(may_be_similar(a, b, sizes)))
+        columns = [batch.column(c).to_pylist() for c in ("__ba", "__bb", "__na", "__nb")]
+        keep = [may_be_similar(x, y, n + m) for x, y, n, m in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _texts_of(some: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
