@@ -74,3 +74,50 @@ def test_viterbi_is_best():
     for s, got in zip(sequences, field.decode(sequences), strict=True):
         score = lambda p, s=s: sum(field.weights[field.at(f)[0], y] for f, y in zip(s, p, strict=True)) + sum(field.moves[a, b] for a, b in itertools.pairwise(p))
         assert tuple(got) == max(itertools.product(range(3), repeat=len(s)), key=score)
+
+
+def test_stretches_give_the_labels_of_whole_texts():
+    rng = random.Random(6)
+    some = ["call", "0171", "2345678", "jane", "dot", "doe", "at", "example", "com", "plain", "words", "Here", "go", "on", "12", "4111-1111", "page", "of", "tel", "(030)", "123-4567", "version", "1.2.3"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "plain " * 5000 + "call 0171 2345678 " + "words " * 5000]
+    tagger, field = pii.Tagger(pii.trained()), pii.trained()
+    found = [np.zeros(len(t.split()), int) for t in texts]
+    for n, first, tags in tagger.tags(texts):
+        found[n][first : first + len(tags)] = tags
+    for t, got, want in zip(texts, found, field.decode([pii.features(t.split()) for t in texts]), strict=True):
+        assert got.tolist() == want.tolist(), t
+
+
+def test_added_spans_are_found_in_plain_text():
+    """Spans of kinds that the patterns don't have, with digits and names of their own, among words of real documents."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(8)
+    words = [w for t in pq.read_table(f"{SF}/documents.parquet", columns=["text"]).column("text").to_pylist() for w in (t or "").split() if w.isalpha()]
+    number = lambda form: "".join(str(rng.randrange(1, 10)) if c == "#" else c for c in form)
+    name = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    kinds = {"phone": lambda: "call " + number("#### #######"), "email": lambda: f"mail {name()} dot {name()} at {name()} dot com", "card": lambda: "card " + _luhn(rng), "ip": lambda: "host " + number("1## . 1# . # . 1##")}
+    texts, want = [], []
+    for i in range(800):
+        a, b = (" ".join(rng.choice(words) for _ in range(30)) for _ in range(2))
+        kind = ("phone", "email", "card", "ip", None)[i % 5]
+        texts.append(f"{a} {kinds[kind]()} {b}" if kind else f"{a} {b}")
+        want.append(kind)
+    bases = [pii.base_spans(t) for t in texts]
+    found = pii.added_spans(texts, bases, pii.Tagger(pii.trained()))
+    right = sum(bool(k) and any(x[2] == k for x in [*f, *b]) for f, b, k in zip(found, bases, want, strict=True))
+    wrong = sum(x[2] != k for f, k in zip(found, want, strict=True) for x in f)
+    print("recall", right / sum(map(bool, want)), "wrong", wrong)
+    assert right >= 0.9 * sum(map(bool, want)) and wrong <= 0.1 * right
+
+
+def _luhn(rng):
+    digits = [rng.randrange(10) for _ in range(15)]
+    last = next(d for d in range(10) if pii.luhn("".join(map(str, [*digits, d]))))
+    s = "".join(map(str, [*digits, last]))
+    return f"{s[:4]}/{s[4:8]}/{s[8:12]}/{s[12:]}"
+
+
+def test_shapes():
+    want = {"word": "xx", "a": "x", "A": "X", "Ab": "Xx", "Word,": "Xxx,", "WORD": "XX", "wORD": "xXX", "Élan.": "Xxx.", "日本語": "xx", "a1b22": "x9x99", "12345678": "9999999", "it's": "xx'x", "x" * 70: "xx", "a.b": "x.x", "...": "..."}
+    assert {w: pii.shape(w) for w in want} == want

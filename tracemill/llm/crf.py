@@ -81,15 +81,26 @@ class ChainField:
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def decode(self, sequences: list, batch: int = 512) -> list[np.ndarray]:
-        """The best labels of each sequence (Viterbi), in batches of sequences of like length."""
-        out: list = [np.zeros(0, int)] * len(sequences)
-        order = sorted((i for i, s in enumerate(sequences) if s), key=lambda i: len(sequences[i]))
-        for a in range(0, len(order), batch):
-            own = order[a : a + batch]
-            x, lengths = self.padded([sequences[i] for i in own])
-            unary = self.weights[x].sum(2)
-            best, back = unary[:, 0], np.zeros(unary.shape, int)
+    def score(self, features: tuple[str, ...]) -> np.ndarray:
+        """What one step's features say for each label."""
+        return self.weights[self.at(features)].sum(0)
+
+    def decode(self, sequences: list) -> list[np.ndarray]:
+        """The best labels of each sequence of features."""
+        return self.decode_scores([np.array([self.score(f) for f in s]).reshape(-1, len(self.labels)) for s in sequences])
+
+    def decode_scores(self, scores: list[np.ndarray], most: int = 100_000) -> list[np.ndarray]:
+        """The best labels of sequences with so much for each step and label (Viterbi), in batches of like length and at most `most` steps (or one sequence)."""
+        out: list = [np.zeros(0, int)] * len(scores)
+        order = sorted((i for i, s in enumerate(scores) if len(s)), key=lambda i: len(scores[i]))
+        while order:
+            count = max(1, min(len(order), most // len(scores[order[-1]])))
+            own, order = order[-count:], order[:-count]
+            lengths = np.array([len(scores[i]) for i in own])
+            unary = np.zeros((len(own), lengths.max(), len(self.labels)))
+            for n, i in enumerate(own):
+                unary[n, : lengths[n]] = scores[i]
+            best, back = unary[:, 0], np.zeros(unary.shape, np.int8)
             for t in range(1, unary.shape[1]):
                 reach = best[:, :, None] + self.moves[None]
                 back[:, t] = reach.argmax(1)
@@ -100,6 +111,6 @@ class ChainField:
             for t in range(unary.shape[1] - 1, -1, -1):
                 path[:, t] = tag
                 tag = np.where(t < lengths, back[rows, t, tag], tag)
-            for i, p, n in zip(own, path, lengths, strict=True):
-                out[i] = p[:n]
+            for i, x, n in zip(own, path, lengths, strict=True):
+                out[i] = x[:n]
         return out

@@ -3,9 +3,12 @@
 The base finds e-mail addresses, IP addresses, card numbers and phone numbers by the stated patterns,
 leftmost and non-overlapping for each kind; a match that fails its check is dropped. It is written so that no text
 takes more than linear time. The field, over word shapes and cue words and trained from a small
-labelled table, tags the words around each digit, each at sign and each spelled-out address, and so adds what
-the patterns don't have: phone numbers without a plus, spelled-out addresses, split numbers. Base spans always
-stay; an added span never overlaps one.
+labelled table, tags all words of a text, and so adds what the patterns don't have: phone numbers without a plus,
+spelled-out addresses, split numbers. Base spans always stay; an added span never overlaps one.
+
+A word's scores depend on its surroundings, of which few differ, so they are computed once for each. Where they favour "no
+personal data" by more than any change of labels before and behind could outweigh, that is the word's label on the best path; Viterbi runs over
+the stretches between such words. So the labels are those of one pass over the whole text.
 
 Cases: a null or empty text has no spans; positions are code points, ends exclusive; repeated rows get
 equal results; an empty table gives an empty result; further columns are ignored.
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import small_batches
+from tracemill.llm.common import mixed, slices, small_batches
 from tracemill.llm.crf import ChainField
 
 KINDS = ("email", "ip", "card", "phone")
@@ -100,6 +103,12 @@ LABELS = ("none", *KINDS)
 
 def shape(word: str) -> str:
     """Letters as x or X, digits as 9; letter runs are shortened to two, digit runs keep their length up to 6."""
+    core = word.rstrip(".,;:!?")
+    if core.isalpha() and len(word) <= 60:  # most words; the same in fewer steps
+        if core.islower():
+            return "xx"[: len(core)] + word[len(core) :]
+        if core[0].isupper() and core[1:].islower():
+            return "X" + "xx"[: len(core) - 1] + word[len(core) :]
     out = re.sub(r"[0-9]", "9", word[:60])
     out = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", out)
     out = re.sub(r"(x|X)\1{2,}", r"\1\1", out)
@@ -111,14 +120,18 @@ def _cue(word: str) -> str:
     return low if low in CUES else ""
 
 
+_CUE_NAMES = ("", "^", *CUES)
+_CUE_NUMBERS = {c: n for n, c in enumerate(_CUE_NAMES)}
+
+
+def _feature(s: str, s0: str, s1: str, c: str, c0: str, c1: str, c2: str) -> tuple[str, ...]:
+    """Features of a word by its shape, those before and behind, and its cue, those before and behind, and that before the one before."""
+    return (f"s={s}", f"c={c}", f"-={s0}", f"+={s1}", f"-c={c0}", f"+c={c1}", f"-2c={c2}", f"d={min(7, s.count('9'))}", f"s-={s0}|{s}", "bias")
+
+
 def features(words: list[str]) -> list[tuple[str, ...]]:
-    shapes, cues = [shape(w) for w in words], [_cue(w) for w in words]
-    out = []
-    for i, s in enumerate(shapes):
-        near = lambda x, d: x[i + d] if 0 <= i + d < len(x) else "^"  # noqa: B023, E731
-        digits = min(7, sum(c == "9" for c in s))
-        out.append((f"s={s}", f"c={cues[i]}", f"-={near(shapes, -1)}", f"+={near(shapes, 1)}", f"-c={near(cues, -1)}", f"+c={near(cues, 1)}", f"-2c={near(cues, -2)}", f"d={digits}", f"s-={near(shapes, -1)}|{s}", "bias"))
-    return out
+    shapes, cues = ["^", *map(shape, words), "^"], ["^", "^", *map(_cue, words), "^"]
+    return [_feature(shapes[i + 1], shapes[i], shapes[i + 2], cues[i + 2], cues[i + 1], cues[i + 3], cues[i]) for i in range(len(words))]
 
 
 @functools.lru_cache(1)
@@ -135,35 +148,9 @@ def trained() -> ChainField:
     return ChainField(LABELS).fit(sequences, tags)
 
 
-_TRIGGER = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 
 
-def _regions(text: str, reach: int = 80) -> list[tuple[int, int]]:
-    """Stretches around digits, at signs and spelled-out addresses, cut at white space, merged."""
-    spots = [m.start() for m in _TRIGGER.finditer(text)]
-    for spelled in (" dot ", "[at]", "(at)"):
-        at = text.find(spelled)
-        while at >= 0:
-            spots.append(at)
-            at = text.find(spelled, at + 1)
-    out: list[list[int]] = []
-    for s in sorted(spots):
-        if out and s + reach <= out[-1][1]:
-            continue
-        a, b = max(0, s - reach), min(len(text), s + reach)
-        while 0 < a < s and not text[a - 1].isspace():
-            a += 1
-        while s < b < len(text) and not text[b].isspace():
-            b -= 1
-        b = max(b, s)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out if a < b]
-
-
 def _valid(kind: str, body: str) -> bool:
     digits = _DIGIT.findall(body)
     if kind == "phone":
@@ -177,24 +164,103 @@ def _valid(kind: str, body: str) -> bool:
     return ("@" in body or re.search(r"[\[(\s]at[\])\s]", low) is not None) and ("." in body or "dot" in low)
 
 
-def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], field: ChainField) -> list[list[tuple[int, int, str]]]:
+class Tagger:
+    """Labels of all words of texts; keeps the numbers of at most MOST_WORDS words and the scores of their surroundings."""
+
+    MOST_WORDS = 300_000
+
+    def __init__(self, field: ChainField):
+        self.field = field
+        # no path gains more than this by another label at one word
+        self.bound = 2 * float(field.moves.max() - field.moves.min())
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.shapes, self.names = {"^": 0}, ["^"]
+        self.known: dict[int, int] = {}
+        self.scores = np.zeros((0, len(LABELS)))
+
+    def _number(self, word: str) -> int:
+        """The word's shape and cue as one number."""
+        s = shape(word)
+        if s not in self.shapes:
+            self.shapes[s] = len(self.names)
+            self.names.append(s)
+        self.words[word] = n = self.shapes[s] * 32 + _CUE_NUMBERS[_cue(word)]
+        return n
+
+    def _scores(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Scores of each label for each word of texts that stand in a row."""
+        n, ends = len(numbers), np.cumsum(counts)
+        place = np.arange(n) - np.repeat(ends - counts, counts)
+        left = np.repeat(counts, counts) - 1 - place
+
+        def near(d: int) -> np.ndarray:
+            out = np.full(n, _CUE_NUMBERS["^"], np.int64)  # shape 0 is the edge
+            inside = (place + d >= 0) & (left - d >= 0)
+            at = np.flatnonzero(inside)
+            out[at] = numbers[at + d]
+            return out
+
+        before, behind, second = near(-1), near(1), near(-2) & 31
+        key = np.zeros(n, np.uint64)
+        for part in (before, numbers, behind, second):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64))
+        distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
+        new = [i for i, k in enumerate(distinct.tolist()) if k not in self.known]
+        rows = []
+        for i in new:
+            self.known[int(distinct[i])] = len(self.scores) + len(rows)
+            at = first[i]
+            s, s0, s1 = (self.names[x >> 5] for x in (int(numbers[at]), int(before[at]), int(behind[at])))
+            c, c0, c1, c2 = (_CUE_NAMES[x & 31] for x in (int(numbers[at]), int(before[at]), int(behind[at]), int(second[at])))
+            rows.append(self.field.score(_feature(s, s0, s1, c, c0, c1, c2)))
+        if rows:
+            self.scores = np.concatenate([self.scores, rows])
+        return self.scores[np.array([self.known[k] for k in distinct.tolist()], np.int64)[back]] if n else self.scores[:0]
+
+    def tags(self, texts: list[str]) -> list[tuple[int, int, np.ndarray]]:
+        """(text, first word, labels) of the stretches of words in which a label may be other than none."""
+        if len(self.words) > self.MOST_WORDS:
+            self.clear()
+        split = [t.split() for t in texts]
+        counts = np.array([len(w) for w in split], np.int64)
+        known, number = self.words, self._number
+        numbers = np.fromiter((known[w] if w in known else number(w) for words in split for w in words), np.int64, int(counts.sum()))
+        scores = self._scores(numbers, counts)
+        text = np.repeat(np.arange(len(texts)), counts)
+        start = np.cumsum(counts) - counts
+        open_ = np.flatnonzero(scores[:, 0] - scores[:, 1:].max(1) <= self.bound)
+        if not len(open_):
+            return []
+        cut = np.flatnonzero((np.diff(open_) > 1) | (np.diff(text[open_]) > 0)) + 1
+        where, stretches = [], []
+        for a, b in zip(open_[np.concatenate([[0], cut])], open_[np.concatenate([cut - 1, [len(open_) - 1]])] + 1, strict=True):
+            n = text[a]
+            low, high = max(a - 1, start[n]), min(b + 1, start[n] + counts[n])
+            own = scores[low:high].copy()
+            for edge in {low, high - 1} - set(range(a, b)):  # the words around are labelled none
+                own[edge - low, 1:] = -1e9
+            where.append((int(n), int(low - start[n])))
+            stretches.append(own)
+        return [(n, first, tags) for (n, first), tags in zip(where, self.field.decode_scores(stretches), strict=True) if tags.any()]
+
+
+def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
     """What the field finds beside the base spans of each text."""
-    where, sequences = [], []
-    for n, text in enumerate(texts):
-        for a, b in _regions(text):
-            tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
-            if tokens:
-                where.append((n, tokens))
-                sequences.append(features([text[x:y] for x, y in tokens]))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (n, tokens), tags in zip(where, field.decode(sequences), strict=True):
+    tokens: dict[int, list[tuple[int, int]]] = {}
+    for n, first, tags in tagger.tags(texts):
+        if n not in tokens:
+            tokens = {n: [m.span() for m in _TOKEN.finditer(texts[n])]}  # stretches of a text come together
         i = 0
         while i < len(tags):
             j = i + 1
             while j < len(tags) and tags[j] == tags[i]:
                 j += 1
             if tags[i]:
-                a, b = tokens[i][0], tokens[j - 1][1]
+                a, b = tokens[n][first + i][0], tokens[n][first + j - 1][1]
                 while a < b and texts[n][a] in ".,;:!?\"'":
                     a += 1
                 while a < b and texts[n][b - 1] in ".,;:!?\"'":
@@ -207,13 +273,16 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], field
 
 
 def _scan(batches: Iterator[pa.RecordBatch], field: ChainField) -> Iterator[pa.RecordBatch]:
+    tagger = Tagger(field)
     for batch in batches:
-        texts = [x.as_py() or "" for x in batch.column("__text")]
-        bases = [base_spans(t) for t in texts]
-        spans = [sorted(b + m, key=lambda s: (s[0], KINDS.index(s[2]))) for b, m in zip(bases, added_spans(texts, bases, field), strict=True)]
-        counts = [pa.array([sum(s[2] == k for s in b) for b in bases], pa.int64()) for k in KINDS]
-        sums = [hashlib.sha256(joined(b).encode()).hexdigest() for b in bases]
-        yield pa.RecordBatch.from_arrays([batch.column("__id"), *counts, pa.array(sums), pa.array([joined(s) for s in spans], pa.string())], ["__id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+        column = batch.column("__text").cast(pa.string()).fill_null("")
+        for x, y in slices(column):
+            texts = column.slice(x, y - x).to_pylist()
+            bases = [base_spans(t) for t in texts]
+            spans = [sorted(b + m, key=lambda s: (s[0], KINDS.index(s[2]))) for b, m in zip(bases, added_spans(texts, bases, tagger), strict=True)]
+            counts = [pa.array([sum(s[2] == k for s in b) for b in bases], pa.int64()) for k in KINDS]
+            sums = [hashlib.sha256(joined(b).encode()).hexdigest() for b in bases]
+            yield pa.RecordBatch.from_arrays([batch.column("__id").slice(x, y - x), *counts, pa.array(sums), pa.array([joined(s) for s in spans], pa.string())], ["__id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
