@@ -1,4 +1,5 @@
 import random
+import re
 
 from tracemill.llm import decontaminate as dc
 
@@ -19,7 +20,9 @@ def brute(docs, items, rate=16, least=20):
     items = [(k, dc.normalized(t)) for k, t in items if k is not None and t is not None]
     out = []
     for key, text in docs:
-        found = [(k, d) for k, t in items if len(t) >= least and (d := slow_distance(t, dc.normalized(text or ""))) <= len(t) // rate]
+        plain = dc.normalized(text or "")
+        found = [(k, d) for k, t in items if len(t) >= least and (d := slow_distance(t, plain)) <= len(t) // rate]
+        found += [(k, 0) for k, t in items if 0 < len(t) < least and re.search(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", plain)]
         out.append((key, [k for k, _ in sorted(found)], [d for _, d in sorted(found)]))
     return sorted(out, key=str)
 
@@ -61,6 +64,15 @@ def test_hard_rows_and_blocks(spark):
     assert not dc.leaks(frame.limit(0), table).collect()
 
 
+def test_short_items_and_ids_of_other_types(spark):
+    items = [("a", "yes"), ("b", "42"), ("c", ""), ("d", "  "), ("e", "of it")]
+    docs = [(1, "Yes."), (2, "yesterday 142"), (3, "is it 42?"), (4, "most  of\nit"), (5, "of item"), (6, None)]
+    frame, table = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id string, text string")
+    assert result(dc.leaks(frame, table)) == [(1, ["a"], [0]), (2, [], []), (3, ["b"], [0]), (4, ["e"], [0]), (5, [], []), (6, [], [])]
+    assert result(dc.leaks(frame, table, block_chars=3)) == result(dc.leaks(frame, table))
+    assert sorted(r["doc_id"] for r in dc.keep_clean(frame, table).collect()) == [2, 5, 6]
+
+
 def test_finds_planted_passages(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     passages = [(r["item_id"], dc.normalized(r["text"])) for r in items.collect()]

@@ -10,9 +10,10 @@ blocks of at most `block_chars` characters; a larger benchmark takes more passes
 documents, never a larger broadcast. There is no shuffle with one block, and with several only
 the hits are shuffled.
 
-Cases: null or empty documents leak nothing; null items, and items under `least_chars` characters, which turn up by
-chance, are not looked for; equal items are all reported; repeated rows get equal results;
-an empty table on either side gives no leaks; further columns are ignored (`keep_clean` keeps them).
+Cases: null or empty documents leak nothing; null and empty items are not looked for; items under `word_chars` characters
+count only as they are and as whole words, since so short a stretch turns up within words by chance; equal items are all reported; item ids may
+be of any type; repeated rows get equal results; an empty table on either side gives no leaks; further columns are ignored (`keep_clean`
+keeps them).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracemill.llm.common import durable, keyed
 
@@ -71,8 +73,9 @@ def distance_within(eq: dict[str, int], m: int, text: str) -> int:
 class Matcher:
     """Finds a block of items in normalized texts."""
 
-    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
-        self.items = [(key, text, budget(text, chars_per_edit)) for key, text in items]
+    def __init__(self, items: list[tuple], chars_per_edit: int, word_chars: int = 0):
+        self.items = [(key, text, 0 if len(text) < word_chars else budget(text, chars_per_edit)) for key, text in items]
+        self.word_chars = word_chars
         self.masks: dict[int, dict[str, int]] = {}
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k) in enumerate(self.items):
@@ -84,7 +87,7 @@ class Matcher:
         if where:
             self.automaton.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int]]:
+    def find(self, text: str) -> list[tuple]:
         """(item id, distance) of the items that the text leaks, by id."""
         if not self.items or not text:
             return []
@@ -96,6 +99,10 @@ class Matcher:
         for n, starts in spots.items():
             key, item, k = self.items[n]
             m, best, reach = len(item), k + 1, -1
+            if m < self.word_chars:
+                if any(not text[max(0, s - 1) : s].isalnum() and not text[s + m : s + m + 1].isalnum() for s in starts):
+                    found.append((key, 0))
+                continue
             spans: list[list[int]] = []
             for s in sorted(set(starts)):
                 a, b = max(0, s - k), min(len(text), s + m + k)
@@ -117,12 +124,12 @@ class Matcher:
         return sorted(found)
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, least_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
     """The benchmark in blocks; rows come to the driver one partition at a time."""
     block, size = [], 0
-    for key, text in items.select(F.col(id_col).cast("long"), text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
+    for key, text in items.select(id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
         text = normalized(text)
-        if len(text) < least_chars:
+        if not text:
             continue
         if block and size + len(text) > block_chars:
             yield block
@@ -136,11 +143,11 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, least_chars: int,
 _MATCHERS: dict[int, Matcher] = {}
 
 
-def _matcher(shared, chars_per_edit: int) -> Matcher:
+def _matcher(shared, *options: int) -> Matcher:
     """One matcher is kept for the tasks that a Python worker runs in turn."""
     if shared.id not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[shared.id] = Matcher(shared.value, chars_per_edit)
+        _MATCHERS[shared.id] = Matcher(shared.value, *options)
     return _MATCHERS[shared.id]
 
 
@@ -159,28 +166,30 @@ class _Shared:
         return self.broadcast.value
 
 
-def _find(shared: _Shared, chars_per_edit: int):
+def _find(shared: _Shared, kind: pa.DataType, *options: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared, chars_per_edit)
+        matcher = _matcher(shared, *options)
         for batch in batches:
             found = [matcher.find(normalized(x.as_py() or "")) for x in batch.column("__text")]
             columns = [batch.column(c) for c in ("__k1", "__k2", "__id")]
-            columns += [pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int64())), pa.array([[d for _, d in x] for x in found], pa.list_(pa.int32()))]
+            columns += [pa.array([[k for k, _ in x] for x in found], pa.list_(kind)), pa.array([[d for _, d in x] for x in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["__k1", "__k2", "__id", "item_ids", "distances"])
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, least_chars: int = 20, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, word_chars: int = 20, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per row of docs: id, leaked, n_items, item_ids (ascending) and their distances."""
     rows = keyed(docs, id_col, text_col)
     kind = dict(rows.dtypes)["__id"]
-    schema = f"__k1 long, __k2 int, __id {kind}, item_ids array<long>, distances array<int>"
-    blocks = [rows.mapInArrow(_find(_Shared(docs.sparkSession, b), chars_per_edit), schema) for b in item_blocks(items, item_col, item_text_col, least_chars, block_chars)]
+    item_kind = dict(items.dtypes)[item_col]
+    arrow = to_arrow_type(items.schema[item_col].dataType)
+    schema = f"__k1 long, __k2 int, __id {kind}, item_ids array<{item_kind}>, distances array<int>"
+    blocks = [rows.mapInArrow(_find(_Shared(docs.sparkSession, b), arrow, chars_per_edit, word_chars), schema) for b in item_blocks(items, item_col, item_text_col, block_chars)]
     if len(blocks) == 1:
         out = blocks[0]
     else:
-        empty = F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<int>").alias("distances")
+        empty = F.array().cast(f"array<{item_kind}>").alias("item_ids"), F.array().cast("array<int>").alias("distances")
         out = rows.select("__k1", "__k2", "__id", *empty)
         if blocks:
             hits = blocks[0]
@@ -193,18 +202,18 @@ def leaks(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, least_cha
     return out.select(F.col("__id").alias(id_col), (F.size("item_ids") > 0).alias("leaked"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "distances")
 
 
-def _clean(shared: _Shared, chars_per_edit: int, column: str):
+def _clean(shared: _Shared, column: str, *options: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared, chars_per_edit)
+        matcher = _matcher(shared, *options)
         for batch in batches:
             yield batch.filter(pa.array([not matcher.find(normalized(x.as_py() or "")) for x in batch.column(column)], pa.bool_()))
 
     return run
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, least_chars: int = 20, block_chars: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, word_chars: int = 20, block_chars: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that leak no item, with all their columns; no shuffle."""
     out = docs
-    for block in item_blocks(items, item_col, item_text_col, least_chars, block_chars):
-        out = out.mapInArrow(_clean(_Shared(docs.sparkSession, block), chars_per_edit, text_col), docs.schema)
+    for block in item_blocks(items, item_col, item_text_col, block_chars):
+        out = out.mapInArrow(_clean(_Shared(docs.sparkSession, block), text_col, chars_per_edit, word_chars), docs.schema)
     return out
