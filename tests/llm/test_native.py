@@ -72,6 +72,16 @@ def test_license_kinds(spark):
     assert got[6]["n_license_lines"] == 1 and got[5]["n_license_lines"] == 0
 
 
+def test_known_texts_as_a_table(spark):
+    df, _ = fixture(spark, DOCS, "doc_id long, text string, source string")
+    known = spark.createDataFrame([*licenses.KNOWN, ("Own", "x, Y; z"), ("Own", None), ("Own", "!!")], "a string, b string")
+    got = {r["doc_id"]: r for r in licenses.license_scan(df, known).collect() if r["text_license"] or r["doc_id"] == 1}
+    assert got[1]["line_licenses"] == "MIT" and got[7]["text_license"] == "Own"
+    names = {n for n, _ in licenses.KNOWN}
+    whole = spark.createDataFrame([(n, t.upper().replace(".", " .\n")) for n, t in licenses.KNOWN], "doc_id string, text string")
+    assert {r["text_license"] for r in licenses.license_scan(whole).collect()} == names
+
+
 def test_mix_repeats_rows_as_planned(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = {r["doc_id"]: r for r in mixing.mix_plan(docs).collect()}

@@ -8,9 +8,6 @@ word, and one pass over the words gives the hash of every window of any length.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.tables import CLEANUP, durable, scratch_dir
+
+__all__ = ["CLEANUP", "Words", "durable", "fold", "free_name", "keyed", "labelled_sample", "labels_once", "mixed", "powers", "scratch_dir", "slices", "sliding", "small_batches", "text_bytes"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 _SEPARATOR = np.zeros(256, bool)
@@ -29,36 +30,6 @@ _BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD1342543DE82EF95, "check": 0xAF2
 _POWERS: dict[tuple[str, bool], np.ndarray] = {}
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir. Only a session on one machine may do without: it gets a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tracemill-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back, so that a lost executor costs no earlier work.
-
-    The shuffle files of the job go as soon as the table stands.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -38,7 +38,7 @@ from tracemill.llm.components import components
 MOST_FREQUENT = 2_000_000
 LEAST_FREQUENT = 16
 SMALL = 16
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 8 << 20
 SPLIT_LEVEL = 8  # pairs of shingles counted 2 ** 9 times or more are split
 LEAST_BITS, BITS_EACH = 1024, 4
 HELD = 2_000_000
