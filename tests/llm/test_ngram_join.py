@@ -123,14 +123,15 @@ def test_links_are_all_counted(spark, monkeypatch):
     assert {r["doc_id"]: r["class_links"] for r in nj.ngram_join(docs).collect()} == want
 
 
-def test_copies_are_signed_once(spark):
+def test_copies_are_signed_once(spark, monkeypatch):
+    monkeypatch.setattr(nj, "PASSES", 2)
     a, b = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(60))
     rows = [(i, a if i % 3 else b) for i in range(600)]
     docs = nj.keyed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
     shift, keys, levels = nj.frequent_shingles(docs, 100, 1000, 1)
     shared = spark.sparkContext.broadcast((keys[:0], levels[:0]))
-    posts = docs.mapInArrow(nj._signed(shared, shift), "__sig long, __salt int, __node long, __size int")
-    assert posts.count() == posts.distinct().count() < 100
+    posts = [docs.mapInArrow(nj._signed(shared, shift, n), "__sig long, __salt int, __node long, __size int") for n in range(nj.PASSES)]
+    assert all(p.count() == p.distinct().count() < 100 for p in posts) and not posts[0].join(posts[1], "__sig").count()
 
 
 @pytest.mark.parametrize("held", [50, 2_000_000])
@@ -152,6 +153,8 @@ def test_counts_of_shingles(spark, monkeypatch, held):
 
 def test_split_signatures(spark, monkeypatch):
     monkeypatch.setattr(nj, "SPLIT_LEVEL", 2)
+    monkeypatch.setattr(nj, "PASSES", 3)
+    monkeypatch.setattr(nj, "MOST_BROADCAST_NODES", 0)
     monkeypatch.setattr(nj, "BLOCK_BYTES", 8 << 10)
     texts = near_copies(60, 100, 4) + near_copies(20, 40, 3, seed=4)
     rows = [(i, t) for i, t in enumerate(texts)]

@@ -9,7 +9,8 @@ to m classes, two are in one class: they meet under a pair. Frequent shingles al
 How often a shingle occurs is counted over all shingles of all documents (copies met by one task count once). Tasks add up
 what they hold, and counts travel as packed arrays by hash range. The table of frequent shingles that tasks get
 is bounded: the least count that makes a shingle frequent is doubled until MOST_FREQUENT suffice. What
-counts as frequent changes the work, never the result.
+counts as frequent changes the work, never the result. Shingles are counted, and signatures matched, in PASSES passes
+over the texts, each with its share of the hashes, so that no shuffle holds more than that share at once.
 
 Documents with equal sets are one node from the start, and copies are never expanded: a task emits a node's signatures once
 for all its copies. Under a signature that up to SMALL nodes share, all pairs are candidates; bitmaps of their sets rule out
@@ -25,6 +26,7 @@ smallest that is not null; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,8 @@ BLOCK_BYTES = 8 << 20
 SPLIT_LEVEL = 8  # pairs of shingles counted 2 ** 9 times or more are split
 LEAST_BITS, BITS_EACH = 1024, 4
 HELD = 2_000_000
+PASSES = 1
+MOST_BROADCAST_NODES = 500_000
 
 
 def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -121,11 +125,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("__k1", "__k2", "__id")), pa.array(np.diff(edges).astype(np.int64)), pa.array(_names(h, edges, 0)), bitmaps(h, edges)], ["__k1", "__k2", "__id", "n_shingles", "__node", "__bits"])
 
 
-def _counted(shift: int, low: int, each: int = 1024):
-    """Counts of a task's shingles, by range of their hashes: rows (part, keys, counts) of packed 32-bit numbers."""
+def _own(h: np.ndarray, turn: int) -> np.ndarray:
+    """Which hashes belong to a pass."""
+    return mixed(h) % np.uint64(PASSES) == np.uint64(turn)
+
+
+def _counted(shift: int, low: int, turn: int, each: int = 1024):
+    """Counts of a task's shingles of one pass, by range of their hashes: rows (part, keys, counts) of packed 32-bit numbers."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        key, n = np.unique(np.concatenate(held) >> np.uint64(shift), return_counts=True)
+        key, n = np.unique(np.concatenate(held), return_counts=True)
         part = (key >> np.uint64(low)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(part)) + 1
         edges = np.unique(np.concatenate([[0], cuts, [len(key)], *(np.arange(a, b, each) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True))])).astype(int)
@@ -137,7 +146,8 @@ def _counted(shift: int, low: int, each: int = 1024):
         seen, held, size = Seen(), [], 0
         for batch in batches:
             for _, _, h, edges in _texts(batch, "__text"):
-                held.append(h[np.repeat(seen.new(_names(h, edges, 0)), np.diff(edges))])
+                key = h[np.repeat(seen.new(_names(h, edges, 0)), np.diff(edges))] >> np.uint64(shift)
+                held.append(key[_own(key, turn)])
                 size += len(held[-1])
                 if size > HELD:
                     yield from flush(held)
@@ -185,9 +195,12 @@ def frequent_shingles(rows: DataFrame, shingles: int, most: int, least: int) ->
     """
     bits = min(64, max(1, shingles).bit_length() + 6)
     low = min(28, bits)
-    counts = rows.mapInArrow(_counted(64 - bits, low), "__part long, __keys binary, __counts binary")
-    dealt = counts.repartition("__part").sortWithinPartitions("__part")
-    found = durable(dealt.mapInArrow(_added(low, least), "__key long, __level int"), "frequent")
+    tables = []
+    for turn in range(PASSES):
+        counts = rows.mapInArrow(_counted(64 - bits, low, turn), "__part long, __keys binary, __counts binary")
+        dealt = counts.repartition("__part").sortWithinPartitions("__part")
+        tables.append(durable(dealt.mapInArrow(_added(low, least), "__key long, __level int"), "frequent"))
+    found = functools.reduce(DataFrame.unionByName, tables)
     sizes = {r[0]: r[1] for r in found.groupBy("__level").count().collect()}
     level = min(sizes, default=0)
     while sum(n for x, n in sizes.items() if x >= level) > most:
@@ -230,7 +243,7 @@ def signatures(h: np.ndarray, edges: np.ndarray, level: np.ndarray) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _signed(shared, shift: int):
+def _signed(shared, shift: int, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = shared.value
         seen = Seen()
@@ -244,7 +257,8 @@ def _signed(shared, shift: int):
                     key = h >> np.uint64(shift)
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     level = np.where(keys[at] == key, levels[at], level)
-                of, sig, level = signatures(h, np.concatenate([[0], np.cumsum(sizes)]), level)
+                found = signatures(h, np.concatenate([[0], np.cumsum(sizes)]), level)
+                of, sig, level = (x[_own(found[1], turn)] for x in found)
                 parts = np.uint64(1) << np.maximum(level.astype(int) - SPLIT_LEVEL, 0).astype(np.uint64)
                 salt = np.where(parts > 1, 1 + (mixed(names[of].view(np.uint64)) % parts).astype(np.int64), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(salt), pa.array(names[of]), pa.array(sizes[of].astype(np.int32))], ["__sig", "__salt", "__node", "__size"])
@@ -276,7 +290,8 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts_of(some: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(__node, __text), a table: for each of some nodes the text of one row that has its set."""
     places = durable(nodes.join(some, "__node", "left_semi").select("__node", "__place.*"), "places")
-    return durable(rows.select("__k1", "__k2", "__text").join(places, ["__k1", "__k2"]).select("__node", "__text").dropDuplicates(["__node"]), "texts")
+    few = F.broadcast(places) if places.count() <= MOST_BROADCAST_NODES else places  # 20 bytes a node
+    return durable(rows.select("__k1", "__k2", "__text").join(few, ["__k1", "__k2"]).select("__node", "__text").dropDuplicates(["__node"]), "texts")
 
 
 def verify(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -298,12 +313,15 @@ def links(rows: DataFrame, nodes: DataFrame, shingles: int) -> tuple[DataFrame,
     spark = rows.sparkSession
     shift, keys, levels = frequent_shingles(rows, shingles, MOST_FREQUENT, LEAST_FREQUENT)
     shared = spark.sparkContext.broadcast((keys, levels))
-    posts = rows.mapInArrow(_signed(shared, shift), "__sig long, __salt int, __node long, __size int")
     # a node comes once from each task that holds a copy of it; the first of these rows counts
     own = Window.partitionBy("__sig", "__salt")
     new = (~F.lag("__node").over(own.orderBy("__node")).eqNullSafe(F.col("__node"))).cast("int")
-    met = posts.withColumn("__new", new).withColumn("__c", F.sum("__new").over(own)).where("__new = 1 AND (__c > 1 OR __salt > 0)")
-    met = durable(met.select("__sig", "__salt", "__node", "__size", "__c"), "met")
+    tables = []
+    for turn in range(PASSES):
+        posts = rows.mapInArrow(_signed(shared, shift, turn), "__sig long, __salt int, __node long, __size int")
+        met = posts.withColumn("__new", new).withColumn("__c", F.sum("__new").over(own)).where("__new = 1 AND (__c > 1 OR __salt > 0)")
+        tables.append(durable(met.select("__sig", "__salt", "__node", "__size", "__c"), "met"))
+    met = functools.reduce(DataFrame.unionByName, tables)
     cold = (F.col("__c") <= SMALL) & (F.col("__salt") == 0)
     lists = met.where(cold).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__size")).alias("__l"))
     few = lists.select(F.explode("__l").alias("x"), "__l").select("x", F.explode("__l").alias("y")).where((F.col("x.__node") < F.col("y.__node")) & _alike("x.__size", "y.__size"))
