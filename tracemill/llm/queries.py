@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracemill.llm import chat, decontaminate, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_files, toxicity
+from tracemill.llm import chat, clustering, decontaminate, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_files, toxicity, vector_links, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_license_scan, op4_token_orc, op5_mix_sources, op6_chat_format, op7_toxicity, op8_personal_data, op9_quality_rules, op10_ngram_join)}
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", out["deviation"].cast("bigint"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_license_scan, op4_token_orc, op5_mix_sources, op6_chat_format, op7_toxicity, op8_personal_data, op9_quality_rules, op10_ngram_join, op11_near_vectors, op12_cluster, op13_whiten)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {
     "op3_license_scan": licenses.oracle_sql(),
     "op5_mix_sources": mixing.ORACLE_SQL,
     "op6_chat_format": chat.ORACLE_SQL,
+    "op11_near_vectors": vector_links.oracle_sql(),
+    "op12_cluster": clustering.oracle_sql(),
 }
