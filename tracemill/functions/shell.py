@@ -26,7 +26,7 @@ VALUES = {k: frozenset(v.split()) for k, v in fixed.VALUE_OPTIONS.items()}
 FIELDS = {
     "text": "string", "program": "string", "action": "string", "argv": "array<string>", "executables": "array<string>", "is_check": "boolean", "runs_tests": "boolean",
     "clean": "string", "clean_program": "string", "hides_status": "boolean", "masked": "boolean", "output_check": "boolean", "builds": "boolean", "is_setup": "boolean",
-    "is_task": "boolean", "strength": "int", "words": "string", "tool": "string",
+    "is_task": "boolean", "strength": "int", "words": "string", "tool": "string", "required": "array<string>",
 }
 
 
@@ -239,20 +239,41 @@ def _tool(argv: list[str]) -> str | None:
     return "\x1f".join([name(argv[0]), *argv[1:]]) if argv and name(argv[0]) else None
 
 
+def located(command: str, path: str) -> str | None:
+    """Where a path that a normalized command names lies below the project; null if a change of directory leads out of it or can't be followed."""
+    changes = first_words(command)[0]
+    if path.startswith("~") or any(len(c) != 2 or c[1][:1] in ("/", "~", "-") for c in changes):
+        return None
+    parts = "/".join([*(c[1] for c in changes), path]).split("/")
+    return "/".join(p for p in parts if p not in ("", "."))
+
+
+def started(launchers: list[tuple[str, str]], argv: list[str]) -> list[str]:
+    """The programs that a command starts itself: launchers, and what they start unless a package runner finds it."""
+    runner = next((n for n, (x, _) in enumerate(launchers) if x in fixed.PACKAGE_RUNNERS), None)
+    words = [w for _, w in launchers] + argv[:1] if runner is None else [w for _, w in launchers[: runner + 1]]
+    return [w for w in words if w not in fixed.BUILTINS]
+
+
+def required(command: str) -> list[str]:
+    """What must be there for a command to start: program:name on the search path or file:path in the project."""
+    text = normalized(command)
+    needs = [(f"program:{w}" if w[:1] == "/" or "/" not in w else located(text, w)) for w in started(*layers(text))]
+    return [n if n.startswith("program:") else f"file:{n}" for n in needs if n is not None]
+
+
 @functools.lru_cache(20_000)
 def analyzed(command: str, cwd: str = "") -> tuple:
     """The values of FIELDS for one command."""
     text, clean = normalized(command, cwd), cleaned(command)
     launchers, argv = layers(text)
     program, clean_program = program_of(argv), program_of(layers(normalized(clean))[1])
-    runners = next((n for n, (x, _) in enumerate(launchers) if x in fixed.PACKAGE_RUNNERS), None)
-    started = [w for _, w in launchers] + argv[:1] if runners is None else [w for _, w in launchers[: runners + 1]]
     script = argv[1:2] if program.split(" ")[0] in fixed.SHELLS else [w for w in argv[:1] if "/" in w]
     judged = program in fixed.OUTPUT_CHECK_PROGRAMS or program.split(" ")[0] in fixed.TASK_RUNNERS or any(OUTPUT_CHECK_WORD.search(w) for w in script)
     masked = any(cut not in ("&&", "") for _, _, cut in simple_commands(command))
     return (
-        text, program, _action(program, argv), argv, [w for w in started if w not in fixed.BUILTINS], _is_check(command), bool(TEST_WORD.search(clean)), clean, clean_program, _hides_status(command),
-        masked, judged, program in fixed.BUILD_PROGRAMS, bool(re.match(fixed.SETUP, command)), _is_task(command, argv, program), _strength(command), check_words(command), _tool(argv),
+        text, program, _action(program, argv), argv, started(launchers, argv), _is_check(command), bool(TEST_WORD.search(clean)), clean, clean_program, _hides_status(command),
+        masked, judged, program in fixed.BUILD_PROGRAMS, bool(re.match(fixed.SETUP, command)), _is_task(command, argv, program), _strength(command), check_words(command), _tool(argv), required(clean),
     )
 
 

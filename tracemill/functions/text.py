@@ -296,4 +296,4 @@ def doc_code(text: Column) -> Column:
 
 def family(repo: Column, targets: Column, check: Column) -> Column:
     """Twelve hex digits that name a family of procedures: repository, sorted targets, check program."""
-    return F.substring(F.sha2(F.concat_ws("\n", repo, F.array_join(F.array_sort(F.array_distinct(targets)), "\n"), F.lit(""), check), 256), 1, 12)
+    return F.substring(F.sha2(F.concat_ws("\n", repo, F.array_join(F.array_sort(F.array_distinct(targets)), "\n"), check), 256), 1, 12)

@@ -133,7 +133,7 @@ def q79_doc_commands(spark, d):
 
 
 @query("""WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: lower(x)) AS w FROM documents)
-  SELECT doc_id, substr(sha256(source || chr(10) || array_to_string(list_sort(list_distinct(w[1:4])), chr(10)) || chr(10) || '' || chr(10) || lang), 1, 12) AS family FROM w JOIN documents USING (doc_id)""")
+  SELECT doc_id, substr(sha256(source || chr(10) || array_to_string(list_sort(list_distinct(w[1:4])), chr(10)) || chr(10) || lang), 1, 12) AS family FROM w JOIN documents USING (doc_id)""")
 def q47_family_hash(spark, d):
     targets = F.slice(F.split(F.lower("text"), " "), 1, 4)
     return _docs(spark, d).select("doc_id", text.family(F.col("source"), targets, F.col("lang")).alias("family"))
