@@ -122,7 +122,7 @@ def test_upserts(spark):
     f = rows["f", 1]
     assert f["verify"] == "pytest {test}" and f["sessions"] == 3 and f["prompts"] == ["again"] and f["avoid"] == ["lesson 1", "lesson 2", "lesson 3"]
     assert '"test": {"kind": "path", "examples": ["tests/a.py", "tests/b.py", "tests/c.py"]}' in f["slots"] and rows["f", 2]["state"] == "candidate"
-    assert len(rows) == 4 and {k[0] for k in rows} - {"f", "g"} == {merge.hashlib.sha256(b"g\nadd").hexdigest()[:12]}
+    assert len(rows) == 4 and {k[0] for k in rows} - {"f", "g"} == {"f_" + merge.hashlib.sha256(b"g\nadd").hexdigest()[:12]}
 
 
 def test_states_after_a_refresh():
