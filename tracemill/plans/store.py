@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracemill.operators import store
 from tracemill.plans.common import EVENTS, events, registrar, table
 
 query, QUERIES, ORACLE = registrar()
@@ -140,3 +141,87 @@ def q97_forget_anti(spark, d):
 def q98_progress_upsert(spark, d):
     place = F.struct("o_orderdate", "o_orderkey")
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("session")).agg(F.min("o_orderkey").alias("harness_of"), F.max_by("o_orderstatus", place).alias("state"), F.max("o_orderdate").alias("updated_at"))
+
+
+# The store's facts from events: users are procedures, k modulo 3 their revisions.
+_K = "CAST(json_extract(props, '$.k') AS INT)"
+_FACTS = f"""WITH e AS (SELECT *, {_K} AS k, 'p' || user_id AS p FROM events),
+  fact AS (SELECT p AS procedure, k % 3 AS revision, ['active', 'stale', 'candidate', 'archived', 'quarantined', 'retired'][1 + k % 6] AS state, event_type <> 'view' AS learned, ts AS "at", event_id FROM e),
+  rev AS (SELECT p AS procedure, k % 3 AS revision, 'r' || user_id % 7 AS repo, arg_min(CASE WHEN k % 2 = 0 THEN 'active' ELSE 'candidate' END, (ts, event_id)) AS state, min(ts) AS "at" FROM e WHERE event_type = 'signup' GROUP BY 1, 2, 3),
+  inj AS (SELECT event_id AS injection, p AS procedure, k % 3 AS revision, value > 80 AS holdout, ts AS "at" FROM e WHERE event_type = 'click'),
+  done AS (SELECT event_id - k AS injection, max_by(CASE WHEN k % 4 = 0 THEN 'failed' WHEN k % 4 = 1 THEN 'unjudged' ELSE 'succeeded' END, (ts, event_id)) AS outcome FROM e WHERE event_type IN ('purchase', 'error') GROUP BY 1),
+  settled AS (SELECT inj.*, outcome FROM inj LEFT JOIN done USING (injection))"""
+
+
+def _facts(spark, d):
+    """States, revisions, injections and settlements as facts; event ids keep facts of one time apart."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = table(spark, d, "events").select("*", k.alias("k"), F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("procedure"), (k % 3).alias("revision"), F.col("ts").alias("at"))
+    names = F.array(*map(F.lit, ("active", "stale", "candidate", "archived", "quarantined", "retired")))
+    states = e.select("procedure", "revision", names[F.col("k") % 6].alias("state"), (F.col("event_type") != "view").alias("learned"), "at")
+    first = e.where("event_type = 'signup'").groupBy("procedure", "revision", "user_id").agg(F.min_by(F.when(F.col("k") % 2 == 0, "active").otherwise("candidate"), F.struct("ts", "event_id")).alias("state"), F.min("ts").alias("at"))
+    revisions = first.select("procedure", "revision", F.lit("f").alias("family"), F.concat(F.lit("r"), (F.col("user_id") % 7).cast("string")).alias("repo"), F.lit("t").alias("title"), "state", "at")
+    injections = e.where("event_type = 'click'").select(F.col("event_id").alias("injection"), F.col("user_id").alias("session"), "procedure", "revision", (F.col("value") > 80).alias("holdout"), F.lit("prompt").alias("cue"), "at")
+    outcome = F.when(F.col("k") % 4 == 0, "failed").when(F.col("k") % 4 == 1, "unjudged").otherwise("succeeded")
+    settlements = e.where("event_type IN ('purchase', 'error')").select((F.col("event_id") - F.col("k")).alias("injection"), F.col("event_id").alias("task"), outcome.alias("outcome"), "at")
+    reminders = e.where("false").select(F.col("event_id").alias("injection"), "at")
+    return states, revisions, injections, settlements, reminders
+
+
+@query(_FACTS + """, step AS (SELECT fact.*, list_contains(['active', 'stale', 'candidate'], fact.state) AS serving FROM fact JOIN rev ON rev.procedure = fact.procedure AND rev.revision = fact.revision WHERE fact."at" >= rev."at"),
+  folded AS (SELECT procedure, revision, list((CASE WHEN learned THEN 'l' ELSE 's' END) || state ORDER BY "at", learned, state) AS steps FROM step GROUP BY 1, 2)
+  SELECT procedure, revision, list_reduce(list_prepend('s' || state, coalesce(steps, [])), lambda now, x: CASE WHEN x[1] = 's' OR substr(now, 2) IN ('active', 'stale', 'candidate') THEN x ELSE now END)[2:] AS state
+  FROM rev LEFT JOIN folded USING (procedure, revision)""")
+def q115_states(spark, d):
+    states, revisions, *_ = _facts(spark, d)
+    return store.current_states(states, revisions).select("procedure", "revision", "state")
+
+
+@query(_FACTS + """ SELECT procedure, revision, count(*) FILTER (NOT holdout AND outcome = 'succeeded') AS successes, count(*) FILTER (NOT holdout AND outcome = 'failed') AS failures,
+  count(*) FILTER (NOT holdout) AS injections, count(*) FILTER (holdout) AS holdouts, max(CASE WHEN NOT holdout AND outcome = 'succeeded' THEN "at" END) AS last_success_at FROM settled GROUP BY 1, 2""")
+def q116_outcome_totals(spark, d):
+    _, _, injections, settlements, reminders = _facts(spark, d)
+    return store.outcome_totals(store.settled_injections(injections, settlements, reminders))
+
+
+@query(_FACTS + """, own AS (SELECT procedure, revision, count(*) FILTER (outcome = 'succeeded') AS s, count(*) FILTER (outcome = 'failed') AS f FROM settled WHERE NOT holdout GROUP BY 1, 2),
+  held AS (SELECT procedure, count(*) FILTER (outcome = 'succeeded') AS hs, count(*) FILTER (outcome = 'failed') AS hf FROM settled WHERE holdout GROUP BY 1),
+  used AS (SELECT procedure, revision, max("at") AS "at" FROM settled WHERE outcome IS NOT NULL GROUP BY 1, 2)
+  SELECT procedure, revision, coalesce(s, 0) AS s, coalesce(f, 0) AS f, coalesce(hs, 0) AS hs, coalesce(hf, 0) AS hf, coalesce(used."at", rev."at") AS used_at FROM rev LEFT JOIN own USING (procedure, revision) LEFT JOIN held USING (procedure) LEFT JOIN used USING (procedure, revision)""")
+def q117_evidence_and_use(spark, d):
+    _, revisions, injections, settlements, reminders = _facts(spark, d)
+    settled = store.settled_injections(injections, settlements, reminders)
+    use = store.usage(revisions, settled).select("procedure", "revision", "used_at")
+    return store.evidence(revisions, settled).join(use, ["procedure", "revision"]).select("procedure", "revision", "s", "f", "hs", "hf", "used_at")
+
+
+@query(f"""SELECT user_id AS session, {_K} AS first_seq, arg_min(event_type, (ts, event_type)) AS summary, min(ts) AS "at" FROM events GROUP BY 1, 2""")
+def q118_first_extractions(spark, d):
+    facts = table(spark, d, "events").select(F.col("user_id").alias("session"), F.get_json_object("props", "$.k").cast("int").alias("first_seq"), F.col("event_type").alias("summary"), F.col("ts").alias("at"))
+    return store.first_of(facts, "session", "first_seq").select("session", "first_seq", "summary", "at")
+
+
+@query(_FACTS + """, gone AS (SELECT procedure, max("at") AS gone FROM (SELECT p AS procedure, ts AS "at" FROM e WHERE event_type = 'error' AND k % 10 = 0
+    UNION ALL SELECT rev.procedure, x.ts FROM rev JOIN e AS x ON rev.repo = 'r' || x.k % 14 AND rev."at" <= x.ts WHERE x.event_type = 'error' AND x.k % 25 = 1) GROUP BY 1),
+  left_ AS (SELECT inj.* FROM inj LEFT JOIN gone USING (procedure) WHERE gone IS NULL OR "at" > gone)
+  SELECT procedure, count(*) AS injections, count(done.injection) AS settled FROM left_ LEFT JOIN done USING (injection) GROUP BY 1""")
+def q119_forget_cascade(spark, d):
+    states, revisions, injections, settlements, reminders = _facts(spark, d)
+    e = table(spark, d, "events").where("event_type = 'error'").select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("ts").alias("at"))
+    one = e.where("k % 10 = 0").select(F.lit("procedure").alias("what"), F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("value"), "at")
+    repo = e.where("k % 25 = 1").select(F.lit("repo").alias("what"), F.concat(F.lit("r"), (F.col("k") % 14).cast("string")).alias("value"), "at")
+    none = e.where("false").select(F.col("user_id").alias("session"), "at")
+    extractions = e.where("false").select(F.lit("").alias("procedure"), "at")
+    left = store.remembered({"forgotten": one.unionByName(repo), "revisions": revisions, "injections": injections, "states": states, "extractions": extractions, "progress": none, "settlements": settlements, "reminders": reminders})
+    settled = store.settled_injections(left["injections"], left["settlements"], left["reminders"])
+    return settled.groupBy("procedure").agg(F.count("*").alias("injections"), F.count("outcome").alias("settled"))
+
+
+@query(f"""WITH e AS (SELECT user_id AS session, event_type, {_K} AS k, ts, event_id FROM events),
+  n AS (SELECT session, arg_min(event_type, (ts, event_id)) FILTER (event_type <> 'view') AS harness, arg_max(k, (ts, event_id)) FILTER (event_type <> 'view') AS extracted_through, arg_max(event_type = 'view', (ts, event_id)) AS ended, max(ts) AS updated_at FROM e GROUP BY 1)
+  SELECT session, harness, CAST(extracted_through AS BIGINT) AS extracted_through, updated_at FROM n WHERE NOT ended AND harness IS NOT NULL""")
+def q120_open_sessions(spark, d):
+    said = F.col("event_type") != "view"
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    facts = table(spark, d, "events").select(F.col("ts").alias("at"), "event_id", F.col("user_id").alias("session"), F.when(said, F.col("event_type")).alias("harness"), F.when(said, F.lit("t")).alias("transcript"), F.lit("r").alias("repo"), F.when(said, k).alias("extracted_through"), (~said).alias("ended"))
+    return store.open_sessions(store.current_progress(facts)).select("session", "harness", "extracted_through", "updated_at")
