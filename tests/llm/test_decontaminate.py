@@ -16,12 +16,12 @@ def slow_distance(item, text):
     return min(row)
 
 
-def brute(docs, items, rate=16, least=20):
+def brute(docs, items, rate=16, least=0):
     items = [(k, dc.normalized(t)) for k, t in items if k is not None and t is not None]
     out = []
     for key, text in docs:
         plain = dc.normalized(text or "")
-        found = [(k, d) for k, t in items if len(t) >= least and (d := slow_distance(t, plain)) <= len(t) // rate]
+        found = [(k, d) for k, t in items if len(t) >= max(1, least) and (d := slow_distance(t, plain)) <= len(t) // rate]
         found += [(k, 0) for k, t in items if 0 < len(t) < least and re.search(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", plain)]
         out.append((key, [k for k, _ in sorted(found)], [d for _, d in sorted(found)]))
     return sorted(out, key=str)
@@ -68,10 +68,35 @@ def test_short_items_and_ids_of_other_types(spark):
     items = [("a", "yes"), ("b", "42"), ("c", ""), ("d", "  "), ("e", "of it")]
     docs = [(1, "Yes."), (2, "yesterday 142"), (3, "is it 42?"), (4, "most  of\nit"), (5, "of item"), (6, None)]
     frame, table = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id string, text string")
-    assert result(dc.leaks(frame, table)) == [(1, ["a"], [0]), (2, [], []), (3, ["b"], [0]), (4, ["e"], [0]), (5, [], []), (6, [], [])]
+    assert result(dc.leaks(frame, table)) == brute(docs, items)
+    assert result(dc.leaks(frame, table)) == [(1, ["a"], [0]), (2, ["a", "b"], [0, 0]), (3, ["b"], [0]), (4, ["e"], [0]), (5, ["e"], [0]), (6, [], [])]
+    # as whole words, if asked
+    assert result(dc.leaks(frame, table, word_chars=20)) == brute(docs, items, least=20) == [(1, ["a"], [0]), (2, [], []), (3, ["b"], [0]), (4, ["e"], [0]), (5, [], []), (6, [], [])]
     assert result(dc.leaks(frame, table, block_chars=3)) == result(dc.leaks(frame, table))
-    assert sorted(r["doc_id"] for r in dc.keep_clean(frame, table).collect()) == [2, 5, 6]
-
+    assert sorted(r["doc_id"] for r in dc.keep_clean(frame, table, word_chars=20).collect()) == [2, 5, 6]
+
+
+def test_items_of_any_length_have_their_budget(spark):
+    """One edit for each 16 characters: items of 15 to 33 characters, with one edit more and one less than that."""
+    letters = "the quick brown fox jumps over the lazy dog"
+    items = [(n, letters[:n].strip()) for n in range(15, 34)]
+    docs = []
+    for n, text in items:
+        for edits in range(4):
+            spoilt = list(text)
+            for i in range(edits):
+                spoilt[3 + 5 * i] = "#"
+            docs.append((100 * n + edits, "".join(spoilt)))
+    frame, table = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    assert result(dc.leaks(frame, table)) == brute(docs, items)
+
+
+def test_column_names_with_dots(spark):
+    frame = spark.createDataFrame([(1, "abcdefghijklmnopqrst", 2, 3), (2, "other", 2, 3)], "doc_id int, text string, `a.b` int, `__text` int")
+    table = spark.createDataFrame([(1, "abcdefghijklmnopqrst")], "item_id int, text string")
+    kept = dc.keep_clean(frame, table)
+    assert kept.columns == frame.columns
+    assert [r["doc_id"] for r in kept.collect()] == [2]
 
 def test_finds_planted_passages(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))

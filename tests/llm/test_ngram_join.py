@@ -178,7 +178,7 @@ def test_bitmaps_rule_out_no_similar_pair():
 
 def test_keep_first_with_clashing_columns(spark):
     rows = [(1, "a b c d e f g", 5, "k", 1), (2, "a b c d e f g", 6, "l", 2), (3, None, 7, None, 3), (None, "", 8, "m", 4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, __k int, __key string, __node int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, __row string, __node int")
     kept = nj.keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=lambda r: r[4]) == [rows[0], *rows[2:]]

@@ -54,3 +54,24 @@ def test_run(spark):
     assert rows and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sum(r["n_tokens"] for r in rows) == max(r["start"] + r["n_tokens"] for r in rows)
     assert len({name for name, _ in corpus_pipeline.STAGES}) == 5 and zlib.crc32(b"") == 0 and np.all([r["n_tokens"] > 0 for r in rows])
+
+
+def test_hard_tables(spark, tmp_path):
+    """Nulls, repeats, clashing and dotted names and an empty table go through all stages; columns stay."""
+    good = [" ".join("bcdfghklmnprstvwxz"[(n * 7 + i * 5) % 18] + "aeiou"[(n + i) % 5] + "lmnrst"[(n * i) % 6] + "ing"[: i % 4] for i in range(24)) for n in range(20)]
+    rows = [(n, t, "en", "a", len(t), 1, "x") for n, t in enumerate(good)] + [(0, good[0], "en", "a", 1, 1, "x"), (50, good[3], "en", None, 1, 2, "y"), (None, good[4] + " or so", None, None, None, None, None), (51, None, None, "b", None, None, None), (52, "", "en", "b", 0, 1, "x"), (53, "word " * 20000, "en", "b", 1, 1, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, __row string"
+    spark.createDataFrame([(0, good[1][:60])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema).repartition(3)
+        columns = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == columns
+            docs = spark.createDataFrame(docs.collect(), schema)
+        kept = [r["doc_id"] for r in docs.collect()]
+        assert 1 not in kept and 51 not in kept and 53 not in kept and 50 not in kept
+        assert not given or {5, 6, 7, 8} <= set(kept)
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert out.count() == len(kept)

@@ -38,7 +38,7 @@ def test_counts_and_held_out_accuracy(spark):
 
 def test_hard_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "a b c d e " * 10), (3, "é# " * 30 + "\nx\nx\n \n \nx "), (4, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (5, " ".join(f"w{i}" for i in range(100000))), (6, "<<>>&&|| \x1c x"), (7, "a\r\nb\r\na\r\n")]
-    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, kept string, n_words int").repartition(3)
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, `kept.x` string, n_words int").repartition(3)
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.train(docs, none)
     check(docs, model)

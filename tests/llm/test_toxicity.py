@@ -11,7 +11,7 @@ def test_slopes_match_differences():
     net = gru.Network(20, 30)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((7, gru.WORD_DIM + gru.CHAR_DIM + 1))
+    x = rng.standard_normal((7, gru.WORD_DIM + gru.CHAR_DIM))
     at, real = rng.integers(0, 7, (3, 6)), np.arange(6)[None] < np.array([[6], [3], [1]])
     y, weight = np.array([1.0, 0, 1]), np.array([1.0, 2, 1])
 
@@ -53,7 +53,7 @@ def one_by_one(net, gates, rows, width, part=1024, warm=64):
             h = np.zeros(k)
             for t in steps:
                 g, a = gates[way][rows[t]], h @ net.p[f"u{way}"]
-                z, r = sigmoid(g[:k] + a[:k]), sigmoid(g[k : 2 * k] + a[k : 2 * k])
+                z, r = gru.LEAK + (1 - gru.LEAK) * sigmoid(g[:k] + a[:k]), sigmoid(g[k : 2 * k] + a[k : 2 * k])
                 h = h + z * (np.tanh(g[2 * k :] + r * a[2 * k :]) - h)
                 if low <= t < high:
                     states[t, side] = h
@@ -118,9 +118,32 @@ def test_every_window_start_is_scored():
     for r in rows:
         words = [toxicity.plain(w) for w in r.encode().split()]
         if words:
-            odds = np.array([scorer.odds.get(w, 0.0) for w in words], np.float32)
-            gates = scorer.network.projected(scorer.network.inputs(*toxicity._numbers(words), odds))
+            gates = scorer.network.projected(scorer.network.inputs(*toxicity._numbers(words)))
             logits = one_by_one(scorer.network, gates, np.arange(len(words)), toxicity.LENGTH)[: max(1, len(words) - toxicity.LENGTH + 1)]
         want.append(max((1 / (1 + np.exp(-z)) for z in logits), default=0.0) if words else 0.0)
     assert np.allclose(got, want, atol=1e-4), np.abs(got - want).max()
     assert np.ptp(got[:30]) < 1e-3
+
+
+def test_a_window_alone_has_the_score_it_has_in_its_text():
+    """Windows are scored as trained: alone with CONTEXT words around them, in parts of a text, or in the whole text, the logit is the same."""
+    import pyarrow.parquet as pq
+
+    docs, labels = (pq.read_table(f"{SF}/{t}.parquet").to_pylist() for t in ("documents", "labels"))
+    toxic = {r["doc_id"]: r["toxic"] for r in labels if r["toxic"] is not None}
+    some = [(r["text"] or "", toxic[r["doc_id"]]) for r in docs if r["doc_id"] in toxic]
+    net = toxicity.fit([t for t, _ in some], np.array([y for _, y in some]), 4).network
+    words = [[toxicity.plain(w) for w in t.encode().split()] for t, _ in some]
+    words = [w for w in words if len(w) > 300][:12] + [sum(words, [])[:5000]]
+    names = sorted({x for w in words for x in w})
+    place = {w: n for n, w in enumerate(names)}
+    gates = net.projected(net.inputs(*toxicity._numbers(names)))
+    counts = np.array([len(w) for w in words])
+    at = np.array([place[x] for w in words for x in w])
+    whole = net.every(gates, at, counts, toxicity.LENGTH, part=1 << 30)
+    text, start = toxicity.spread(counts, 7)
+    rows, real, pool = toxicity._windows(text, start, counts, at)
+    alone = net.run(gates, rows, real, pool)
+    apart = np.abs(alone - whole[start])
+    print("alone", apart.max(), apart.mean(), "in parts", np.abs(net.every(gates, at, counts, toxicity.LENGTH) - whole).max())
+    assert apart.max() < 0.05 and apart.mean() < 0.001 and np.abs(net.every(gates, at, counts, toxicity.LENGTH) - whole).max() < 0.02

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracemill.tables import CLEANUP, durable, scratch_dir
 
-__all__ = ["CLEANUP", "Words", "durable", "fold", "free_name", "keyed", "labelled_sample", "labels_once", "mixed", "powers", "scratch_dir", "slices", "sliding", "small_batches", "text_bytes"]
+__all__ = ["CLEANUP", "Words", "durable", "fold", "free_name", "keyed", "labelled_sample", "labels_once", "mixed", "numbered", "powers", "scratch_dir", "slices", "sliding", "small_batches", "text_bytes"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
@@ -38,6 +38,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns under numbers, so that none of their names can clash or be read as a path, and the number of each name."""
+    return df.toDF(*(f"c{n}" for n in range(len(df.columns)))), {c: f"c{n}" for n, c in enumerate(df.columns)}
+
+
 def small_batches(spark: SparkSession, most: int = 2000) -> None:
     """Fewer rows in an Arrow batch than Spark's default, for tables of long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > most:

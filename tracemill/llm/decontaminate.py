@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A document leaks an item where some stretch of it is within the item's error budget: one edit for
-each `chars_per_edit` characters. A budget of k edits cannot touch all of k + 1 pieces, so one piece
+each `chars_per_edit` characters, whatever its length. A budget of k edits cannot touch all of k + 1 pieces, so one piece
 is there as it is. An Aho-Corasick automaton over all pieces finds those in one pass over a text;
 around each hit, Myers' bit-parallel distance over the item's whole length decides.
 
@@ -10,7 +10,7 @@ blocks of at most `block_chars` characters; a larger benchmark takes more passes
 documents, never a larger broadcast. There is no shuffle with one block, and with several only
 the hits are shuffled.
 
-Cases: null or empty documents leak nothing; null and empty items are not looked for; items under `word_chars` characters
+Cases: null or empty documents leak nothing; null and empty items are not looked for; where `word_chars` is given (it is 0), items of fewer characters
 count only as they are and as whole words, since so short a stretch turns up within words by chance; equal items are all reported; item ids may
 be of any type; repeated rows get equal results; an empty table on either side gives no leaks; further columns are ignored (`keep_clean`
 keeps them).
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tracemill.llm.common import durable, keyed
+from tracemill.llm.common import durable, keyed, numbered
 
 
 def normalized(text: str) -> str:
@@ -178,7 +178,7 @@ def _find(shared: _Shared, kind: pa.DataType, *options: int):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, word_chars: int = 20, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, word_chars: int = 0, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per row of docs: id, leaked, n_items, item_ids (ascending) and their distances."""
     rows = keyed(docs, id_col, text_col)
     kind = dict(rows.dtypes)["__id"]
@@ -211,9 +211,10 @@ def _clean(shared: _Shared, column: str, *options: int):
     return run
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, word_chars: int = 20, block_chars: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, word_chars: int = 0, block_chars: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that leak no item, with all their columns; no shuffle."""
-    out = docs
+    out, at = numbered(docs)
+    schema = out.schema
     for block in item_blocks(items, item_col, item_text_col, block_chars):
-        out = out.mapInArrow(_clean(_Shared(docs.sparkSession, block), text_col, chars_per_edit, word_chars), docs.schema)
-    return out
+        out = out.mapInArrow(_clean(_Shared(docs.sparkSession, block), at[text_col], chars_per_edit, word_chars), schema)
+    return out.toDF(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN, WORD_DIM, CHAR_DIM = 12, 8, 12
+LEAK = 0.15  # least share of a state that each word renews: what stands far before or behind a word leaves no trace in its state
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -20,20 +21,20 @@ def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 class Network:
-    """Inputs are a word's embedding, the mean embedding of its character trigrams and one number about the word."""
+    """Inputs are a word's embedding and the mean embedding of its character trigrams."""
 
     def __init__(self, words: int, trigrams: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        d = WORD_DIM + CHAR_DIM + 1
+        d = WORD_DIM + CHAR_DIM
         draw = lambda *shape: (rng.standard_normal(shape) * 0.3 / np.sqrt(shape[0] if len(shape) > 1 else 1)).astype(np.float32)
         self.p = {"words": draw(words, WORD_DIM), "chars": draw(trigrams, CHAR_DIM), "v": draw(2 * HIDDEN), "u": draw(2 * HIDDEN), "b": np.zeros(1, np.float32)}
         for way in "fb":
             self.p |= {f"w{way}": draw(d, 3 * HIDDEN) * 2, f"u{way}": draw(HIDDEN, 3 * HIDDEN) * 2, f"g{way}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def inputs(self, word: np.ndarray, codes: np.ndarray, count: np.ndarray, number: np.ndarray) -> np.ndarray:
+    def inputs(self, word: np.ndarray, codes: np.ndarray, count: np.ndarray) -> np.ndarray:
         """A row for each distinct word; codes are all words' trigram numbers in a row, count of them each (one at least)."""
         mean = np.add.reduceat(self.p["chars"][codes], np.cumsum(count) - count, axis=0) / count[:, None]
-        return np.concatenate([self.p["words"][word], mean, 3 * number[:, None]], 1).astype(np.float32)
+        return np.concatenate([self.p["words"][word], mean], 1).astype(np.float32)
 
     def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """The input part of all gates, for each distinct word once."""
@@ -53,7 +54,7 @@ class Network:
             for t in order:
                 g, a = gates[way][at[:, t]], h @ u
                 zr = _sigmoid(g[:, : 2 * k] + a[:, : 2 * k])
-                z, r = zr[:, :k], zr[:, k:]
+                z, r = LEAK + (1 - LEAK) * zr[:, :k], zr[:, k:]
                 c = np.tanh(g[:, 2 * k :] + r * a[:, 2 * k :])
                 new = h + z * (c - h)
                 if not full:
@@ -108,6 +109,8 @@ class Network:
                     zr = np.exp(np.add(g[: 2 * k], a[: 2 * k]))
                     zr += 1
                     np.reciprocal(zr, out=zr)
+                    zr[:k] *= 1 - LEAK
+                    zr[:k] += LEAK
                     c = zr[k:] * a[2 * k : 3 * k]
                     c += g[2 * k :]
                     np.exp(c, out=c)
@@ -155,7 +158,7 @@ class Network:
             for t, h, z, r, c, ac in reversed(kept[way]):
                 dh = dh + dstates[t, :, :k] if way == "f" else dh + dstates[t, :, k:]
                 live = np.where(real[:, t, None], dh, 0)
-                dz, dc = live * (c - h) * z * (1 - z), live * z * (1 - c * c)
+                dz, dc = live * (c - h) * (z - LEAK) * (1 - z) / (1 - LEAK), live * z * (1 - c * c)
                 dr = dc * ac * r * (1 - r)
                 dg, dn = np.concatenate([dz, dr, dc], 1), np.concatenate([dz, dr, dc * r], 1)
                 out[f"u{way}"] += h.T @ dn

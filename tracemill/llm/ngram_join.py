@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Words, durable, free_name, keyed, mixed, slices
+from tracemill.llm.common import Words, durable, keyed, mixed, numbered, slices
 from tracemill.llm.components import components
 
 MOST_FREQUENT = 2_000_000
@@ -463,15 +463,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group of near copies, that with the smallest id; documents without any word all stay.
 
-    Of rows alike in that id, one stays. Only ids are shuffled for the choice; texts move once, by row key.
+    Of rows alike in that id and text, one stays, whole. Only ids are shuffled for the choice; texts move once, by row key.
     """
-    key = F.xxhash64(F.col(id_col), F.lit("|"), F.col(text_col))
-    named = docs.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("__key"), F.col(text_col).alias("__body"))
+    rows, at = numbered(docs)
+    own_id, own_text = F.col(at[id_col]), F.col(at[text_col])
+    key = F.struct(F.xxhash64(own_id, F.lit("|"), own_text).alias("a"), F.xxhash64(F.lit("|"), own_text, own_id).alias("b"))
+    named = rows.select(F.struct(own_id.isNull().alias("n"), own_id.alias("i"), key.alias("k")).alias("__key"), own_text.alias("__body"))
     joined = durable(ngram_join(named, "__key", "__body", counted=False), "near")
-    own = free_name(docs, "__key")
-    chosen = joined.where((F.col("n_shingles") == 0) | (F.col("__key") == F.col("component_id"))).select(F.col("__key.k").alias(own)).distinct()
-    columns = docs.columns
-    kept = docs.withColumn(own, key).join(chosen, own, "left_semi")
-    empty = F.coalesce(F.length(F.regexp_replace(F.col(text_col), r"[\x20\x09-\x0D]", "")), F.lit(0)) == 0
-    first = kept.where(~empty).groupBy(own).agg(*(F.first(c).alias(c) for c in columns)).select(*columns)
-    return first.unionByName(kept.where(empty).select(*columns))
+    chosen = joined.where((F.col("n_shingles") == 0) | (F.col("__key") == F.col("component_id"))).select(F.col("__key.k").alias("__row")).distinct()
+    kept = rows.withColumn("__row", key).join(chosen, "__row", "left_semi")
+    empty = F.coalesce(F.length(F.regexp_replace(own_text, r"[\x20\x09-\x0D]", "")), F.lit(0)) == 0
+    first = kept.where(~empty).groupBy("__row").agg(F.first(F.struct(*rows.columns)).alias("r")).select("r.*")
+    return first.unionByName(kept.where(empty).select(*rows.columns)).toDF(*docs.columns)

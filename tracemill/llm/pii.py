@@ -104,12 +104,12 @@ LABELS = ("none", *KINDS)
 def shape(word: str) -> str:
     """Letters as x or X, digits as 9; letter runs are shortened to two, digit runs keep their length up to 6."""
     core = word.rstrip(".,;:!?")
-    if core.isalpha() and len(word) <= 60:  # most words; the same in fewer steps
+    if core.isalpha():  # most words; the same in fewer steps
         if core.islower():
             return "xx"[: len(core)] + word[len(core) :]
         if core[0].isupper() and core[1:].islower():
             return "X" + "xx"[: len(core) - 1] + word[len(core) :]
-    out = re.sub(r"[0-9]", "9", word[:60])
+    out = re.sub(r"[0-9]", "9", word)
     out = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", out)
     out = re.sub(r"(x|X)\1{2,}", r"\1\1", out)
     return re.sub(r"9{7,}", "9999999", out)
@@ -165,9 +165,13 @@ def _valid(kind: str, body: str) -> bool:
 
 
 class Tagger:
-    """Labels of all words of texts; keeps the numbers of at most MOST_WORDS words and the scores of their surroundings."""
+    """Labels of all words of texts.
 
-    MOST_WORDS = 300_000
+    The numbers of words and the scores of surroundings are kept from text to text, until there are more than MOST of either or their
+    words and shapes have more than MOST_CHARS characters.
+    """
+
+    MOST, MOST_CHARS = 300_000, 32 << 20
 
     def __init__(self, field: ChainField):
         self.field = field
@@ -179,14 +183,17 @@ class Tagger:
         self.words: dict[str, int] = {}
         self.shapes, self.names = {"^": 0}, ["^"]
         self.known: dict[int, int] = {}
-        self.scores = np.zeros((0, len(LABELS)))
+        self.scores = np.zeros((1024, len(LABELS)))
+        self.chars = 0
 
     def _number(self, word: str) -> int:
         """The word's shape and cue as one number."""
         s = shape(word)
+        self.chars += len(word)
         if s not in self.shapes:
             self.shapes[s] = len(self.names)
             self.names.append(s)
+            self.chars += len(s)
         self.words[word] = n = self.shapes[s] * 32 + _CUE_NUMBERS[_cue(word)]
         return n
 
@@ -209,20 +216,22 @@ class Tagger:
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64))
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
         new = [i for i, k in enumerate(distinct.tolist()) if k not in self.known]
-        rows = []
+        rows, have = [], len(self.known)
         for i in new:
-            self.known[int(distinct[i])] = len(self.scores) + len(rows)
+            self.known[int(distinct[i])] = have + len(rows)
             at = first[i]
             s, s0, s1 = (self.names[x >> 5] for x in (int(numbers[at]), int(before[at]), int(behind[at])))
             c, c0, c1, c2 = (_CUE_NAMES[x & 31] for x in (int(numbers[at]), int(before[at]), int(behind[at]), int(second[at])))
             rows.append(self.field.score(_feature(s, s0, s1, c, c0, c1, c2)))
         if rows:
-            self.scores = np.concatenate([self.scores, rows])
+            if have + len(rows) > len(self.scores):  # doubled, so that growth costs no more than the rows
+                self.scores = np.concatenate([self.scores, np.zeros((max(len(rows), len(self.scores)), len(LABELS)))])
+            self.scores[have : have + len(rows)] = rows
         return self.scores[np.array([self.known[k] for k in distinct.tolist()], np.int64)[back]] if n else self.scores[:0]
 
     def tags(self, texts: list[str]) -> list[tuple[int, int, np.ndarray]]:
         """(text, first word, labels) of the stretches of words in which a label may be other than none."""
-        if len(self.words) > self.MOST_WORDS:
+        if max(len(self.words), len(self.known)) > self.MOST or self.chars > self.MOST_CHARS:
             self.clear()
         split = [t.split() for t in texts]
         counts = np.array([len(w) for w in split], np.int64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Words, labelled_sample, slices, small_batches
+from tracemill.llm.common import Words, labelled_sample, numbered, slices, small_batches
 from tracemill.llm.trees import Trees, fit
 
 SYMBOLS = np.zeros(256, bool)
@@ -154,4 +154,5 @@ def _keep(model: Trees, cut: float, column: str):
 def keep_good(docs: DataFrame, model: Trees, cut: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with all their columns; no shuffle."""
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(_keep(model, cut, text_col), docs.schema)
+    rows, at = numbered(docs)
+    return rows.mapInArrow(_keep(model, cut, at[text_col]), rows.schema).toDF(*docs.columns)

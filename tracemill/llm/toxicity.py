@@ -1,15 +1,16 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling.
 
-The network reads words as an embedding, the mean of their character trigrams' embeddings, and how much
-more often toxic training documents hold the word than others (for a training document: without itself). It runs
+The network reads words as an embedding and the mean of their character trigrams' embeddings. It runs
 through a text in both directions; the attention pools the states of a window of LENGTH words. Every document is scored over
 all its windows, one from each word on; the largest score counts. The states are computed once and shared by all windows that
-hold the word, so a window knows the words around it, and all windows cost hardly more than one.
+hold the word, so a window knows the words around it, and all windows cost hardly more than one. It is trained on windows with CONTEXT words on
+either side, beyond which a state remembers nothing that counts: a window scored by itself, with that context, has the score it has in its text.
 
 It is trained in numpy on the driver from at most `sample` labelled documents of each class (a documented bound), none of
 held-out fold 1. In each epoch a document teaches with the windows that the network itself finds most toxic, since those
 decide its score; a clean one with some others too. An epoch looks at one window each APART words, from another word on
-than the last epoch; the network sees CONTEXT words on either side of it. Input projections are computed once for each distinct
+than the last epoch. Before the network knows anything, windows are ranked by how much more often toxic training documents hold their words; that
+number is no input. Input projections are computed once for each distinct
 word, and slices of texts go through one at a time, so memory is bounded by the slice.
 
 Cases: null and empty texts score 0; without labelled rows of both classes every score is 0; repeated rows get
@@ -31,9 +32,10 @@ from tracemill.llm.common import fold, labelled_sample, slices, small_batches
 from tracemill.llm.gru import HIDDEN, Adam, Network, summed
 
 LENGTH = 32
-APART, CONTEXT = 24, 16
+APART, CONTEXT = 24, 48
 DOUBT = 0.2
-STEPS = 200
+STEPS = 400
+MOST_EPOCHS = 20  # times as many as asked for, where a small sample has few steps in one
 WORDS, TRIGRAMS = 4096, 4096
 MOST_WORDS = 300_000
 
@@ -88,14 +90,14 @@ def _windows(text: np.ndarray, start: np.ndarray, counts: np.ndarray, at: np.nda
 
 
 class Scorer:
-    """A trained network with the word table behind its third input; keeps the gates of at most MOST_WORDS words."""
+    """A trained network; keeps the gates of at most MOST_WORDS words."""
 
-    def __init__(self, network: Network | None, odds: dict[str, float]):
-        self.network, self.odds = network, odds
+    def __init__(self, network: Network | None):
+        self.network = network
         self.clear()
 
     def __getstate__(self):
-        return {"network": self.network, "odds": self.odds}
+        return {"network": self.network}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -111,8 +113,7 @@ class Scorer:
             self.gates = {way: np.concatenate([x, np.zeros((max(len(words), len(x)), 3 * HIDDEN), np.float32)]) for way, x in self.gates.items()}
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            odds = np.fromiter((self.odds.get(w, 0.0) for w in part), np.float32, len(part))
-            for way, x in self.network.projected(self.network.inputs(*_numbers(part), odds)).items():
+            for way, x in self.network.projected(self.network.inputs(*_numbers(part))).items():
                 self.gates[way][have + i : have + i + len(part)] = x
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -157,6 +158,20 @@ def _log_odds(t, n, toxic: int, clean: int):
     return np.tanh((np.log((t + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1))) / 3) * (t + n) / (t + n + 2 + 0.05 * toxic)
 
 
+def _among_others(split: list[list[str]], y: np.ndarray, rng: np.random.Generator) -> tuple[list[list[str]], np.ndarray]:
+    """Adds each short text once more with words of clean ones around it, as a passage stands in a text; labels stay."""
+    clean = np.flatnonzero((y == 0) & np.array([len(s) > 0 for s in split]))
+    short = [n for n, s in enumerate(split) if 0 < len(s) < LENGTH + CONTEXT]
+    if not len(clean):
+        return split, y
+
+    def some() -> list[str]:
+        words = split[rng.choice(clean)]
+        return (words * (1 + CONTEXT // len(words)))[:CONTEXT]
+
+    return [*split, *(some() + split[n] + some() for n in short)], np.concatenate([y, y[short]]) if short else y
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 1000, epochs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """A scorer from a bounded sample of labelled documents outside the held-out fold."""
     rows = labelled_sample(docs, labels, "toxic", sample, id_col, text_col).collect()
@@ -171,24 +186,20 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 10) -> Scorer:
     split = [[plain(w) for w in t.encode().split()] for t in texts]
     toxic, clean = int((y == 1).sum()), int((y == 0).sum())
     if not toxic or not clean:
-        return Scorer(None, {})
+        return Scorer(None)
     seen = {1: Counter(), 0: Counter()}
     for s, label in zip(split, y, strict=True):
         seen[int(label)].update(set(s))
-    words = [w for w in sorted(seen[0].keys() | seen[1].keys()) if seen[0][w] + seen[1][w] >= 3]
-    t, n = (np.array([seen[k][w] for w in words], float) for k in (1, 0))
-    scorer = Scorer(Network(WORDS, TRIGRAMS), dict(zip(words, _log_odds(t, n, toxic, clean).astype(float), strict=True)))
-
-    # rows are (word, label): a training document sees a word's number without itself
-    names: dict[tuple[str, int], int] = {}
+    rng = np.random.default_rng(3)
+    split, y = _among_others(split, y, rng)
+    scorer = Scorer(Network(WORDS, TRIGRAMS))
+    names: dict[str, int] = {}
     counts = np.array([len(s) for s in split], np.int64)
-    at = np.fromiter((names.setdefault((w, int(label)), len(names)) for s, label in zip(split, y, strict=True) for w in s), np.int64, counts.sum())
+    at = np.fromiter((names.setdefault(w, len(names)) for s in split for w in s), np.int64, counts.sum())
     keys = list(names)
-    t = np.array([seen[1][w] - label for w, label in keys], float)
-    n = np.array([seen[0][w] - (1 - label) for w, label in keys], float)
-    odds = np.where(t + n >= 2, _log_odds(t, n, toxic, clean), 0).astype(np.float32)
-    numbers = _numbers([w for w, _ in keys])
-    rng = np.random.default_rng(3)
+    t, n = (np.array([seen[k][w] for w in keys], float) for k in (1, 0))
+    odds = np.where(t + n >= 3, _log_odds(t, n, toxic, clean), 0).astype(np.float32)
+    numbers = _numbers(keys)
     net = scorer.network
     adam = Adam(net.p, 0.01)
     text, start = spread(counts, APART)
@@ -196,7 +207,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 10) -> Scorer:
     label = y[text].astype(np.float32)
     top = np.where(pool_all, odds[at_all], -1).max(1)
     done = 0
-    for epoch in range(3 * epochs):
+    for epoch in range(MOST_EPOCHS * epochs):
         if epoch >= epochs and done >= STEPS:
             break
         adam.rate = 0.01 / (1 + max(done / STEPS - 0.3, 0) * 8)  # smaller steps to the end
@@ -216,15 +227,15 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 10) -> Scorer:
             rows, back = np.unique(at_all[own], return_inverse=True)
             ids, codes, count = _some(numbers, rows)
             drop = rng.random(len(rows)) < 0.5
-            x = net.inputs(np.where(drop, 0, ids), codes, count, odds[rows])
+            x = net.inputs(np.where(drop, 0, ids), codes, count)
             weight = np.where(label[own] == 1, min(balance, 4.0), 1.0).astype(np.float32)
             slopes, dx = net.slopes(x, back.reshape(at_all[own].shape), real_all[own], label[own], weight, pool_all[own])
             wide = net.p["words"].shape[1]
             dw = summed(np.where(drop, 0, ids), dx[:, :wide], WORDS)
-            dc = summed(codes, np.repeat(dx[:, wide:-1] / count[:, None], count, axis=0), TRIGRAMS)
+            dc = summed(codes, np.repeat(dx[:, wide:] / count[:, None], count, axis=0), TRIGRAMS)
             done += 1
             adam.move(slopes | {"words": dw, "chars": dc}, 1e-4)
-        parts = [net.projected(net.inputs(*_some(numbers, np.arange(i, min(i + 20_000, len(keys)))), odds[i : i + 20_000])) for i in range(0, len(keys), 20_000)]
+        parts = [net.projected(net.inputs(*_some(numbers, np.arange(i, min(i + 20_000, len(keys)))))) for i in range(0, len(keys), 20_000)]
         gates = {way: np.concatenate([p[way] for p in parts]) for way in "fb"}
         text, start = spread(counts, APART, int(rng.integers(APART)))
         at_all, real_all, pool_all = _windows(text, start, counts, at)
@@ -246,7 +257,7 @@ def _score(shared):
 
 
 def score(docs: DataFrame, scorer: Scorer, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, score, predicted. No shuffle; the network (under 2 MB) and its word table are broadcast."""
+    """Per row: id, held_out, score, predicted. No shuffle; the network (under 2 MB) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
