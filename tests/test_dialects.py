@@ -30,7 +30,7 @@ def test_rollout(spark, tmp_path):
         item("function_call_output", call_id="3", output="Process exited with code 0\nWall time: 0.1"),
         "junk",
     ]
-    assert read(spark, tmp_path, rows, "rollout") == [("prompt", "fix it", None, None, None, None, None), ("tool_call", None, "run", "make test", None, "failed", 2), ("prompt", "again", None, None, None, None, None), ("tool_call", None, "run", "ls", None, "succeeded", None)]
+    assert read(spark, tmp_path, rows, "rollout") == [("prompt", "fix it", None, None, None, None, None), ("tool_call", None, "run", "make test", None, "failed", 2), ("prompt", "again", None, None, None, None, None), ("tool_call", None, "search", "ls", None, "succeeded", None)]
 
 
 def test_replay(spark, tmp_path):

@@ -139,6 +139,52 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def headline(prompt: Column, skipped: tuple[str, ...], pasted: str | None) -> Column:
+    """The first line of a trimmed prompt that stands outside wrappers (tags named in skipped and pasted), else what was pasted first; empty if there is neither."""
+    tags = [t.rstrip(">") for t in (*skipped, *([pasted] if pasted else [])) if t.startswith("<")]
+    if not tags:
+        return trimmed(F.regexp_extract(prompt, r"\A\s*([^\n]*)", 1))
+    quoted = "|".join(rf"\Q{t[1:]}\E" for t in tags)
+    rest = r"[^\n>]*(?:>|(?=\n)|\z)"
+    wrapper = rf"<({quoted}){rest}[\s\S]*?(?:</\1{rest}|\z)"
+    line = trimmed(F.regexp_extract(prompt, rf"\A(?:\s*{wrapper})*+\s*([^\n]*)", 2))
+    if not pasted:
+        return line
+    inside = F.regexp_extract_all(prompt, F.lit(rf"\Q{pasted}\E[^\n>]*(?:>|(?=\n))\s*([^\n]*?)\s*(?:</\Q{pasted[1:]}\E|\n|\z)"), F.lit(1))
+    return F.when(line != "", line).otherwise(F.coalesce(F.try_element_at(F.filter(F.transform(inside, trimmed), lambda x: x != ""), F.lit(1)), F.lit("")))
+
+
+def truncated_at(text: Column, chars: int) -> Column:
+    """The first characters of a text; a redaction mark that would be cut goes whole."""
+
+    def cut(x: Column) -> Column:
+        start = F.length(x["near"]) - F.instr(F.reverse(x["near"]), fixed.REDACTED[::-1]) - len(fixed.REDACTED) + 2
+        close = F.position(F.lit("]"), x["text"], start)
+        straddles = F.contains(x["near"], F.lit(fixed.REDACTED)) & (start <= chars) & ((close == 0) | (close > chars))
+        return F.substr(x["text"], F.lit(1), F.when(straddles, start - 1).otherwise(chars))
+
+    return F.when(F.length(text) > chars, let(F.struct(text.alias("text"), F.substr(text, F.lit(1), F.lit(chars + len(fixed.REDACTED) - 1)).alias("near")), cut)).otherwise(text)
+
+
+def summary(prompt: Column, dialect: str) -> Column:
+    """What a prompt is remembered by: its headline, redacted, SUMMARY_CHARS characters at most; null for what isn't said by a user."""
+    skipped, pasted = fixed.PROMPTS[dialect]
+
+    def of(text: Column) -> Column:
+        own = F.lit(True)
+        for prefix in skipped:
+            own = own & ~F.startswith(text, F.lit(prefix))
+        return F.when(own, headline(text, skipped, pasted))
+
+    def short(line: Column) -> Column:
+        most = fixed.SUMMARY_SOURCE_BYTES
+        cut = F.regexp_replace(F.decode(F.substring(F.encode(line, "utf-8"), 1, most), "utf-8"), r"\S+\z", "")
+        return F.when(F.octet_length(line) > most, cut).otherwise(line)
+
+    source = let(let(trimmed(prompt), of), short)
+    return let(F.regexp_replace(truncated_at(redact(source), fixed.SUMMARY_CHARS), r"\s+\z", ""), lambda x: F.when(x != "", x))
+
+
 def normalized_error(line: Column) -> Column:
     """An error line without what changes from run to run, 120 characters at most."""
     out = F.lower(line)

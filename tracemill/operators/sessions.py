@@ -14,16 +14,17 @@ def numbered(events: DataFrame, session: str, *order: str) -> DataFrame:
     return events.withColumn("seq", F.row_number().over(Window.partitionBy(session).orderBy(*order)).cast("bigint"))
 
 
-def split_tasks(prompts: DataFrame, session: str, seq: str, prompt: str) -> DataFrame:
+def split_tasks(prompts: DataFrame, session: str, seq: str, prompt: str, before: bool = False) -> DataFrame:
     """Adds task: the number of openers so far. The first prompt that isn't a bare follow-up opens; later ones that aren't
-    follow-ups. `prompt` is null for events that are no prompts; events before the first task are dropped.
+    follow-ups. `prompt` is null for events that are no prompts; events before the first task are dropped, or are task 0 if `before`.
     """
     own = Window.partitionBy(session)
     so_far = own.orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     said = F.col(prompt).isNotNull()
     first = F.min(F.when(said & ~text.bare_follow_up(F.col(prompt)), F.col(seq))).over(own)
     opens = said & ((F.col(seq) == F.col("__first")) | (F.col(seq) > F.col("__first")) & ~text.follow_up(F.col(prompt)))
-    return prompts.withColumn("__first", first).withColumn("task", F.sum(F.coalesce(opens, F.lit(False)).cast("int")).over(so_far)).drop("__first").where("task > 0")
+    rows = prompts.withColumn("__first", first).withColumn("task", F.coalesce(F.sum(F.coalesce(opens, F.lit(False)).cast("int")).over(so_far), F.lit(0))).drop("__first")
+    return rows if before else rows.where("task > 0")
 
 
 def closed_tasks(tasks: DataFrame, session: str, ended: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators import sessions
@@ -22,6 +22,21 @@ EVENTS = """ev AS (SELECT user_id AS session, ts AS moment, event_id, event_type
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)"""
 
 
+def json_of(**fields) -> Column:
+    """An object as JSON text; Column values are texts or numbers, dicts and lists nest."""
+
+    def of(x) -> Column:
+        if isinstance(x, Column):
+            return x
+        if isinstance(x, dict):
+            return F.struct(*(of(v).alias(k) for k, v in x.items()))
+        if isinstance(x, list):
+            return F.array(*map(of, x))
+        return F.lit(x)
+
+    return F.to_json(F.struct(*(of(v).alias(k) for k, v in fields.items())))
+
+
 def registrar():
     """A decorator @query(sql) and the two tables it fills."""
     queries, oracle = {}, {}
