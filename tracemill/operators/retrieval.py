@@ -67,21 +67,34 @@ def cosine(quantized: Column, vector: Column) -> Column:
     return F.round(F.aggregate(F.zip_with(quantized["q"], vector, lambda a, b: a * b.cast("double")), F.lit(0.0), lambda a, b: a + b) * quantized["scale"], 6)
 
 
+def encoded(vectors: DataFrame, dims: int) -> DataFrame:
+    """(vec_id, group, code, z): sign codes and quantized vectors of (vec_id, group, embedding)."""
+    return vectors.select("vec_id", "group", F.array(*sign_code(F.col("embedding"), dims)).alias("code"), quantized(F.col("embedding")).alias("z"))
+
+
+def ranked(found: DataFrame, top: int) -> DataFrame:
+    """The best of each query by cosine, with their rank."""
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= top)
+
+
+def nearest_encoded(index: DataFrame, queries: DataFrame, dims: int, rescore: int = fixed.RESCORE, top: int = fixed.TOP_STAGE, parts: int = 32) -> DataFrame:
+    """vector_search over an index that is encoded already."""
+    i = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    q = queries.withColumn("qcode", F.array(*sign_code(F.col("embedding"), dims))).withColumnRenamed("embedding", "x").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    distance = F.aggregate(F.zip_with("code", "qcode", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    near = i.join(q, ["group", "part"]).withColumn("distance", distance)
+    for own in (["query_id", "part"], ["query_id"]):
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy(*own).orderBy("distance", "vec_id"))).where(F.col("n") <= rescore)
+    return ranked(near.select("query_id", "vec_id", "distance", cosine(F.col("z"), F.col("x")).alias("cosine")), top)
+
+
 def vector_search(index: DataFrame, queries: DataFrame, dims: int, rescore: int = fixed.RESCORE, top: int = fixed.TOP_STAGE, parts: int = 32) -> DataFrame:
     """(query_id, vec_id, cosine, rank): sign codes choose `rescore` vectors of the query's group, quantized cosines rank them.
 
     index: vec_id, group, embedding; queries: query_id, group, embedding. Groups are compared within themselves. A group's
     vectors are dealt to `parts` parts, which choose on their own before the choices meet, so a large group is no single task.
     """
-    codes = lambda df, name: df.withColumn(name, F.array(*sign_code(F.col("embedding"), dims)))
-    i = codes(index, "code").withColumn("z", quantized(F.col("embedding"))).drop("embedding").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    q = codes(queries, "qcode").withColumnRenamed("embedding", "x").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    distance = F.aggregate(F.zip_with("code", "qcode", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    near = i.join(q, ["group", "part"]).withColumn("distance", distance)
-    for own in (["query_id", "part"], ["query_id"]):
-        near = near.withColumn("n", F.row_number().over(Window.partitionBy(*own).orderBy("distance", "vec_id"))).where(F.col("n") <= rescore)
-    out = near.select("query_id", "vec_id", "distance", cosine(F.col("z"), F.col("x")).alias("cosine"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= top)
+    return nearest_encoded(encoded(index, dims), queries, dims, rescore, top, parts)
 
 
 def looked_up(pairs: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:

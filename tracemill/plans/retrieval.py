@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed, text
-from tracemill.operators import retrieval
+from tracemill.operators import retrieval, vector_index
 from tracemill.plans.common import registrar, table
 from tracemill.plans.texts import TERMS
-from tracemill.tables import durable
+from tracemill.tables import durable, scratch_dir
 
 query, QUERIES, ORACLE = registrar()
 DIMS = 64
@@ -83,6 +85,16 @@ def q64_cosine_rescore(spark, d):
     return _vectors(spark, d).select("query_id", "vec_id", "cosine")
 
 
+@query("WITH " + _VECTORS + " SELECT query_id, vec_id, cosine FROM vec")
+def q125_vector_index(spark, d):
+    """As q64, from an index kept as a table: first built with some vectors missing, others of another group or turned round, then refreshed."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("group"), "embedding")
+    index = vector_index.VectorIndex(spark, f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}", DIMS)
+    index.refresh(e.where("vec_id % 7 <> 0").withColumn("group", F.when(F.col("vec_id") % 11 == 0, -1).otherwise(F.col("group"))).withColumn("embedding", F.when(F.col("vec_id") % 10 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))))
+    index.refresh(e)
+    return index.search(e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "group", "embedding")).select("query_id", "vec_id", "cosine")
+
+
 # Prompts have no vectors of their own in these tables: an item's is the embedding with its number; so is a document's.
 _SEMANTIC = f"""e AS (SELECT vec_id, label, embedding, list_transform(embedding, lambda x: x >= 0) AS code, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127 AS scale FROM embeddings),
   near AS (SELECT a.vec_id AS query_id, b.vec_id, len(list_filter(list_zip(a.code, b.code), lambda z: z[1] <> z[2])) AS distance,
