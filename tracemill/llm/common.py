@@ -8,6 +8,7 @@ word, and one pass over the words gives the hash of every window of any length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from tracemill.tables import CLEANUP, durable, scratch_dir
 
 __all__ = ["CLEANUP", "Words", "durable", "fold", "free_name", "keyed", "labelled_sample", "labels_once", "mixed", "numbered", "powers", "scratch_dir", "slices", "sliding", "small_batches", "text_bytes"]
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 _SEPARATOR = np.zeros(256, bool)
@@ -106,6 +108,8 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, end
         start = end
     pa.default_memory_pool().release_unused()
+    if _TRIM:  # what numpy has freed, too, so that workers which stay for the next stage don't keep it
+        _TRIM(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
