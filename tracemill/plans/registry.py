@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tracemill.plans import analytics, cases, logs, procedures, retrieval, store, texts
+from tracemill.plans import analytics, cases, live, logs, procedures, retrieval, store, texts, workspaces
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for module in (store, analytics, texts, retrieval, cases, logs, procedures):
+for module in (store, analytics, texts, retrieval, cases, logs, procedures, workspaces, live):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
 FLAGSHIP = "q65_rrf_fusion"
