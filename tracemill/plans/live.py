@@ -1,4 +1,4 @@
-"""The live path as queries: the queue of ingests is drained from a stream over the events file."""
+"""The live path as queries: documents stand for files of logs, and the queue of ingests is drained from a stream over the events file."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tracemill.plans.common import registrar, table
+from tracemill.plans.common import json_of, registrar, table
+from tracemill.sources import files
 from tracemill.streaming import drain
 from tracemill.tables import scratch_dir
 
@@ -41,3 +42,24 @@ def q125_idle_asked(spark, d):
     rows = events.groupBy(F.col("event_type").alias("harness"), F.col("user_id").alias("session")).agg(F.max("ts").alias("updated_at"), changed.alias("changed_at"))
     now = events.agg(F.max("ts")).first()[0]
     return drain.idle_asked(rows, now).select("harness", "session", F.unix_micros("updated_at").alias("updated"))
+
+
+# dialect, the forms of path that are its logs
+FORMS = ("p{s}/{d}.jsonl", "p{s}/chats/session-{d}.jsonl", "p{s}/chats/session-{d}.json", "{d}.jsonl", "p{s}/{d}/events.jsonl", "s{d}/events.jsonl", "2024/01/rollout-{d}.jsonl", "p{s}/.jsonl")
+LOGS = [("session_log", 0), ("session_log", 5), ("rollout", 6), ("typed_events", 5), ("headed_messages", 0), ("headed_messages", 3), ("headed_messages", 5), ("replay", 1), ("replay", 2), ("chain", 1)]
+_FORMS = ", ".join(f"({n}, '{f}')" for n, f in enumerate(FORMS))
+
+
+@query(f"""WITH p AS (SELECT doc_id, n, replace(replace(form, '{{s}}', source), '{{d}}', doc_id::VARCHAR) AS path FROM documents CROSS JOIN (VALUES {_FORMS}) f(n, form) WHERE source IS NOT NULL AND NOT (n = 1 AND doc_id % 2 = 1))
+  SELECT dialect, path FROM p JOIN (VALUES {", ".join(f"('{d}', {n})" for d, n in LOGS)}) l(dialect, n) USING (n)
+  WHERE NOT (dialect = 'rollout' AND doc_id % 5 = 0) AND NOT (dialect = 'headed_messages' AND doc_id % 7 = 0 AND n = 0) AND NOT (dialect = 'replay' AND n = 2 AND doc_id % 2 = 0)""")
+def q126_session_files(spark, d):
+    number = F.col("doc_id").cast("string")
+    docs = table(spark, d, "documents").where("source IS NOT NULL").select("doc_id", "source", F.posexplode(F.array(*map(F.lit, FORMS))).alias("n", "form")).where("NOT (n = 1 AND doc_id % 2 = 1)")
+    paths = docs.select("doc_id", "n", "source", F.replace(F.replace("form", F.lit("{s}"), F.col("source")), F.lit("{d}"), number).alias("path"))
+    listed = paths.select(F.explode(F.array(*map(F.lit, files.PLACES))).alias("dialect"), "path", F.col("path").alias("place"))
+    inner = F.when(F.col("doc_id") % 10 == 0, json_of(type="session_meta", payload={"thread_source": "subagent"})).when(F.col("doc_id") % 5 == 0, json_of(type="session_meta", payload={"source": {"subagent": {"of": number}}}))
+    heads = paths.where("n = 6").select("path", F.coalesce(inner, json_of(type="session_meta", payload={"source": "cli"})).alias("first"))
+    tag = F.when(F.col("doc_id") % 7 == 0, json_of(tags=[{"metadata": {"callingSessionId": number}}])).otherwise(json_of(tags=[{"metadata": {"other": number}}]))
+    settings = paths.where("n = 0").select(F.regexp_replace("path", "jsonl$", "settings.json").alias("path"), tag.alias("text"))
+    return files.session_files(listed, heads, settings).select("dialect", "path")
