@@ -24,7 +24,7 @@ def _queue(rows):
 @query("""WITH q AS (SELECT event_type AS harness, CASE WHEN event_id % 11 <> 0 THEN '/logs/' || user_id END AS transcript, json_extract_string(props, '$.k')::INT % 10 = 0 AS ended FROM events)
   SELECT harness, transcript, bool_or(ended) AS ended, count(*) AS queued, NULL AS reason FROM q WHERE transcript IS NOT NULL AND harness IN ('click', 'view', 'purchase') GROUP BY 1, 2
   UNION ALL SELECT harness, transcript, ended, NULL, CASE WHEN transcript IS NULL THEN 'no transcript' ELSE 'unsupported harness' END FROM q WHERE transcript IS NULL OR harness NOT IN ('click', 'view', 'purchase')""")
-def q124_drained(spark, d):
+def q134_drained(spark, d):
     folder = f"{scratch_dir(spark)}/drain-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
@@ -36,7 +36,7 @@ def q124_drained(spark, d):
 
 @query("""WITH s AS (SELECT event_type AS harness, user_id AS session, max(ts) AS updated_at, CASE WHEN user_id % 9 <> 0 THEN max(ts) + INTERVAL 10 MINUTE END AS changed_at FROM events GROUP BY event_type, user_id),
   i AS (SELECT *, row_number() OVER (PARTITION BY harness ORDER BY updated_at, session) AS n FROM s WHERE changed_at IS NULL OR changed_at < (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE) SELECT harness, session, epoch_us(updated_at) AS updated FROM i WHERE n <= 4""")
-def q125_idle_asked(spark, d):
+def q135_idle_asked(spark, d):
     events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     changed = F.when(F.col("user_id") % 9 != 0, F.max("ts") + F.expr("INTERVAL 10 MINUTES"))
     rows = events.groupBy(F.col("event_type").alias("harness"), F.col("user_id").alias("session")).agg(F.max("ts").alias("updated_at"), changed.alias("changed_at"))
@@ -53,7 +53,7 @@ _FORMS = ", ".join(f"({n}, '{f}')" for n, f in enumerate(FORMS))
 @query(f"""WITH p AS (SELECT doc_id, n, replace(replace(form, '{{s}}', source), '{{d}}', doc_id::VARCHAR) AS path FROM documents CROSS JOIN (VALUES {_FORMS}) f(n, form) WHERE source IS NOT NULL AND NOT (n = 1 AND doc_id % 2 = 1))
   SELECT dialect, path FROM p JOIN (VALUES {", ".join(f"('{d}', {n})" for d, n in LOGS)}) l(dialect, n) USING (n)
   WHERE NOT (dialect = 'rollout' AND doc_id % 5 = 0) AND NOT (dialect = 'headed_messages' AND doc_id % 7 = 0 AND n = 0) AND NOT (dialect = 'replay' AND n = 2 AND doc_id % 2 = 0)""")
-def q126_session_files(spark, d):
+def q136_session_files(spark, d):
     number = F.col("doc_id").cast("string")
     docs = table(spark, d, "documents").where("source IS NOT NULL").select("doc_id", "source", F.posexplode(F.array(*map(F.lit, FORMS))).alias("n", "form")).where("NOT (n = 1 AND doc_id % 2 = 1)")
     paths = docs.select("doc_id", "n", "source", F.replace(F.replace("form", F.lit("{s}"), F.col("source")), F.lit("{d}"), number).alias("path"))

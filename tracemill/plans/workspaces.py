@@ -21,7 +21,7 @@ REMOTE = """rtrim(lower(split_part(split_part(url, '://', 2), '/', 1)) || '/' ||
 
 
 @query(f"""SELECT page_id, {REMOTE} AS remote, {_hashed('(' + REMOTE + ')')} AS hash FROM pages CROSS JOIN range(3) t(form)""")
-def q120_remotes(spark, d):
+def q130_remotes(spark, d):
     host, path = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)), F.regexp_replace(F.split_part("url", F.lit("?"), F.lit(1)), "^[a-z]+://[^/]*/", "")
     forms = F.array(F.concat(F.lit(" https://me:pw@"), F.upper(host), F.lit(":8443/"), path, F.lit(".git ")), F.concat(F.lit("git@"), host, F.lit(":"), path, F.lit(".git")), F.concat(F.lit("ssh://git@"), host, F.lit("/"), path, F.lit("/")))
     rows = table(spark, d, "pages").select("page_id", F.explode(forms).alias("said")).select("page_id", workspaces.normalized_remote(F.col("said")).alias("remote"))
@@ -36,7 +36,7 @@ _CWD = "'/' || array_to_string(string_split(split_part(split_part(url, '://', 2)
   m AS (SELECT '/' || parts[1] || CASE WHEN page_id % 3 = 0 THEN '' ELSE '/' || parts[2] END AS dir, CASE page_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS rank FROM p WHERE page_id % 2 = 0 UNION ALL SELECT '/', 3),
   f AS (SELECT cwd, dir, row_number() OVER (PARTITION BY cwd ORDER BY rank, far) AS n FROM a JOIN m USING (dir) WHERE rank IS NOT NULL AND (rank < 3 OR dir <> '/'))
   SELECT u.cwd, coalesce(f.dir, u.cwd) AS root FROM u LEFT JOIN f ON u.cwd = f.cwd AND n = 1""")
-def q121_project_roots(spark, d):
+def q131_project_roots(spark, d):
     cwd = F.concat(F.lit("/"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1)))
     pages = table(spark, d, "pages").select("page_id", cwd.alias("cwd")).withColumn("parts", F.split("cwd", "/"))
     number = F.col("page_id")
@@ -49,7 +49,7 @@ def q121_project_roots(spark, d):
 @query(f"""WITH s AS (SELECT source, count(*) AS docs, count(*) % 3 <> 0 AS has_head, count(*) % 2 = 0 AS shallow, min(md5(text)) FILTER (doc_id % 4 = 0) AS commit,
     coalesce(min_by('h' || doc_id, doc_id) FILTER (doc_id % 7 = 0), min_by('h' || doc_id, doc_id) FILTER (doc_id % 5 = 0)) AS host FROM documents WHERE source IS NOT NULL GROUP BY 1)
   SELECT '/w/' || source AS root, CASE WHEN has_head AND shallow AND host IS NOT NULL THEN 'remote-' || {_hashed("(host || '/r')")} WHEN has_head AND NOT shallow AND commit IS NOT NULL THEN commit ELSE 'path-' || {_hashed("('/w/' || source)")} END AS repo FROM s""")
-def q122_repository_ids(spark, d):
+def q132_repository_ids(spark, d):
     docs = table(spark, d, "documents").where("source IS NOT NULL").select("doc_id", F.concat(F.lit("/w/"), "source").alias("root"), "text")
     roots = docs.groupBy("root").agg((F.count("*") % 3 != 0).alias("has_head"), (F.count("*") % 2 == 0).alias("shallow"))
     commits = docs.where("doc_id % 4 = 0").select("root", F.md5("text").alias("commit"))
@@ -61,7 +61,7 @@ def q122_repository_ids(spark, d):
 @query("""WITH e AS (SELECT event_id, 'r' || user_id % 5 AS root, event_type, CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL 30 HOUR ELSE ts END AS moment FROM events),
   g AS (SELECT root, moment, event_id, md5(event_id::VARCHAR) AS commit FROM e WHERE event_type IN ('purchase', 'signup'))
   SELECT m.event_id, m.root, max_by(g.commit, g.event_id) AS head FROM e m LEFT JOIN g ON g.root = m.root AND g.moment <= m.moment GROUP BY ALL""")
-def q123_commit_at(spark, d):
+def q133_commit_at(spark, d):
     late = F.when(F.col("event_id") % 5 == 0, F.col("ts") + F.expr("INTERVAL 30 HOUR")).otherwise(F.col("ts"))
     rows = table(spark, d, "events").select("event_id", F.concat(F.lit("r"), (F.col("user_id") % 5).cast("string")).alias("root"), "event_type", late.alias("at"))
     reflog = rows.where(F.col("event_type").isin("purchase", "signup")).select("root", "at", (-F.col("event_id")).alias("place"), F.md5(F.col("event_id").cast("string")).alias("commit"))

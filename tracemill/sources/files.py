@@ -58,8 +58,10 @@ def session_files(files: DataFrame, heads: DataFrame, settings: DataFrame) -> Da
     heads: path, first (a file's first line); settings: path, text of .settings.json files. Left out are logs of subagents, by the first line or by the settings beside them,
     and a replay's older .json where its .jsonl is there. A file without a row in heads or settings counts. Rows of an unknown dialect or null path are no logs.
     """
-    pattern = F.coalesce(*(F.when(F.col("dialect") == d, F.lit(f"^(?:{p})$")) for d, p in PLACES.items()))
-    logs = files.where(F.col("path").isNotNull() & F.regexp_like("place", pattern))
+    is_log = F.lit(False)
+    for dialect, place in PLACES.items():
+        is_log = is_log | ((F.col("dialect") == dialect) & F.col("place").rlike(rf"\A(?:{place})\z"))
+    logs = files.where(F.col("path").isNotNull() & is_log)
     inner = heads.where(is_inner_rollout(F.col("first"))).select(F.lit("rollout").alias("dialect"), "path")
     called = settings.where(F.col("path").endswith(".settings.json") & is_called(F.col("text")))
     called = called.select(F.lit("headed_messages").alias("dialect"), F.regexp_replace("path", r"\.settings\.json$", ".jsonl").alias("path"))
