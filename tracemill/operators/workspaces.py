@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import fixed, text
 
+SALTS = 32
+
 
 def normalized_remote(url: Column) -> Column:
     """host/path of a remote in any spelling: without scheme, user, port, outer slashes and .git; the host in lower case. Null for null."""
@@ -47,18 +49,20 @@ def project_roots(directories: DataFrame, files: DataFrame, home: str | None = N
     """(cwd, root): the nearest directory at or above cwd with .git, else with another version control, else with a manifest (but not /), else cwd itself.
 
     directories: cwd, any number of times; files: dir, name. Below home, directories at or above home don't count. One equi-join on
-    the directory; only marker files are joined, and each distinct cwd gives as many rows as its path has parts.
+    the directory; only marker files are joined, and each distinct cwd gives as many rows as its path has parts. All of them share
+    the upper directories, so both sides are salted: markers, one row a directory, are repeated SALTS times.
     """
     kinds = {1: (".git",), 2: fixed.VERSION_CONTROL, 3: fixed.MANIFESTS}
     rank = F.coalesce(*(F.when(F.col("name").isin(*names), F.lit(n)) for n, names in kinds.items()))
     markers = files.select(F.col("dir").alias("__dir"), rank.alias("__rank")).where("__rank IS NOT NULL").groupBy("__dir").agg(F.collect_set("__rank").alias("__ranks"))
+    markers = markers.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cwds = directories.select("cwd").where("cwd IS NOT NULL").distinct()
-    rows = cwds.select("cwd", F.posexplode(_above(F.col("cwd"))).alias("__far", "__dir"))
+    rows = cwds.select("cwd", F.pmod(F.xxhash64("cwd"), F.lit(SALTS)).cast("int").alias("__salt"), F.posexplode(_above(F.col("cwd"))).alias("__far", "__dir"))
     if home is not None:
         home = home.rstrip("/")
         below = F.col("cwd").startswith(home + "/")
         rows = rows.where(~below | F.col("__dir").startswith(home + "/"))
-    found = rows.join(markers, "__dir").select("cwd", "__dir", "__far", F.explode("__ranks").alias("__rank")).where("__rank < 3 OR __dir <> '/'")
+    found = rows.join(markers, ["__dir", "__salt"]).select("cwd", "__dir", "__far", F.explode("__ranks").alias("__rank")).where("__rank < 3 OR __dir <> '/'")
     best = found.groupBy("cwd").agg(F.min_by("__dir", F.struct("__rank", "__far")).alias("root"))
     return cwds.join(best, "cwd", "left").select("cwd", F.coalesce("root", "cwd").alias("root"))
 
