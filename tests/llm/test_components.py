@@ -39,6 +39,20 @@ def test_no_edges(spark):
     assert not components.components(spark.createDataFrame([(1, 1)], "a long, b long")).collect()
 
 
+def test_plans_stay_small(spark, monkeypatch):
+    scans, write = [], components.durable
+
+    def counted(df, name):
+        scans.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return write(df, name)
+
+    monkeypatch.setattr(components, "durable", counted)
+    edges = [(n, n + 1) for n in range(0, 60)]
+    found = components.components(spark.createDataFrame(edges, "a long, b long").repartition(5))
+    assert found.count() == 60 and len(scans) > 1
+    assert max(scans) <= 6  # a round in one plan had a hundred
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
     class Conf:
         def __init__(self, found):

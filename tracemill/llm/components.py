@@ -52,9 +52,9 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """(a, b, m): edges with the smallest b of their a."""
+    """(a, b, m): edges with the smallest b of their a. The smallest ones are a table, as the plan names them more than once."""
     hot = max(LEAST_HOT, 2 * total // MOST_HOT)
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+    least = durable(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")), "least")
     many = least.where(F.col("c") >= hot).select("a", F.col("m").alias("__m"))
     marked = edges.join(F.broadcast(many), "a", "left")
     rest = marked.where("__m IS NULL").drop("__m").join(least.where(F.col("c") < hot).select("a", "m"), "a")
@@ -62,20 +62,21 @@ def _with_least(edges: DataFrame, total: int) -> DataFrame:
 
 
 def _large(edges: DataFrame, total: int) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     return _with_least(both, total).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame, total: int) -> DataFrame:
     moved = _with_least(edges, total)
-    return moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(moved.where("b = m").select("a", "b")).distinct()
+    return moved.select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node of an edge table (a, b) but the smallest of its component, with that smallest node.
 
-    Each round's edges are a table in the shared folder; the rounds needed grow with the logarithm of the nodes. Self-loops
-    and repeated edges don't matter; a table without edges gives none.
+    Each step's edges are a table in the shared folder, so that plans stay small on the driver: one plan for a whole round would
+    name its edges a hundred times. The rounds needed grow with the logarithm of the nodes. Self-loops and repeated edges
+    don't matter; a table without edges gives none.
     """
     now = durable(edges.where("a <> b").mapInArrow(_forests, "a long, b long").distinct(), "forest")
     before = None
@@ -84,4 +85,4 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return now
         before = state
-        now = durable(_small(_large(now, state[0]), state[0]), "star")
+        now = durable(_small(durable(_large(now, state[0]), "large"), state[0]), "star")
