@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tracemill.llm import token_files as tf
@@ -72,3 +73,40 @@ def test_starts_over_many_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     assert len(list((tmp_path / "u").glob("part-*.orc"))) > 10 and got(str(tmp_path / "u")) == want
+
+
+def encoded(texts, size=1000):
+    """What tasks make of texts in batches of this size, and their encoder."""
+    tf._encoder.cache_clear()
+    batches = pa.table({"__id": pa.array(range(len(texts)), pa.int64()), "__text": pa.array(texts, pa.string())}).to_batches(max_chunksize=size)
+    ids = [r for b in tf._encode(tf.TOKENIZER, 1, None)(iter(batches)) for r in b.column("ids").to_pylist()]
+    return ids, tf._encoder(tf.tokenizer_path())
+
+
+def whole(texts):
+    tok = Tokenizer.from_file(tf.tokenizer_path())
+    return [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_words_are_encoded_once_whatever_marks_follow():
+    words = [a + b + "ing" for a in ("th", "ch", "é", "or", "st") for b in "aeiouyäöüß"]
+    texts = [" ".join(w + m for w in words) for m in ("", ",", ".", "$$$", "!!", ".%%%", "'", "-")]
+    ids, encoder = encoded(texts)
+    assert ids == whole(texts)
+    assert len(encoder.known) <= len(words) + 8
+
+
+def test_full_table_keeps_frequent_words(monkeypatch):
+    monkeypatch.setattr(tf, "MOST_WORDS", 100)
+    rare = lambda c: " ".join(c + a + b for a in "abcdefghijklm" for b in "nopqrstuvwxyz")
+    texts = ["often, " * 50 + rare("a"), rare("b"), "often seen", rare("c"), None, rare("b") + " often."]
+    ids, encoder = encoded(texts[:2], 1)
+    assert b"often" in encoder.known and len(encoder.known) < 300
+    assert encoded(texts, 1)[0] == whole(texts)
+
+
+def test_pieces_join_to_whole_texts():
+    rng = np.random.default_rng(4)
+    parts = ["a", "ab", "'s", "'", "s", "E", "é", "é", "́", "İ", "Σ", "ﬁ", "क़", "–", "½", "5", "²", "日本", "🙂", ".", ",", "$$$", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "̸", "<", " ", "\n", "\x1c", "\x85", " ", "　", "‍", "_"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 12))) for _ in range(6000)]
+    assert encoded(texts)[0] == whole(texts)

@@ -8,8 +8,9 @@ their statistics and Bloom filters. Each row has its place in its file (`pos`) a
 it in its file (`before`), so a document's start among all ids needs one sum a file, read from two
 narrow columns.
 
-White space ends every pre-token of the default tokenizer, so a text's ids are those of its
-words in a row, and each distinct word is encoded once in a task while a bounded table has it.
+White space ends every pre-token of the default tokenizer, and so does a mark behind a letter, so a
+text's ids are those of its words in a row, and a word's those of what stands before its last marks and of
+these. Each distinct one is encoded once in a task while a bounded table has it.
 Texts go through it whole, with none cut.
 
 Cases: a null or empty text has the end id alone; null ids come first; rows of one id stand
@@ -19,6 +20,7 @@ together in any order; an empty table gives empty files and results; further col
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import unicodedata
 import uuid
@@ -27,12 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import scratch_dir, slices, small_batches
 
 MOST_WORDS = 400_000
+TEXT_BYTES = 4 << 20
 MOST_FILES = 500_000
 TOKENIZER = "word_bpe_49k.json"
 
@@ -51,6 +55,7 @@ def _byte_alphabet() -> dict[int, int]:
 
 
 _ALPHABET = _byte_alphabet()
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def _plain(word: str) -> bool:
@@ -58,10 +63,26 @@ def _plain(word: str) -> bool:
     return word.isalpha() and word.islower() if word.isascii() else word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
 
 
+def _listed(words: pa.Array) -> list[bytes]:
+    """The words, none of which has a space, as Python's bytes; faster than to_pylist."""
+    if not len(words):
+        return []
+    row = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary()))
+    return pc.binary_join(row, b" ")[0].as_py().split(b" ")
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat with these starts and lengths in a row, and where each ends."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Encoder:
-    """Ids of whole texts; keeps the ids of at most MOST_WORDS distinct words.
+    """Ids of whole texts; keeps those of some MOST_WORDS distinct pieces, and the more frequent half when that is full.
 
-    Words of letters only, perhaps with a final comma or full stop, go to the tokenizer's merge model directly.
+    A word with marks at its end is two pieces, cut between a letter or digit and the first mark: no
+    pre-token goes across. Arrow splits a slice of texts and numbers its distinct words, so Python sees each
+    of them once. Pieces of lower-case letters only go to the tokenizer's merge model directly.
     """
 
     def __init__(self, path: str):
@@ -69,52 +90,81 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        found: list[list[int]] = [[]] * len(words)
-        rest, model = [], self.tokenizer.model
-        for n, word in enumerate(words):
-            text = word.decode()
-            tail = text[-1] if text[-1] in ",." else ""
-            core = text[:-1] if tail else text
-            if _plain(core):
-                ids = [t.id for t in model.tokenize(core if core.isascii() else word[: len(word) - len(tail)].decode("latin-1").translate(_ALPHABET))]
-                found[n] = ids + self.marks[tail] if tail else ids
-            else:
+        self.seen, self.cut = np.zeros(0, np.int64), np.zeros(0, bool)  # how often of late; whether marks behind it are a piece
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argpartition(-self.seen, MOST_WORDS // 2)[: MOST_WORDS // 2])
+        kept = np.zeros(len(self.seen), bool)
+        kept[keep] = True
+        self.known = {w: n for n, w in enumerate(itertools.compress(self.known, kept.tolist()))}
+        self.flat, ends = _gathered(self.flat, self.starts[keep], self.lengths[keep])
+        self.lengths, self.cut, self.seen = self.lengths[keep], self.cut[keep], np.zeros(len(keep), np.int64)
+        self.starts = ends - self.lengths
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        found: list[list[int]] = [[]] * len(pieces)
+        cut = np.ones(len(pieces), bool)
+        rest, model, normalizer = [], self.tokenizer.model, self.tokenizer.normalizer
+        for n, piece in enumerate(pieces):
+            text = piece.decode()
+            if _plain(text):
+                found[n] = [t.id for t in model.tokenize(text if text.isascii() else piece.decode("latin-1").translate(_ALPHABET))]
+            elif text:
                 rest.append(n)
-        for n, x in zip(rest, self.tokenizer.encode_batch_fast([words[n].decode() for n in rest], add_special_tokens=False), strict=True):
+                last = (text if text.isascii() else normalizer.normalize_str(text))[-1:]
+                cut[n] = last.isalpha() or last.isascii() and last.isdigit()
+        for n, x in zip(rest, self.tokenizer.encode_batch_fast([pieces[n].decode() for n in rest], add_special_tokens=False), strict=True):
             found[n] = x.ids
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))])
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum()))])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has."""
+        self.seen, self.cut = np.concatenate([self.seen, np.zeros(len(found), np.int64)]), np.concatenate([self.cut, cut])
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        numbers = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            self._learn(list(dict.fromkeys(pieces[n] for n in new.tolist())))
+            numbers[new] = [self.known[pieces[n]] for n in new.tolist()]
+        return numbers
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, each text's with end_id behind, and how many each text has."""
         if len(self.known) > MOST_WORDS:
-            self.clear()
-        words = [t.split() if b"<|" in t else t.lower().split() for t in texts]  # names of special tokens have a case
-        known, new = self.known, []
-        for text in words:
-            for w in text:
-                if w not in known:
-                    known[w] = len(known)
-                    new.append(w)
-        if new:
-            self._learn(new)
-        at = np.fromiter((known[w] for text in words for w in text), np.int64, sum(map(len, words)))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        of_words = np.concatenate([[0], ends])
-        edges = of_words[np.concatenate([[0], np.cumsum([len(t) for t in words])]).astype(np.int64)]
-        return ids, np.diff(edges)
+            self._forget()
+        named = pc.match_substring(texts, "<|")  # names of special tokens have a case
+        some = named.true_count > 0
+        lowered = pc.if_else(named, texts, pc.ascii_lower(texts)) if some else pc.ascii_lower(texts)
+        rows = pc.ascii_split_whitespace(lowered)
+        coded = rows.flatten().dictionary_encode()
+        words, at = _listed(coded.dictionary), coded.indices.to_numpy()
+        # each distinct word's pieces
+        cores = [w.rstrip(_MARKS) for w in words]
+        whole = [n for n, w in enumerate(words) if b"<|" in w] if some else []
+        for n in whole:
+            cores[n] = words[n]
+        first = self._numbers(cores)
+        marked = np.fromiter(map(len, words), np.int64, len(words)) > np.fromiter(map(len, cores), np.int64, len(words))
+        whole = np.flatnonzero(marked & ~self.cut[first])
+        for n in whole.tolist():
+            cores[n] = words[n]
+        first[whole] = self._numbers([words[n] for n in whole.tolist()])
+        pieces = np.stack([first, self._numbers([w[len(c) :] for w, c in zip(words, cores, strict=True)])], 1)
+        np.add.at(self.seen, pieces, np.bincount(at, minlength=len(words))[:, None])
+        flat, _ = _gathered(self.flat, self.starts[pieces].ravel(), self.lengths[pieces].ravel())
+        # the texts from their words' numbers, with one more number for the end
+        flat, lengths = np.append(flat, np.int32(end_id)), np.append(self.lengths[pieces].sum(1), 1)
+        last = rows.offsets.to_numpy()[1:].astype(np.int64) + np.arange(len(texts))
+        numbers = np.full(len(at) + len(texts), len(words))
+        inside = np.ones(len(numbers), bool)
+        inside[last] = False
+        numbers[inside] = at
+        ids, ends = _gathered(flat, (np.cumsum(lengths) - lengths)[numbers], lengths[numbers])
+        return ids, np.diff(ends[last], prepend=0)
 
 
 @functools.lru_cache(1)
@@ -129,12 +179,8 @@ def _encode(name: str, end_id: int, path: str | None):
         pos, before = 0, 0
         for batch in batches:
             column = batch.column("__text").cast(pa.string()).fill_null("")
-            for a, b in slices(column):
-                texts = column.slice(a, b - a).cast(pa.binary()).to_pylist()
-                ids, counts = encoder.encode(texts)
-                ends = np.cumsum(counts)
-                ids = np.insert(ids, ends, end_id).astype(np.int32)
-                counts = counts + 1
+            for a, b in slices(column, TEXT_BYTES):
+                ids, counts = encoder.encode(column.slice(a, b - a), end_id)
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
