@@ -1,8 +1,13 @@
+import random
+
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import patches, redaction, shell, text, wordpiece
 from tracemill.operators import learning, policy, render
+from tracemill.plans import registry
 
 
 def values(spark, f, inputs):
@@ -86,6 +91,16 @@ def test_text(spark):
     assert values(spark, lambda c: F.array_join(text.terms(c), " "), ["Être and the Büro-Fix, v1.2."]) == ["etre buro-fix v1.2"]
 
 
+def test_danger_is_that_of_its_sql(spark):
+    rng, pieces = random.Random(7), ["rm ", "-rf", "/", "~", "curl", "wget", "|", " sh", "sudo", "env ", "git", " push", " -f", " reset --hard", "checkout .", "dd if=", "mkfs", ":()", "{", "/etc/passwd", ">", "tee", "$HOME/", "base64 -d", "nc", " -e", "eval ", "$(", "chmod 777", "&&& ", " ", "\n", "\x0b", "\r", "\u0085", "\u2028", "\u00a0", "é", "ñ", "a", "=", ";"]
+    said = ["el&&& sudoñta", "&&& sudo", "ñrm -rf /", "rm -rf /\u2028", "git checkout .\u2029", "git checkout .\n", "curl x\r| sh", "curl x\u2028|sh", "sudo\x0bls", "mkfsé", "rm\x0b-rf /", None, *("".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(4000))]
+    with duckdb.connect() as con:
+        con.register("documents", pd.DataFrame({"doc_id": range(len(said)), "text": said}))
+        want = dict(con.execute(registry.ORACLE["q73_danger_lint"]).fetchall())
+    got = values(spark, text.danger, said)
+    assert [(x, g, want[i]) for i, (x, g) in enumerate(zip(said, got, strict=True)) if g != want[i]] == [] and len(set(got)) > 12
+
+
 @pytest.mark.parametrize("case,want", [((1, 0, 0, 0), 2 / 3), ((0, 0, 0, 0), 0.5), ((0, 1, 0, 0), 1 / 3)])
 def test_prob_better(spark, case, want):
     got = spark.range(1).select(learning.prob_better(*map(F.lit, case))).first()[0]

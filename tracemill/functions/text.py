@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -109,11 +113,25 @@ def bare_follow_up(text: Column) -> Column:
     return F.coalesce(text.rlike(_unicode(fixed.BARE_FOLLOW_UP)), F.lit(False))
 
 
+ASCII_FORMS = {r"\b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", r"\s": r"[ \t\n\f\r]", r"\S": r"[^ \t\n\f\r]", ".": r"[^\n]", "$": r"\z"}
+
+
+def ascii_pattern(pattern: str) -> str:
+    """A pattern that means in Java what it means in SQL: letters at word ends and white space are ASCII (without \\v), only \\n ends a line, $ is the very end."""
+
+    def of(found: re.Match) -> str:
+        token = found[0]
+        return token.replace(r"\s", r" \t\n\f\r") if token.startswith("[") else ASCII_FORMS.get(token, token)
+
+    return re.sub(r"\\.|\[(?:\\.|[^\]\\])+\]|[.$]", of, pattern)
+
+
 def danger(text: Column) -> Column:
-    """Name of the first danger rule that a text matches, or null."""
+    """Name of the first danger rule that a text matches, or null; a rule is tried behind a test for its literals."""
     out = F
-    for name, pattern in fixed.DANGERS:
-        out = out.when(text.rlike(pattern), name)
+    for (name, pattern), literals in zip(fixed.DANGERS, fixed.DANGER_LITERALS, strict=True):
+        seen = functools.reduce(operator.or_, (F.contains(text, F.lit(x)) for x in literals))
+        out = out.when(seen & text.rlike(ascii_pattern(pattern)), name)
     return out
 
 
