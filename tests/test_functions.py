@@ -1,3 +1,4 @@
+import math
 import random
 
 import duckdb
@@ -107,6 +108,19 @@ def test_prob_better(spark, case, want):
     assert abs(got - want) < 1e-4
 
 
+def test_large_counts_take_no_longer_than_their_sum(spark):
+    beta = lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+    better = lambda s, f, s2, f2: math.fsum(math.exp(beta(s2 + 1 + i, f + f2 + 2) - math.log(f + 1 + i) - beta(1 + i, f + 1) - beta(s2 + 1, f2 + 1)) for i in range(s + 1))
+    below = lambda s, f: math.fsum(math.exp(math.lgamma(s + f + 2) - math.lgamma(k + 1) - math.lgamma(s + f + 2 - k) + (s + f + 1) * math.log(0.5)) for k in range(s + 1, s + f + 2))
+    rng = random.Random(3)
+    cases = [(0, 0, 0, 0), (0, 40, 7, 0), (90000, 90100, 90200, 90000), (70000, 3, 2, 70000), (3, 2, 80000, 81000), (150000, 150500, 3, 2), *(tuple(rng.randint(0, 30) for _ in range(4)) for _ in range(40)), *(tuple(rng.randint(0, 4000) for _ in range(4)) for _ in range(40))]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate([*cases, (None, 1, 2, 3)])], "i int, s int, f int, hs int, hf int")
+    got = df.select("i", learning.prob_better(*map(F.col, ("s", "f", "hs", "hf"))), learning.prob_below(F.col("s"), F.col("f"), 0.5)).orderBy("i").collect()
+    assert [(c, p) for c, (_, p, _) in zip(cases, got, strict=False) if abs(p - better(*c)) > 1e-7] == []
+    assert [(c, p) for c, (_, _, p) in zip(cases, got, strict=False) if abs(p - below(*c[:2])) > 1e-7] == []
+    assert got[-1][1:] == (None, None)
+
+
 def test_policy(spark):
     rows = [("a", 1, "active", 0, 12, 5, 1), ("a", 2, "candidate", 0, 0, 5, 1), ("b", 1, "active", 1, 9, 0, 0), ("b", 2, "candidate", 20, 0, 0, 0), ("c", 1, "active", 5, 5, 0, 0)]
     df = spark.createDataFrame(rows, "id string, revision int, state string, s int, f int, hs int, hf int")

@@ -2,42 +2,77 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+BLOCK = 1 << 16  # terms of a sum that are held at a time
 
 
 def mean(s: Column, f: Column) -> Column:
     return (s + 1) / (s + f + 2)
 
 
-def _ln_factorials(most: Column) -> Column:
-    """ln 0!, ln 1!, ..., as an array."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1)).cast("int")), F.array(F.lit(0.0)), lambda a, i: F.concat(a, F.array(F.element_at(a, -1) + F.log(i.cast("double")))))
+def _sum_of_terms(first: float, steps: Callable[[np.ndarray], np.ndarray], n: int) -> float:
+    """The sum of n terms: the logarithm of the first, and those of the steps from each to the next by number. Block by block, so that memory is bounded."""
+    total, last = math.exp(first), first
+    for a in range(0, n - 1, BLOCK):
+        logs = last + np.cumsum(steps(np.arange(a, min(a + BLOCK, n - 1), dtype=float)))
+        total, last = total + float(np.exp(logs).sum()), float(logs[-1])
+    return total
 
 
-def prob_better(s: Column, f: Column, s2: Column, f2: Column) -> Column:
-    """P(X > Y) for X ~ Beta(s+1, f+1), Y ~ Beta(s2+1, f2+1): an exact finite sum."""
-    s, f, s2, f2 = (x.cast("int") for x in (s, f, s2, f2))
-    table = _ln_factorials(s + f + s2 + f2 + 4)
-    ln = lambda n: F.element_at(table, n.cast("int"))  # ln (n-1)!, that is ln gamma(n)
-    beta = lambda x, y: ln(x) + ln(y) - ln(x + y)
+def _sum_of_logs(a: float, b: float, n: int) -> float:
+    """ln of a/b * (a+1)/(b+1) * ..., n factors."""
+    total = 0.0
+    for start in range(0, n, BLOCK):
+        i = np.arange(start, min(start + BLOCK, n), dtype=float)
+        total += float(np.log((a + i) / (b + i)).sum())
+    return total
 
-    def one(s, f, s2, f2):
-        a, b, c, d = s + 1, f + 1, s2 + 1, f2 + 1
-        term = lambda i: F.exp(beta(c + i, b + d) - F.log((b + i).cast("double")) - beta(i + 1, b) - beta(c, d))
-        return F.aggregate(F.transform(F.sequence(F.lit(0), a - 1), term), F.lit(0.0), lambda x, y: x + y)
 
-    return F.when(s > s2, 1 - one(s2, f2, s, f)).otherwise(one(s, f, s2, f2))
+def _better(s: int, f: int, s2: int, f2: int) -> float:
+    if s > s2:
+        return 1 - _better(s2, f2, s, f)
+    a, b, c, d = s + 1, f + 1, s2 + 1, f2 + 1
+    # the terms are B(c+i, b+d) / ((b+i) B(1+i, b) B(c, d)); the first is a product of c or of b factors
+    first = _sum_of_logs(d, b + d, c) if c <= b else _sum_of_logs(d, c + d, b)
+    return _sum_of_terms(first, lambda i: np.log((c + i) * (b + i) / ((c + i + b + d) * (i + 1))), a)
 
 
-def prob_below(s: Column, f: Column, rate: float) -> Column:
-    """P(X < rate) for X ~ Beta(s+1, f+1), as a binomial tail."""
-    s, f = s.cast("int"), f.cast("int")
+def _below(s: int, f: int, rate: float) -> float:
     n = s + f + 1
-    table = _ln_factorials(n + 2)
-    ln = lambda k: F.element_at(table, (k + 1).cast("int"))
-    term = lambda k: F.exp(ln(n) - ln(k) - ln(n - k) + k * F.log(F.lit(rate)) + (n - k) * F.log(F.lit(1 - rate)))
-    return F.aggregate(F.transform(F.sequence(s + 1, n), term), F.lit(0.0), lambda x, y: x + y)
+    if not 0 < rate < 1:
+        return float(rate >= 1)
+    odds = (1 - rate) / rate
+    return _sum_of_terms(n * math.log(rate), lambda i: np.log((n - i) / (i + 1) * odds), n - s)
+
+
+def _by_row(of: Callable, *columns: pd.Series) -> pd.Series:
+    return pd.Series([None if any(x is None or x != x for x in row) else of(*row) for row in zip(*(c.tolist() for c in columns), strict=True)], dtype="float64")
+
+
+def _prob_better(s: pd.Series, f: pd.Series, s2: pd.Series, f2: pd.Series) -> pd.Series:
+    return _by_row(lambda *x: _better(*map(int, x)), s, f, s2, f2)
+
+
+def _prob_below(s: pd.Series, f: pd.Series, rate: pd.Series) -> pd.Series:
+    return _by_row(lambda s, f, rate: _below(int(s), int(f), rate), s, f, rate)
+
+
+def prob_better(s: Column, f: Column, s2: Column, f2: Column) -> Column:
+    """P(X > Y) for X ~ Beta(s+1, f+1), Y ~ Beta(s2+1, f2+1): an exact finite sum, in time linear in the counts; Arrow batches, numpy inside."""
+    return pandas_udf(_prob_better, "double")(*(x.cast("bigint") for x in (s, f, s2, f2)))
+
+
+def prob_below(s: Column, f: Column, rate: float) -> Column:
+    """P(X < rate) for X ~ Beta(s+1, f+1), as a binomial tail; as above."""
+    return pandas_udf(_prob_below, "double")(s.cast("bigint"), f.cast("bigint"), F.lit(float(rate)))
 
 
 def harmful(s: Column, f: Column, hs: Column, hf: Column) -> Column:
