@@ -164,6 +164,19 @@ def test_envelope(spark):
     assert values(spark, render.cleaned, ["a\u200bb\tc", "＜memory x", "< /Memory", " ok "]) == ["ab c", "[memory x", "[ /Memory", "ok"]
 
 
+def test_envelope_of_many_steps(spark):
+    names = ["id", "revision", "sessions", "successes", "failures", "state", "title", "steps", "avoid"]
+    rng = random.Random(4)
+    said = lambda most: rng.choice(["é", "x", "日"]) * rng.randint(1, most)
+    rows = [(f"p{i}", 1, 2, 1, 1, rng.choice(["stale", "active"]), said(1300), [said(60) for _ in range(rng.randint(0, 40))], [said(300) for _ in range(rng.randint(0, 3))]) for i in range(150)]
+    rows += [("long", 1, 2, 1, 1, "active", "T", [said(9) for _ in range(4000)], []), *((f"q{i}", 1, 2, 1, 1, "active", "T", ["s" * (1000 - i)] * 2, ["y"]) for i in range(300))]
+    df = spark.createDataFrame(rows, "id string, revision int, sessions int, successes int, failures int, state string, title string, steps array<string>, avoid array<string>")
+    got = {r[0]: r[1] for r in df.select("id", render.envelope({n: F.col(n) for n in names})).collect()}
+    assert [r[0] for r in rows if got[r[0]] != rendered(dict(zip(names, r, strict=True)), 1200)] == []
+    gaps = spark.range(1).select(render.envelope({**{n: F.lit(1) for n in names[1:5]}, "id": F.lit("a"), "state": F.lit("active"), "title": F.lit("T"), "steps": F.array(F.lit("x"), F.lit(None), F.lit("y")), "avoid": F.lit(None).cast("array<string>")})).first()[0]
+    assert gaps.split("\n")[2:] == ["Task: T", "1. x", "3. y", "</memory>"]
+
+
 def test_step_lines(spark):
     steps = [("edit", "src/{file}.py", None, ["f", "g"]), ("create", "src/{file}.py", None, []), ("verify", None, "pytest {test}", []), ("setup", None, "npm ci", []), ("run", None, "make {arg}", [])]
     df = spark.createDataFrame([(i, *s) for i, s in enumerate(steps)], "i int, kind string, target string, command string, symbols array<string>")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
+from tracemill.functions.redaction import let
 
 MOST_CHARS, ID_CHARS = 1200, 64
 TAG = "memory"
@@ -54,9 +55,9 @@ def step_line(step: Column, slots: Column) -> Column:
 def envelope(p: dict[str, Column], most: int = MOST_CHARS) -> Column:
     """A procedure's text within `most` characters: its lessons go first, then the last steps one by one, then the title is cut.
 
-    p: id, revision, sessions, successes, failures, state, title, steps (lines), avoid.
+    Sizes decide what fits, from one walk over the steps; only what is shown is put together. p: id, revision, sessions, successes, failures, state, title, steps (lines), avoid.
     """
-    n, judged = F.size(p["steps"]), p["successes"] + p["failures"]
+    judged = p["successes"] + p["failures"]
     worked = F.when(judged > 0, F.concat(F.lit(' worked="'), p["successes"].cast("string"), F.lit(" of "), judged.cast("string"), F.lit('"'))).otherwise("")
     sessions = F.concat(p["sessions"].cast("string"), F.when(p["sessions"] == 1, " session").otherwise(" sessions"))
     head = F.concat(F.lit(f'<{TAG} id="'), truncated(cleaned(p["id"]), ID_CHARS), F.lit('" rev="'), p["revision"].cast("string"), F.lit('" learned-from="'), sessions, F.lit('"'), worked, F.lit(">"))
@@ -64,17 +65,36 @@ def envelope(p: dict[str, Column], most: int = MOST_CHARS) -> Column:
     lines = F.transform(p["steps"], lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s))
     lessons = F.transform(p["avoid"], lambda s: F.concat(F.lit("Avoid: "), cleaned(s)))
 
-    def whole(title: Column, kept: Column, with_lessons: bool) -> Column:
-        left = n - kept
-        more = F.when(left > 0, F.array(F.concat(F.lit("("), left.cast("string"), F.when(left == 1, " more step)").otherwise(" more steps)")))).otherwise(F.array().cast("array<string>"))
-        parts = [opening, F.array(F.concat(F.lit("Task: "), title)), F.slice(lines, 1, kept), more, *([lessons] if with_lessons else []), F.array(F.lit(f"</{TAG}>"))]
-        return F.array_join(F.concat(*parts), "\n")
-
-    title = cleaned(p["title"])
-    tried = F.flatten(F.transform(F.sequence(n, F.lit(0), F.lit(-1)), lambda k: F.array(whole(title, k, True), whole(title, k, False))))
-    fitting = F.try_element_at(F.filter(tried, lambda x: F.length(x) <= most), F.lit(1))
-    bare = whole(F.lit(""), F.lit(0), False)
-    return F.coalesce(fitting, whole(truncated(title, F.greatest(F.lit(most) - F.length(bare), F.lit(0))), F.lit(0), False))
+    none = F.array().cast("array<string>")
+
+    def fitted(v: Column) -> Column:
+        n = F.size(v["lines"])
+
+        def whole(title: Column, kept: Column, lessons: Column) -> Column:
+            left = n - kept
+            more = F.when(left > 0, F.array(F.concat(F.lit("("), left.cast("string"), F.when(left == 1, " more step)").otherwise(" more steps)")))).otherwise(none)
+            return F.array_join(F.concat(v["opening"], F.array(F.concat(F.lit("Task: "), title)), F.slice(v["lines"], 1, kept), more, lessons, F.array(F.lit(f"</{TAG}>"))), "\n")
+
+        # characters with the line feed after each; what is null is left out
+        size = lambda line: F.coalesce(F.length(line) + 1, F.lit(0))
+        sizes = lambda lines: F.aggregate(lines, F.lit(0), lambda total, line: total + size(line))
+        around = sizes(v["opening"]) + size(F.concat(F.lit("Task: "), v["title"])) + len(f"</{TAG}>")
+        more = lambda left: F.when(left > 0, F.length(left.cast("string")) + F.when(left == 1, len("( more step)\n")).otherwise(len("( more steps)\n"))).otherwise(0)
+
+        def cut(at: Column, k: Column) -> Column:
+            """at: the size with k steps, without the words on more steps; the most steps that fit, once found, and the size with them."""
+            total = at["size"] + more(n - k)
+            fits = at["kept"].isNull() & (total <= most)
+            return F.struct((at["size"] - size(F.get(v["lines"], k - 1))).alias("size"), F.when(fits, k).otherwise(at["kept"]).alias("kept"), F.when(fits, total).otherwise(at["total"]).alias("total"))
+
+        unknown = F.lit(None).cast("int")
+        start = F.struct((around + sizes(v["lines"])).alias("size"), unknown.alias("kept"), unknown.alias("total"))
+        bare = whole(F.lit(""), F.lit(0), none)
+        last = whole(truncated(v["title"], F.greatest(F.lit(most) - F.length(bare), F.lit(0))), F.lit(0), none)
+        shown = lambda found: F.when(found["kept"].isNull(), last).otherwise(whole(v["title"], found["kept"], F.when(found["total"] + sizes(v["lessons"]) <= most, v["lessons"]).otherwise(none)))
+        return let(F.aggregate(F.sequence(n, F.lit(0), F.lit(-1)), start, cut), shown)
+
+    return let(F.struct(opening.alias("opening"), cleaned(p["title"]).alias("title"), lines.alias("lines"), lessons.alias("lessons")), fitted)
 
 
 def explanation(candidates: DataFrame) -> DataFrame:
