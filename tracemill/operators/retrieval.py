@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed, text
+from tracemill.operators import nearest
 
 
 def term_lists(docs: DataFrame, doc_id: str, title: Column, body: Column) -> DataFrame:
@@ -77,22 +78,18 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= top)
 
 
-def nearest_encoded(index: DataFrame, queries: DataFrame, dims: int, rescore: int = fixed.RESCORE, top: int = fixed.TOP_STAGE, parts: int = 32) -> DataFrame:
+def nearest_encoded(index: DataFrame, queries: DataFrame, dims: int, rescore: int = fixed.RESCORE, top: int = fixed.TOP_STAGE, parts: int | None = None) -> DataFrame:
     """vector_search over an index that is encoded already."""
-    i = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    q = queries.withColumn("qcode", F.array(*sign_code(F.col("embedding"), dims))).withColumnRenamed("embedding", "x").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    distance = F.aggregate(F.zip_with("code", "qcode", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    near = i.join(q, ["group", "part"]).withColumn("distance", distance)
-    for own in (["query_id", "part"], ["query_id"]):
-        near = near.withColumn("n", F.row_number().over(Window.partitionBy(*own).orderBy("distance", "vec_id"))).where(F.col("n") <= rescore)
-    return ranked(near.select("query_id", "vec_id", "distance", cosine(F.col("z"), F.col("x")).alias("cosine")), top)
+    asked = queries.select("query_id", "group", F.array(*sign_code(F.col("embedding"), dims)).alias("code"), "embedding")
+    near = nearest.nearest_codes(index, asked, rescore, parts).withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("n") <= rescore)
+    return ranked(near.select("query_id", "vec_id", "distance", F.round("cosine", 6).alias("cosine")), top)
 
 
-def vector_search(index: DataFrame, queries: DataFrame, dims: int, rescore: int = fixed.RESCORE, top: int = fixed.TOP_STAGE, parts: int = 32) -> DataFrame:
+def vector_search(index: DataFrame, queries: DataFrame, dims: int, rescore: int = fixed.RESCORE, top: int = fixed.TOP_STAGE, parts: int | None = None) -> DataFrame:
     """(query_id, vec_id, cosine, rank): sign codes choose `rescore` vectors of the query's group, quantized cosines rank them.
 
     index: vec_id, group, embedding; queries: query_id, group, embedding. Groups are compared within themselves. A group's
-    vectors are dealt to `parts` parts, which choose on their own before the choices meet, so a large group is no single task.
+    vectors are dealt to parts (`parts`, or as many as its size asks for), which choose on their own before the choices meet, so a large group is no single task.
     """
     return nearest_encoded(encoded(index, dims), queries, dims, rescore, top, parts)
 
